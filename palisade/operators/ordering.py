@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palisade.session import checkpointed
 
-_BEFORE = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+def _earlier_slices():
+    return Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _as_column(key) -> Column:
@@ -35,7 +36,7 @@ class SortedSlices:
         valued = self.frame.withColumns(values)
         per_slice = valued.groupBy("_slice").agg(*[F.sum(v).alias(v) for v in values])
         offsets = per_slice.select(
-            "_slice", *[F.coalesce(F.sum(v).over(_BEFORE), F.lit(0)).alias(f"_offset{v}") for v in values]
+            "_slice", *[F.coalesce(F.sum(v).over(_earlier_slices()), F.lit(0)).alias(f"_offset{v}") for v in values]
         )
         before = self._inside.rowsBetween(Window.unboundedPreceding, -1)
         summed = valued.join(F.broadcast(offsets), "_slice")  # one row per slice
@@ -47,7 +48,7 @@ class SortedSlices:
     def numbered(self, name: str = "row_number") -> DataFrame:
         """Add the 0-based place of the row in the whole order; needs no second sort."""
         counts = self.frame.groupBy("_slice").agg(F.count(F.lit(1)).alias("_rows"))
-        offsets = counts.select("_slice", F.coalesce(F.sum("_rows").over(_BEFORE), F.lit(0)).alias("_offset"))
+        offsets = counts.select("_slice", F.coalesce(F.sum("_rows").over(_earlier_slices()), F.lit(0)).alias("_offset"))
         inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
         return (
             self.frame.join(F.broadcast(offsets), "_slice")  # one row per slice
