@@ -111,9 +111,11 @@ def exact_quantiles(df: DataFrame, columns, probabilities) -> DataFrame:
 
     Spark's own ``percentile`` keeps all distinct values of a group in one buffer, so it is not used.
     """
-    counts = value_counts(df, columns)
-    placed = running_totals(counts, ["name", "value"], unique=True, before=F.col("n"))
-    spans = placed.groupBy("name").agg(F.min("before").alias("start"), F.sum("n").alias("total"))
+    slices = SortedSlices(value_counts(df, columns), "name", "value", unique=True)
+    placed = plain(slices.running(before=F.col("n")))
+    totals = slices.frame.groupBy("name").agg(F.sum("n").alias("total"))  # one row per column
+    starts = F.sum("total").over(Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1))
+    spans = totals.select("name", "total", F.coalesce(starts, F.lit(0)).alias("start"))
     wanted = F.array(*[F.lit(float(p)) for p in probabilities])
     rank = F.col("before") - F.col("start")
     ends = rank + F.col("n")
