@@ -158,6 +158,90 @@ SCENARIOS = [
     "ip AS attacker_ip",
 ]
 
+# orders -> feature vectors with labels of every kind.
+VECTORS = [
+    "concat('f', CAST(o_orderkey AS STRING)) AS id",
+    "o_orderkey AS row_id",
+    "o_orderdate AS window_start",
+    "o_orderdate AS timestamp",
+    "concat('10.2.', CAST(CAST(floor(o_custkey / 256) AS INT) AS STRING), '.', "
+    "CAST(CAST(o_custkey % 256 AS INT) AS STRING)) AS src_ip",
+    "concat('10.2.', CAST(CAST(floor(o_custkey / 256) AS INT) AS STRING), '.', "
+    "CAST(CAST(o_custkey % 256 AS INT) AS STRING)) AS entity_id",
+    "CAST(o_orderkey % 9 AS DOUBLE) AS auth_fail_count",
+    "CAST(o_custkey % 7 AS DOUBLE) AS auth_success_count",
+    "CAST(o_orderkey % 9 AS DOUBLE) / CAST(o_orderkey % 9 + o_custkey % 7 + 1 AS DOUBLE) AS auth_fail_ratio",
+    "CAST(o_orderkey % 4 AS DOUBLE) AS distinct_username",
+    "CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(o_custkey % 60 AS DOUBLE) END AS fail_interarrival_mean",
+    "CAST(o_custkey % 11 AS DOUBLE) AS fail_interarrival_std",
+    "CAST(CAST(floor(o_totalprice) AS BIGINT) AS DOUBLE) / CAST(1000 AS DOUBLE) AS http_req_rate",
+    "CAST(o_orderkey % 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS http_4xx_ratio",
+    "CAST(o_custkey % 50 AS DOUBLE) / CAST(100 AS DOUBLE) AS http_5xx_ratio",
+    "CAST(o_orderkey % 10 AS DOUBLE) / CAST(10 AS DOUBLE) AS http_post_ratio",
+    "CAST(o_custkey % 6 AS DOUBLE) AS distinct_user_agent",
+    "CAST(CAST(floor(o_totalprice) AS BIGINT) % 5000 AS DOUBLE) AS bytes_sent_mean",
+    "CAST(100 + o_orderkey % 50 AS DOUBLE) AS global_active_ips",
+    "CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE CAST(1 + o_custkey % 8 AS DOUBLE) END AS burst_rate",
+    "CASE WHEN o_custkey % 5 = 0 THEN 'v1' ELSE 'v2' END AS feature_version",
+    "o_orderdate AS computed_at",
+    "CASE CAST(o_orderkey % 8 AS INT) WHEN 0 THEN 'attack' WHEN 1 THEN 'Suspicious' WHEN 2 THEN ' BENIGN ' "
+    "WHEN 3 THEN NULL WHEN 4 THEN 'unknown' WHEN 5 THEN '1' ELSE 'benign' END AS label",
+    "o_orderpriority AS attack_category",
+    "concat('file', CAST(o_custkey % 3 AS STRING), '.csv') AS source_file",
+    "CASE WHEN o_orderstatus = 'F' THEN 'cicids2017' ELSE 'loghub' END AS dataset_source",
+    "'original_flow_timestamp' AS timestamp_source",
+    "CASE WHEN o_orderkey % 2 = 0 THEN 'analyst_confirmed' ELSE 'baseline_normal' END AS label_source",
+]
+
+# events -> login log lines, two seconds apart, seven addresses, two files.
+_LOGIN_T = [
+    "event_id * 2 AS t", "concat('10.3.0.', CAST(user_id % 7 AS STRING)) AS from_ip",
+    "concat('u', CAST(k % 7 AS STRING)) AS u",
+]
+_TWO = lambda e: f"lpad(CAST({e} AS STRING), 2, '0')"
+LOGINS = [
+    "concat('auth', CAST(user_id % 2 AS STRING), '.log') AS source_file",
+    "event_id AS line_number",
+    "concat('Dec ', CAST(10 + CAST(floor(t / 86400) AS INT) % 20 AS STRING), ' ', "
+    + _TWO("CAST(floor(t / 3600) AS INT) % 24") + ", ':', " + _TWO("CAST(floor(t / 60) AS INT) % 60") + ", ':', "
+    + _TWO("CAST(t % 60 AS INT)") + ", ' host', CAST(k % 3 AS STRING), ' sshd[', CAST(1000 + k AS STRING), ']: ', "
+    "CASE WHEN event_type = 'error' THEN concat('Failed password for ', CASE WHEN k % 2 = 0 THEN 'invalid user ' "
+    "ELSE '' END, u, ' from ', from_ip, ' port 22 ssh2') "
+    "WHEN event_type = 'signup' THEN concat('Accepted password for ', u, ' from ', from_ip, ' port 22 ssh2') "
+    "WHEN event_type = 'click' THEN concat('Invalid user ', u, ' from ', from_ip) "
+    "WHEN event_type = 'purchase' AND k = 0 THEN concat('POSSIBLE BREAK-IN ATTEMPT from x [', from_ip, ']') "
+    "ELSE concat('Connection closed by ', from_ip, ' [preauth]') END) AS line",
+]
+
+# orders -> login log lines over several years, for the years that the lines do not hold.
+_MONTH = "CASE CAST(month(o_orderdate) AS INT) " + " ".join(
+    f"WHEN {i} THEN '{m}'" for i, m in enumerate(
+        ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"], 1)) + " END"
+YEARS = [
+    "concat('auth', CAST(o_custkey % 3 AS STRING), '.log') AS source_file",
+    "o_orderdate AS line_day", "o_orderkey AS line_number",
+    f"concat({_MONTH}, ' ', lpad(CAST(day(o_orderdate) AS STRING), 2, ' '), ' ', "
+    + _TWO("o_orderkey % 24") + ", ':', " + _TWO("o_orderkey % 60") + ", ':00 host sshd[77]: Failed password for root "
+    "from 10.4.0.', CAST(o_custkey % 250 AS STRING), ' port 22 ssh2') AS line",
+]
+
+# events -> alerts as JSON lines, nested and incomplete in several ways; some lines are not JSON.
+ALERTS = [
+    "event_id", "CASE WHEN k % 23 = 0 THEN concat('broken ', CAST(event_id AS STRING)) ELSE "
+    "concat('{\"timestamp\": \"', substr(CAST(ts AS STRING), 1, 19), '\", \"agent\": {\"id\": \"00', "
+    "CAST(k % 4 AS STRING), '\", \"ip\": \"10.9.0.', CAST(k % 4 AS STRING), '\"', "
+    "CASE WHEN k % 5 = 0 THEN '' ELSE concat(', \"name\": \"host', CAST(k % 3 AS STRING), '\"') END, '}', "
+    "', \"rule\": {\"id\": \"', CASE WHEN k % 7 = 0 THEN 'x' ELSE CAST(5700 + k % 20 AS STRING) END, "
+    "'\", \"level\": ', CAST(k % 21 - 2 AS STRING), '}, \"data\": {', "
+    "CASE WHEN k % 6 = 0 THEN '\"srcip\": \"127.0.0.1\"' WHEN k % 6 = 1 THEN '\"srcip\": \"not-an-ip\"' "
+    "WHEN k % 6 = 2 THEN concat('\"src_ip\": \"', ip, '\"') WHEN k % 6 = 3 THEN '\"dstip\": \"fe80:0:0:1\"' "
+    "ELSE concat('\"srcip\": \"', ip, '\"') END, "
+    "CASE WHEN event_type = 'error' THEN concat(', \"dstuser\": \"u', CAST(k % 7 AS STRING), '\"') ELSE '' END, '}', "
+    "', \"location\": \"', CASE WHEN event_type = 'click' THEN '/var/log/nginx/access.log' ELSE '/var/log/auth.log' "
+    "END, '\"', CASE WHEN event_type = 'view' THEN '' ELSE concat(', \"full_log\": \"event ', event_type, '\"') END, "
+    "'}') END AS value",
+]
+
 _SPARK_TIME = {
     "orders": "o_orderdate + make_dt_interval(0, 0, CAST(o_orderkey % 1440 AS INT), 0) AS event_minute",
     "part": "make_timestamp_ntz(2024, 1, 1, 0, 0, 0) + make_dt_interval(0, 0, CAST(p_partkey * 5 AS INT), 0) "
@@ -210,6 +294,29 @@ def scenarios(spark, sf_dir) -> DataFrame:
     return failures.selectExpr(*SCENARIOS)
 
 
+def vectors(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "orders").selectExpr(*VECTORS)
+
+
+def logins(spark, sf_dir) -> DataFrame:
+    return _events(spark, sf_dir).selectExpr("*", *_LOGIN_T).selectExpr(*LOGINS)
+
+
+def years(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "orders").selectExpr(*YEARS)
+
+
+def alerts(spark, sf_dir) -> DataFrame:
+    return _events(spark, sf_dir).selectExpr(*ALERTS)
+
+
+def event_stream(spark, sf_dir, columns=None) -> DataFrame:
+    """The events table as a stream, with the same derivation as the batch table."""
+    schema = table(spark, sf_dir, "events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return raw.selectExpr("*", _EVENT_K, _EVENT_IP).selectExpr(*(columns or LOG_EVENT))
+
+
 def _select(columns, source):
     return "SELECT " + ", ".join(columns) + " FROM " + source
 
@@ -221,6 +328,10 @@ SQL = {
     "scored": _select(SCORED, "orders"),
     "risk": _select(RISK, f"(SELECT *, {_DUCK_TIME['orders']} FROM orders)"),
     "results": _select(RESULTS, "orders"),
+    "vectors": _select(VECTORS, "orders"),
+    "logins": _select(LOGINS, f"(SELECT *, {', '.join(_LOGIN_T)} FROM {_EVENTS_SQL})"),
+    "years": _select(YEARS, "orders"),
+    "alerts": _select(ALERTS, _EVENTS_SQL),
     "metrics": _select(METRICS, f"(SELECT *, {_DUCK_TIME['part']} FROM part)"),
     "scenarios": _select(SCENARIOS, f"(SELECT * FROM {_EVENTS_SQL} WHERE event_type = 'error')"),
 }

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-DIGITS = 6
+DIGITS = 6  # doubles of a result are rounded to this many digits
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -24,12 +24,12 @@ def present(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, digits: int = DIGITS):
     """Register a function (spark, sf_dir) -> DataFrame, with its SQL twin if there is one."""
 
     def register(build):
         def run(spark, sf_dir):
-            return present(build(spark, sf_dir))
+            return present(build(spark, sf_dir), digits)
 
         run.__name__, run.__doc__ = name, build.__doc__
         if name in QUERIES:

@@ -78,7 +78,7 @@ def parse_alerts(lines: DataFrame, column: str = "value", default_time: Column |
     )
 
 
-def is_storable(df: DataFrame) -> Column:
+def is_storable() -> Column:
     """The constraints of the event table; NULL in a required column fails."""
     return (
         F.col("timestamp").isNotNull() & F.col("raw_log").isNotNull()

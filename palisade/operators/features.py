@@ -16,12 +16,24 @@ BUCKET_SECONDS = 10
 TIME, USER, AGENT = "time", "user", "agent"
 
 
+KEYS = ("window_start", "src_ip")
+
+
+def time_window(when: Column, seconds: float, slide_seconds: float | None = None) -> Column:
+    """Tumbling window, or sliding ones when a slide is given."""
+    span = f"{int(round(seconds * 1000))} milliseconds"
+    if slide_seconds is None:
+        return F.window(when, span)
+    return F.window(when, span, f"{int(round(slide_seconds * 1000))} milliseconds")
+
+
 def window_column(when: Column, seconds: float) -> Column:
     """Start of the tumbling window that holds the event."""
-    return F.window(when, f"{int(round(seconds * 1000))} milliseconds")["start"]
+    return time_window(when, seconds)["start"]
 
 
-def _records(parsed: DataFrame) -> DataFrame:
+def event_records(parsed: DataFrame, keys=KEYS) -> DataFrame:
+    """One row per line for its 10-second bucket, plus one for its user name and one for its user agent."""
     second = F.unix_seconds("event_time")
     bucket = (F.floor(second / BUCKET_SECONDS) * BUCKET_SECONDS).cast("long")
     entry = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
@@ -31,20 +43,20 @@ def _records(parsed: DataFrame) -> DataFrame:
         F.when(F.col("http_agent") != "unknown", entry(AGENT, F.col("http_agent"))),
     ))
     return parsed.select(
-        "window_start", "src_ip", "is_failure", "is_timed_failure", "is_success", "is_http", "has_auth_hint",
+        *keys, "is_failure", "is_timed_failure", "is_success", "is_http", "has_auth_hint",
         "http_status", "http_method", "http_bytes", (second % BUCKET_SECONDS).cast("int").alias("_offset"),
         F.inline(entries),
     )
 
 
-def _per_record(records: DataFrame) -> DataFrame:
+def record_counters(records: DataFrame, keys=KEYS) -> DataFrame:
     event = F.col("kind") == TIME
     web = event & F.col("is_http")
     low = F.col("http_status").between(400, 499)
     high = F.col("http_status").between(500, 599)
     post = F.col("http_method") == "POST"
     mark = F.call_function("shiftleft", F.lit(1), F.col("_offset"))
-    return records.groupBy("window_start", "src_ip", "kind", "key").agg(
+    return records.groupBy(*keys, "kind", "key").agg(
         count_if(event).alias("lines"),
         count_if(event & F.col("is_failure")).alias("fails"),
         count_if(event & F.col("is_timed_failure") & F.col("_offset").isNotNull()).alias("timed_fails"),
@@ -62,14 +74,14 @@ def _per_record(records: DataFrame) -> DataFrame:
     )
 
 
-def _per_address(per_record: DataFrame) -> DataFrame:
+def address_counters(per_record: DataFrame, keys=KEYS) -> DataFrame:
     summed = ["lines", "fails", "timed_fails", "oks", "web", "web_4xx", "all_4xx", "web_5xx", "all_5xx",
               "web_post", "all_post", "web_bytes", "all_bytes"]
     timed = (F.col("kind") == TIME) & F.col("key").isNotNull()
     agent = F.col("kind") == AGENT
     marks = F.when(timed & (F.col("fail_seconds") > 0),
                    F.struct(F.col("key").cast("long").alias("start"), F.col("fail_seconds").alias("marks")))
-    return per_record.groupBy("window_start", "src_ip").agg(
+    return per_record.groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in summed],
         count_if(F.col("kind") == USER).alias("users"),
         count_if(agent).alias("all_agents"),
@@ -135,9 +147,9 @@ def feature_columns(window_seconds: float, burst: Column) -> dict:
     }
 
 
-def address_counters(parsed: DataFrame) -> DataFrame:
-    """Counters per (window_start, src_ip) from parsed lines with a ``window_start`` column."""
-    return _per_address(_per_record(_records(parsed)))
+def counters_of(parsed: DataFrame, keys=KEYS) -> DataFrame:
+    """Counters per key from parsed lines that carry the key columns."""
+    return address_counters(record_counters(event_records(parsed, keys), keys), keys)
 
 
 def window_summary(counters: DataFrame) -> DataFrame:
@@ -175,24 +187,13 @@ def history_burst(counters: DataFrame, history: DataFrame, history_window: Colum
     return joined.withColumn("burst_rate", F.col("lines").cast("double") / base).drop("past_lines")
 
 
-def extract_features(logs: DataFrame, *, window_seconds: float = 60.0, window_start=None, history=None,
-                     history_window: Column | None = None, time: Column | None = None, year: int | None = None,
-                     feature_version: str = S.DEFAULT_FEATURE_VERSION, computed_at=None) -> DataFrame:
-    """The fourteen features per (window_start, src_ip).
-
-    Windows are event-time windows of ``window_seconds``. With ``window_start`` all lines form one
-    window that begins there (one poll of a batch service).
-    """
-    parsed = parsed_lines(logs, time, year)
-    if window_start is not None:
-        start = window_start if isinstance(window_start, Column) else F.lit(window_start)
-        parsed = parsed.withColumn("window_start", start.cast("timestamp"))
-    else:
-        parsed = parsed.withColumn("window_start", window_column(F.col("event_time"), window_seconds))
-    counters = checkpointed(address_counters(parsed))  # small, and read twice below
+def finished_features(counters: DataFrame, window_seconds: float, history: DataFrame | None = None,
+                      history_window: Column | None = None, feature_version: str = S.DEFAULT_FEATURE_VERSION,
+                      computed_at=None) -> DataFrame:
+    """Counters of whole windows to features: adds what depends on all addresses of a window."""
     framed = counters.join(window_summary(counters), "window_start")
     if history is not None:
-        framed, burst = history_burst(framed, history, history_window=history_window), F.col("burst_rate")
+        framed, burst = history_burst(framed, history, history_window), F.col("burst_rate")
     else:
         burst = peak_burst()
     made = F.current_timestamp() if computed_at is None else F.lit(computed_at).cast("timestamp")
@@ -201,3 +202,23 @@ def extract_features(logs: DataFrame, *, window_seconds: float = 60.0, window_st
         "window_start", "src_ip", *[c.alias(n) for n, c in columns.items()],
         F.lit(feature_version).alias("feature_version"), made.alias("computed_at"),
     )
+
+
+def extract_features(logs: DataFrame, *, window_seconds: float = 60.0, slide_seconds: float | None = None,
+                     window_start=None, history=None, history_window: Column | None = None, time: Column | None = None,
+                     year: int | None = None, feature_version: str = S.DEFAULT_FEATURE_VERSION,
+                     computed_at=None) -> DataFrame:
+    """The fourteen features per (window_start, src_ip).
+
+    Windows are event-time windows of ``window_seconds``, sliding when ``slide_seconds`` is given. With
+    ``window_start`` all lines form one window that begins there (one poll of a batch service).
+    """
+    parsed = parsed_lines(logs, time, year)
+    if window_start is not None:
+        start = window_start if isinstance(window_start, Column) else F.lit(window_start)
+        parsed = parsed.withColumn("window_start", start.cast("timestamp"))
+    else:
+        parsed = parsed.withColumn("_window", time_window(F.col("event_time"), window_seconds, slide_seconds))
+        parsed = parsed.withColumn("window_start", F.col("_window.start"))
+    counters = checkpointed(counters_of(parsed))  # small, and read twice
+    return finished_features(counters, window_seconds, history, history_window, feature_version, computed_at)

@@ -31,10 +31,15 @@ def stripped(line: Column) -> Column:
 
 
 def parse_syslog(lines: DataFrame, column: str = "line") -> DataFrame:
-    """Add raw_log, header_time, host, pid, event_type, username and src_ip; the first matching rule wins."""
+    """Add raw_log, header_time, host, pid, event_type, username and src_ip; the first matching rule wins.
+
+    The fields of a line are generated as one record: they are worked out once, while a projection would
+    be repeated inside every filter that is pushed below it.
+    """
     framed = lines.withColumn("raw_log", stripped(F.col(column))).where("raw_log <> ''")
     text = F.col("raw_log")
-    framed = framed.withColumn("_message", F.when(text.rlike(HEADER), F.regexp_extract(text, HEADER, 4)).otherwise(text))
+    header = F.regexp_extract_all(text, F.lit(HEADER), F.lit(4))
+    framed = framed.withColumn("_message", F.coalesce(F.get(header, F.lit(0)), text))
     message = F.col("_message")
     event = (
         F.when(message.rlike(FAILED), "failed_password")
@@ -43,27 +48,16 @@ def parse_syslog(lines: DataFrame, column: str = "line") -> DataFrame:
         .when(message.rlike(BREAK_IN), "break_in_attempt")
         .otherwise("other")
     )
-    framed = framed.withColumn("event_type", event)
-    kind = F.col("event_type")
-    user = (
-        F.when(kind == "failed_password", extract(message, FAILED, 2))
-        .when(kind == "invalid_user", extract(message, INVALID, 1))
-        .when(kind == "accepted", extract(message, ACCEPTED, 1))
+    user = F.coalesce(extract(message, FAILED, 2), extract(message, INVALID, 1), extract(message, ACCEPTED, 1))
+    address = F.coalesce(
+        extract(message, FAILED, 3), extract(message, INVALID, 2), extract(message, ACCEPTED, 2),
+        extract(message, BREAK_IN, 1), extract(message, ANY_IP, 1),
     )
-    address = (
-        F.when(kind == "failed_password", extract(message, FAILED, 3))
-        .when(kind == "invalid_user", extract(message, INVALID, 2))
-        .when(kind == "accepted", extract(message, ACCEPTED, 2))
-        .when(kind == "break_in_attempt", extract(message, BREAK_IN, 1))
-        .otherwise(extract(message, ANY_IP, 1))
+    record = F.struct(
+        extract(text, HEADER, 1).alias("header_time"), extract(text, HEADER, 2).alias("host"),
+        extract(text, HEADER, 3).alias("pid"), event.alias("event_type"), user.alias("username"), address.alias("src_ip"),
     )
-    return framed.withColumns({
-        "header_time": extract(text, HEADER, 1),
-        "host": extract(text, HEADER, 2),
-        "pid": extract(text, HEADER, 3),
-        "username": user,
-        "src_ip": address,
-    }).drop("_message")
+    return framed.select(*lines.columns, "raw_log", F.inline(F.array(record)))
 
 
 def event_flags(events: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def newest(df: DataFrame, time: str, limit: int = 100, ties=("src_ip",)) -> Data
 
 
 def newest_vectors(vectors: DataFrame, limit: int = 100) -> DataFrame:
-    return newest(vectors, "window_start", limit)
+    return newest(vectors, "window_start", limit, ("src_ip", "id"))
 
 
 def newest_risk(risk: DataFrame, limit: int = 100) -> DataFrame:
