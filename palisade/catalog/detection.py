@@ -16,7 +16,7 @@ from palisade.detectors.preprocess import Scaler, fit_scaler
 from palisade.operators.ordering import quantile_table
 from palisade.operators.splits import TEST, TRAIN, VALIDATION, part, temporal_split
 from palisade.plans import serve as V, train as P
-from palisade.session import checkpointed, scratch_path
+from palisade.session import checkpointed, scratch_path, spread
 from palisade.sinks.registry import ModelRegistry
 
 _KEPT: dict = {}
@@ -65,7 +65,7 @@ ITEM_KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 def item_matrix(spark, sf_dir):
     """Scaled line items; one row in five hundred is stretched so that it stands out."""
     def build():
-        wide = I.table(spark, sf_dir, "lineitem")
+        wide = spread(I.table(spark, sf_dir, "lineitem"))
         planted = F.col("l_orderkey") % 500 == 0
         rows = wide.select(*ITEM_KEYS, *[F.when(planted, F.col(c) * 20).otherwise(F.col(c)).alias(c) for c in ITEMS],
                            planted.alias("planted"))

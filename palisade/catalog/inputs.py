@@ -6,6 +6,8 @@ check start from the same rows.
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palisade.session import spread
+
 # events -> log_event: login lines from 'error' and 'signup', access lines from the other types.
 _EVENT_K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k"
 _EVENT_IP = (
@@ -261,7 +263,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _events(spark, sf_dir):
-    base = table(spark, sf_dir, "events").selectExpr("*", _EVENT_K, _EVENT_IP)
+    base = spread(table(spark, sf_dir, "events")).selectExpr("*", _EVENT_K, _EVENT_IP)
     return base.selectExpr("*", _SPARK_TIME["events"])
 
 
@@ -270,7 +272,7 @@ def log_event(spark, sf_dir) -> DataFrame:
 
 
 def flows(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").selectExpr(*FLOWS)
+    return spread(table(spark, sf_dir, "lineitem")).selectExpr(*FLOWS)
 
 
 def scored(spark, sf_dir) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from palisade.session import ship_package
+
 DIGITS = 6  # doubles of a result are rounded to this many digits
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -29,6 +31,7 @@ def query(name: str, sql: str | None = None, digits: int = DIGITS):
 
     def register(build):
         def run(spark, sf_dir):
+            ship_package(spark)
             return present(build(spark, sf_dir), digits)
 
         run.__name__, run.__doc__ = name, build.__doc__

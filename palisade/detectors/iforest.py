@@ -10,14 +10,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from palisade.operators.ordering import quantile_table
+from palisade.session import tasks_for
 
 DEFAULTS = {"n_estimators": 200, "max_samples": 256, "contamination": 0.02, "random_state": 42}
-OVERSAMPLE = 4  # expected rows offered to a tree per row it keeps
 NODES = "forest int, tree int, node int, feature int, threshold double, left int, right int, size long, depth int"
-_SCALE = 1 << 52
 
 
 def average_path(n) -> np.ndarray:
@@ -34,7 +34,8 @@ def grow_tree(rows: np.ndarray, columns, rng, max_depth: int) -> list:
     created = 1
     while waiting:
         node, members, depth = waiting.pop()
-        low, high = rows[np.ix_(members, columns)].min(axis=0), rows[np.ix_(members, columns)].max(axis=0)
+        inside = rows[members][:, columns]
+        low, high = inside.min(axis=0), inside.max(axis=0)
         open_columns = np.flatnonzero(high > low)
         if depth >= max_depth or len(members) <= 1 or not len(open_columns):
             nodes.append((node, -1, 0.0, -1, -1, len(members), depth))
@@ -43,7 +44,7 @@ def grow_tree(rows: np.ndarray, columns, rng, max_depth: int) -> list:
         threshold = rng.uniform(low[pick], high[pick])
         if threshold >= high[pick]:
             threshold = low[pick]
-        goes_left = rows[members, columns[pick]] <= threshold
+        goes_left = inside[:, pick] <= threshold
         left, right = created, created + 1
         created += 2
         nodes.append((node, int(columns[pick]), float(threshold), left, right, len(members), depth))
@@ -62,12 +63,14 @@ class Forest:
     feature: np.ndarray
     threshold: np.ndarray
     left: np.ndarray
-    right: np.ndarray
     path: np.ndarray
-    levels: int
+    levels: np.ndarray
     offset: float = 0.0
     nodes: pd.DataFrame = field(default=None, repr=False)
 
+    def __getstate__(self):
+        return {**self.__dict__, "nodes": None}  # executors need the arrays only
+
     @staticmethod
     def from_nodes(nodes: pd.DataFrame, features, params, sample_size: int, offset: float = 0.0) -> "Forest":
         ordered = nodes.sort_values(["tree", "node"], ignore_index=True)
@@ -77,23 +80,28 @@ class Forest:
         place = np.arange(len(ordered))
         leaf = ordered["feature"].to_numpy() < 0
         left = np.where(leaf, place, ordered["left"].to_numpy() + start)
-        right = np.where(leaf, place, ordered["right"].to_numpy() + start)
         path = ordered["depth"].to_numpy() + average_path(ordered["size"].to_numpy())
         return Forest(
             list(features), dict(params), int(sample_size), roots, np.where(leaf, 0, ordered["feature"].to_numpy()),
-            np.where(leaf, np.inf, ordered["threshold"].to_numpy()), left, right, path, int(ordered["depth"].max()),
-            float(offset), ordered,
+            np.where(leaf, np.inf, ordered["threshold"].to_numpy()), left, path,
+            ordered.groupby("tree")["depth"].max().to_numpy(), float(offset), ordered,
         )
 
     def anomaly(self, rows: np.ndarray) -> np.ndarray:
-        """2 ** (-mean path / expected path), between 0 and 1; higher is more anomalous."""
+        """2 ** (-mean path / expected path), between 0 and 1; higher is more anomalous.
+
+        All rows go down one tree together. The children of a node lie side by side and a leaf leads to
+        itself, so a step is one comparison added to the left child.
+        """
+        flat = np.ascontiguousarray(rows).ravel()
+        base = np.arange(len(rows), dtype=np.int64) * rows.shape[1]
         total = np.zeros(len(rows))
-        everyone = np.arange(len(rows))[:, None]
-        for first in range(0, len(self.roots), 50):
-            at = np.broadcast_to(self.roots[first:first + 50], (len(rows), len(self.roots[first:first + 50]))).copy()
-            for _ in range(self.levels):
-                at = np.where(rows[everyone, self.feature[at]] <= self.threshold[at], self.left[at], self.right[at])
-            total += self.path[at].sum(axis=1)
+        for root, levels in zip(self.roots, self.levels):
+            at = np.full(len(rows), root, dtype=np.int64)
+            for _ in range(levels):
+                value = flat.take(base + self.feature.take(at))
+                at = self.left.take(at) + (value > self.threshold.take(at))
+            total += self.path.take(at)
         expected = float(average_path(self.sample_size)) or 1.0
         return np.power(2.0, -total / (len(self.roots) * expected))
 
@@ -108,33 +116,64 @@ def merged(params: dict | None, defaults: dict) -> dict:
     return {**defaults, **{k: v for k, v in (params or {}).items() if v is not None}}
 
 
+def offered_rows(rows: DataFrame, features, trees, chance: float, seed: int) -> DataFrame:
+    """(features, forest, tree, draw): each row meets each tree with the given chance.
+
+    Rows that meet no tree are dropped first by one random number in the JVM; only the others, a bounded
+    number in expectation, reach Python, where the number of trees they meet is drawn given that it is
+    not zero.
+    """
+    count = len(trees)
+    forest_of, tree_of = (np.array(c) for c in zip(*trees))
+    sparse = count * chance <= 30.0
+    if sparse:
+        chances = [(1.0 - chance) ** count]
+        while chances[-1] > 1e-15 or len(chances) < 2 * count * chance:
+            k = len(chances) - 1
+            if k >= count:
+                break
+            chances.append(chances[-1] * (count - k) / (k + 1) * chance / (1.0 - chance))
+        steps = np.cumsum(chances)
+        rows = rows.where(F.rand(seed) < 1.0 - steps[0])
+
+    def offer(batches):
+        part = TaskContext.get().partitionId()
+        for number, pdf in enumerate(batches):
+            rng = np.random.default_rng([seed, part, number])
+            noise = rng.random((len(pdf), count))
+            if sparse:
+                met = np.searchsorted(steps, rng.uniform(steps[0], steps[-1], len(pdf)), side="right").clip(1, count)
+                order = np.argsort(noise, axis=1)[:, : met.max(initial=1)]
+                row, slot = np.nonzero(np.arange(order.shape[1]) < met[:, None])
+                pick = order[row, slot]
+            else:
+                row, pick = np.nonzero(noise < chance)
+            out = pdf.iloc[row].copy()
+            out["forest"], out["tree"], out["draw"] = forest_of[pick], tree_of[pick], rng.random(len(row))
+            yield out
+
+    fields = ", ".join(f"`{f}` double" for f in features)
+    return rows.mapInPandas(offer, f"{fields}, forest int, tree int, draw double")
+
+
 def grow_forests(df: DataFrame, features, grid) -> list:
     """One forest per entry of ``grid`` (parameters, optionally a ``features`` subset), grown in one job.
 
-    Each row is offered to a tree by a hash of the row's place, so a tree sees a few times the rows it
-    keeps and keeps those with the smallest hashes: a simple random sample without replacement.
+    Every row is offered to every tree with the same small chance. A tree is offered somewhat more rows than
+    it needs and keeps those with the smallest draws: a simple random sample without replacement.
     """
     features = list(features)
     grid = [merged(g, DEFAULTS) for g in grid]
-    placed = df.select(*[F.col(f).cast("double").alias(f) for f in features])
-    placed = placed.withColumn("_place", F.monotonically_increasing_id())
+    rows = df.select(*[F.col(f).cast("double").alias(f) for f in features])
     total = df.count()
     if total == 0:
         raise ValueError("cannot fit an isolation forest on an empty training part")
     sizes = [min(int(g["max_samples"]), total) for g in grid]
     columns = [[features.index(f) for f in g.get("features", features)] for g in grid]
-
-    def offered(i):
-        g = grid[i]
-        limit = int(min(1.0, OVERSAMPLE * sizes[i] / total) * _SCALE)
-        draw = lambda t: F.pmod(
-            F.xxhash64(F.col("_place"), t, F.lit(int(g["random_state"]))), F.lit(_SCALE))
-        trees = F.filter(F.sequence(F.lit(0), F.lit(int(g["n_estimators"]) - 1)), lambda t: draw(t) < limit)
-        return F.transform(trees, lambda t: F.struct(F.lit(i).alias("forest"), t.alias("tree"), draw(t).alias("draw")))
-
-    # grid points that sample alike share their rows
-    offers = F.flatten(F.array(*[offered(i) for i in range(len(grid))]))
-    sample = placed.select(*features, F.inline(offers))
+    trees = [(i, t) for i, g in enumerate(grid) for t in range(int(g["n_estimators"]))]
+    # eight deviations above the rows a tree keeps, so that it practically never gets too few
+    wanted = max(sizes) + 8.0 * math.sqrt(max(sizes)) + 16.0
+    sample = offered_rows(rows, features, trees, min(1.0, wanted / total), int(grid[0]["random_state"]))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         forest, tree = int(pdf["forest"].iloc[0]), int(pdf["tree"].iloc[0])
@@ -148,7 +187,8 @@ def grow_forests(df: DataFrame, features, grid) -> list:
         )
 
     # at most 2 * max_samples - 1 nodes per tree
-    nodes = sample.groupBy("forest", "tree").applyInPandas(build, NODES).toPandas()
+    spread_trees = sample.repartition(tasks_for(df.sparkSession, len(trees)), "forest", "tree")
+    nodes = spread_trees.groupBy("forest", "tree").applyInPandas(build, NODES).toPandas()
     return [
         Forest.from_nodes(nodes[nodes["forest"] == i].drop(columns="forest"), features, grid[i], sizes[i])
         for i in range(len(grid))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from palisade.detectors.iforest import merged
 from palisade.operators.ordering import quantile_table
+from palisade.session import tasks_for
 
 DEFAULTS = {"kernel": "rbf", "nu": 0.02, "gamma": "scale"}
 MAX_TRAIN_ROWS = 50000  # training rows of the kernel detector; None takes all of them
@@ -131,7 +132,8 @@ def fit_boundaries(df: DataFrame, features, grid, max_rows: int | None = MAX_TRA
         normal = least_norm_point(points, float(bound.params["nu"]))
         return pd.DataFrame({"entry": [int(pdf["entry"].iloc[0])], "n": [len(pdf)], "normal": [normal.tolist()]})
 
-    solved = sharded.groupBy("entry", "shard").applyInPandas(solve, "entry int, n long, normal array<double>")
+    dealt = sharded.repartition(tasks_for(df.sparkSession, shards * len(grid)), "entry", "shard")
+    solved = dealt.groupBy("entry", "shard").applyInPandas(solve, "entry int, n long, normal array<double>")
     parts = solved.select("entry", "n", F.posexplode("normal").alias("i", "v"))
     means = parts.groupBy("entry", "i").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v"))
     for row in means.collect():  # grid size * components numbers

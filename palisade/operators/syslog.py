@@ -122,7 +122,9 @@ def windowed(events: DataFrame, source: str = "source_file") -> DataFrame:
 
 def syslog_features(events: DataFrame, source: str = "source_file") -> DataFrame:
     """The fourteen features per (file, window, address) of flagged login events; web features are 0."""
-    base = windowed(events, source)
+    # parsed once: the window choice needs all events before the first window is known
+    needed = [source, "event_time", "src_ip", "username", "is_fail", "is_ok", "is_breakin"]
+    base = windowed(checkpointed(events.select(*needed)), source)
     second = F.unix_seconds("event_time")
     bucket = (F.floor(second / BUCKET_SECONDS) * BUCKET_SECONDS).cast("long")
     entries = F.array_compact(F.array(

@@ -1,7 +1,10 @@
 """Session helpers: reliable checkpoints and scratch tables in the shared folder."""
 
+import io
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +32,48 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out evenly when a plain scan has fewer partitions than the cluster has cores.
+
+    A few small files would otherwise leave costly per-row work to a few tasks. Large inputs have more
+    partitions than cores and pass through without a shuffle.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def tasks_for(spark: SparkSession, groups: int) -> int:
+    """Tasks for Python work on small groups, which adaptive execution would put into one task."""
+    return max(1, min(groups, spark.sparkContext.defaultParallelism * 2))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package when it is not installed on them; once per application.
+
+    The archive lies in the shared folder, from where Spark hands it to every executor.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    home = pathlib.Path(__file__).parent
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w") as packed:
+        for source in sorted(home.rglob("*.py")):
+            packed.write(source, f"{home.name}/{source.relative_to(home)}")
+    target = f"{scratch_path(spark, 'package')}/{home.name}.zip"
+    path = context._jvm.org.apache.hadoop.fs.Path(target)
+    stream = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    stream.write(bytearray(archive.getvalue()))
+    stream.close()
+    context.addPyFile(target)
+    _SHIPPED.add(context.applicationId)

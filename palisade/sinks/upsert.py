@@ -45,7 +45,7 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame, keys, updated=No
     rows = incoming
     if partition:
         rows = rows.withColumn(partition, F.to_date(time))
-    existing = spark.read.parquet(path) if _exists(spark, path) else None
+    existing = spark.read.schema(rows.schema).parquet(path) if _exists(spark, path) else None
     if existing is not None and partition:
         days = [r[0] for r in rows.select(partition).distinct().collect()]  # days of one batch
         existing = existing.where(F.col(partition).isin(days))

@@ -55,7 +55,11 @@ def score_and_upsert(events: DataFrame, root: str, model, scaler, window_seconds
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        features = batch_features(batch.persist(), window_seconds)
+        closed = batch.persist()
+        if closed.isEmpty():  # the watermark moved, but no window was closed
+            closed.unpersist()
+            return
+        features = batch_features(closed, window_seconds)
         made = score_features(features, events, model, scaler, window_seconds)
         upsert(spark, f"{root}/feature_vectors", made["feature_vectors"], VECTOR_KEYS,
                [*S.FEATURES, "computed_at"], ["computed_at"], "event_date", "window_start")
@@ -63,7 +67,7 @@ def score_and_upsert(events: DataFrame, root: str, model, scaler, window_seconds
                partition="event_date", time="window_start")
         upsert(spark, f"{root}/risk_score", made["risk_score"], RISK_KEYS, RISK_UPDATED, partition="event_date",
                time="timestamp")
-        batch.unpersist()
+        closed.unpersist()
 
     return write
 
