@@ -125,7 +125,7 @@ def offered_rows(rows: DataFrame, features, trees, chance: float, seed: int) ->
     """
     count = len(trees)
     forest_of, tree_of = (np.array(c) for c in zip(*trees))
-    sparse = count * chance <= 30.0
+    sparse = count * chance <= 30.0 and chance < 0.5
     if sparse:
         chances = [(1.0 - chance) ** count]
         while chances[-1] > 1e-15 or len(chances) < 2 * count * chance:

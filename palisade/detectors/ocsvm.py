@@ -21,8 +21,8 @@ from palisade.session import tasks_for
 DEFAULTS = {"kernel": "rbf", "nu": 0.02, "gamma": "scale"}
 MAX_TRAIN_ROWS = 50000  # training rows of the kernel detector; None takes all of them
 SHARD_ROWS = 8192
-COMPONENTS = 256
-STEPS = 80
+COMPONENTS = 512
+STEPS = 150
 
 
 def fourier_basis(columns: int, gamma: float, components: int, seed: int):

@@ -12,23 +12,21 @@ def severity_in_intervals(intervals: DataFrame, events: DataFrame, seconds: int
     """
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     size = seconds * 1000000
-    keyed = intervals.withColumns({
-        "_interval": F.monotonically_increasing_id(), "_from": micros("start_time"), "_to": micros("end_time"),
-    })
+    keyed = intervals.withColumns({"_from": micros("start_time"), "_to": micros("end_time")})
+    span = ["src_ip", "_from", "_to"]
     reduced = events.select(F.col("source_ip").alias("src_ip"), micros("timestamp").alias("_at"), "severity").groupBy(
         "src_ip", "_at"
     ).agg(F.max("severity").alias("severity")).withColumn("_bucket", F.floor(F.col("_at") / size))
     per_bucket = reduced.groupBy("src_ip", "_bucket").agg(F.max("severity").alias("severity"))
-    spread = keyed.select(
-        "src_ip", "_interval", "_from", "_to",
-        F.explode(F.sequence(F.floor(F.col("_from") / size), F.floor(F.col("_to") / size))).alias("_bucket"),
+    spread = keyed.select(*span).distinct().select(
+        *span, F.explode(F.sequence(F.floor(F.col("_from") / size), F.floor(F.col("_to") / size))).alias("_bucket"),
     )
     whole = (F.col("_bucket") * size >= F.col("_from")) & ((F.col("_bucket") + 1) * size - 1 <= F.col("_to"))
-    covered = spread.where(whole).join(per_bucket, ["src_ip", "_bucket"]).select("_interval", "severity")
+    covered = spread.where(whole).join(per_bucket, ["src_ip", "_bucket"]).select(*span, "severity")
     edges = spread.where(~whole).join(reduced, ["src_ip", "_bucket"])
-    cut = edges.where((F.col("_at") >= F.col("_from")) & (F.col("_at") <= F.col("_to"))).select("_interval", "severity")
-    best = covered.unionByName(cut).groupBy("_interval").agg(F.max("severity").alias("max_severity"))
-    return keyed.join(best, "_interval", "left").select(
+    cut = edges.where((F.col("_at") >= F.col("_from")) & (F.col("_at") <= F.col("_to"))).select(*span, "severity")
+    best = covered.unionByName(cut).groupBy(*span).agg(F.max("severity").alias("max_severity"))
+    return keyed.join(best, span, "left").select(
         *intervals.columns, F.coalesce("max_severity", F.lit(0)).alias("max_severity")
     )
 

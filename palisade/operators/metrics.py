@@ -147,20 +147,16 @@ def ranking_metrics(df: DataFrame, label: str, score: str, convention: str = "te
     ``align_polarity`` turns the score around when anomalies score lower on average than normal rows.
     All groups share one global order, so a group of any size is spread over many slices.
     """
-    keys = list(by) or [F.lit(0).alias("_group")]
-    names = list(by) or ["_group"]
-    counts = score_counts(df, label, score, convention, by).select(*keys, "score", "pos", "neg")
-    slices = SortedSlices(counts, *names, F.col("score").desc(), unique=True)
-    placed = slices.running(pos_run=F.col("pos"), neg_run=F.col("neg"))
+    slices = SortedSlices(score_counts(df, label, score, convention, by), *by, F.col("score").desc(), unique=True)
+    placed = slices.running(by, pos_run=F.col("pos"), neg_run=F.col("neg"))
     d = lambda name: F.col(name).cast("double")
-    totals = placed.groupBy(*names).agg(
-        F.min("pos_run").alias("pos_start"), F.min("neg_run").alias("neg_start"),
+    mean = lambda name: F.sum(d(name) * F.col("score")) / F.sum(name)
+    totals = slices.frame.groupBy(*by).agg(
         F.sum("pos").cast("double").alias("p"), F.sum("neg").cast("double").alias("n"),
-        F.coalesce(F.sum(d("pos") * F.col("score")) / F.sum("pos") < F.sum(d("neg") * F.col("score")) / F.sum("neg"),
-                   F.lit(False)).alias("lower"),
+        F.coalesce(mean("pos") < mean("neg"), F.lit(False)).alias("lower"),
     )
-    joined = placed.join(totals, names) if by else beside(placed.drop("_group"), totals.drop("_group"))
-    pos_above, neg_above = d("pos_run") - d("pos_start"), d("neg_run") - d("neg_start")
+    joined = placed.join(totals, list(by)) if by else beside(placed, totals)
+    pos_above, neg_above = d("pos_run"), d("neg_run")
     above, below = pos_above + d("pos"), neg_above + d("neg")
     up, down = d("p") - pos_above, d("n") - neg_above  # read from the low end
     sums = joined.groupBy(*by).agg(

@@ -9,10 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palisade.session import checkpointed
 
-def _earlier_slices():
-    return Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-
-
 def _as_column(key) -> Column:
     return F.col(key) if isinstance(key, str) else key
 
@@ -30,31 +26,36 @@ class SortedSlices:
         )
         self._inside = Window.partitionBy("_slice").orderBy("_place")
 
-    def running(self, **sums) -> DataFrame:
-        """Add ``<name>``: the sum of the column over all rows before this one in the order."""
+    def running(self, by=(), **sums) -> DataFrame:
+        """Add ``<name>``: the sum of the column over all rows before this one in the order.
+
+        With ``by`` (the leading order columns) the sums begin anew in each group. A group of any size
+        is spread over many slices; there are at most as many (slice, group) pairs as slices and groups.
+        """
         values = {f"_value_{name}": F.coalesce(_as_column(column), F.lit(0)) for name, column in sums.items()}
         valued = self.frame.withColumns(values)
-        per_slice = valued.groupBy("_slice").agg(*[F.sum(v).alias(v) for v in values])
+        place = ["_slice", *by]
+        per_slice = valued.groupBy(*place).agg(*[F.sum(v).alias(v) for v in values])
+        earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
         offsets = per_slice.select(
-            "_slice", *[F.coalesce(F.sum(v).over(_earlier_slices()), F.lit(0)).alias(f"_offset{v}") for v in values]
+            *place, *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"_offset{v}") for v in values]
         )
-        before = self._inside.rowsBetween(Window.unboundedPreceding, -1)
-        summed = valued.join(F.broadcast(offsets), "_slice")  # one row per slice
+        inside = Window.partitionBy(*place).orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+        # without groups there is one row per slice; with groups the optimizer goes by the size
+        summed = valued.join(offsets if by else F.broadcast(offsets), place)
         return summed.withColumns({
-            name: F.coalesce(F.sum(f"_value_{name}").over(before), F.lit(0)) + F.col(f"_offset_value_{name}")
+            name: F.coalesce(F.sum(f"_value_{name}").over(inside), F.lit(0)) + F.col(f"_offset_value_{name}")
             for name in sums
         }).drop(*values, *[f"_offset{v}" for v in values])
 
-    def numbered(self, name: str = "row_number") -> DataFrame:
-        """Add the 0-based place of the row in the whole order; needs no second sort."""
-        counts = self.frame.groupBy("_slice").agg(F.count(F.lit(1)).alias("_rows"))
-        offsets = counts.select("_slice", F.coalesce(F.sum("_rows").over(_earlier_slices()), F.lit(0)).alias("_offset"))
-        inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-        return (
-            self.frame.join(F.broadcast(offsets), "_slice")  # one row per slice
-            .withColumn(name, (inside + F.col("_offset")).cast("long"))
-            .drop("_offset")
-        )
+    def numbered(self, name: str = "row_number", by=()) -> DataFrame:
+        """Add the 0-based place of the row in the whole order (or its group); needs no second sort."""
+        place = ["_slice", *by]
+        counts = self.frame.groupBy(*place).agg(F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first"))
+        earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.select(*place, "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+        numbered = self.frame.join(offsets if by else F.broadcast(offsets), place)
+        return numbered.withColumn(name, F.col("_place") - F.col("_first") + F.col("_offset")).drop("_first", "_offset")
 
     def previous(self, **columns) -> DataFrame:
         """Add ``<name>``: the value of the column in the row before this one in the order."""
@@ -74,8 +75,8 @@ def plain(df: DataFrame) -> DataFrame:
     return df.drop("_slice", "_place")
 
 
-def running_totals(df: DataFrame, order, unique: bool = False, **sums) -> DataFrame:
-    return plain(SortedSlices(df, *order, unique=unique).running(**sums))
+def running_totals(df: DataFrame, order, unique: bool = False, by=(), **sums) -> DataFrame:
+    return plain(SortedSlices(df, *by, *order, unique=unique).running(by, **sums))
 
 
 def with_row_number(df: DataFrame, order, name: str = "row_number", unique: bool = False) -> DataFrame:
@@ -84,11 +85,7 @@ def with_row_number(df: DataFrame, order, name: str = "row_number", unique: bool
 
 def numbered_within(df: DataFrame, group: str, order, name: str = "row_number", unique: bool = False) -> DataFrame:
     """0-based row number inside each group, also when one group holds most rows."""
-    numbered = with_row_number(df, [group, *order], "_place_in_all", unique)
-    starts = numbered.groupBy(group).agg(F.min("_place_in_all").alias("_group_start"))
-    return numbered.join(starts, group).withColumn(name, F.col("_place_in_all") - F.col("_group_start")).drop(
-        "_place_in_all", "_group_start"
-    )
+    return plain(SortedSlices(df, group, *order, unique=unique).numbered(name, [group]))
 
 
 def first_per_key(df: DataFrame, keys, order, newest: bool = False) -> DataFrame:
@@ -112,12 +109,10 @@ def exact_quantiles(df: DataFrame, columns, probabilities) -> DataFrame:
     Spark's own ``percentile`` keeps all distinct values of a group in one buffer, so it is not used.
     """
     slices = SortedSlices(value_counts(df, columns), "name", "value", unique=True)
-    placed = plain(slices.running(before=F.col("n")))
-    totals = slices.frame.groupBy("name").agg(F.sum("n").alias("total"))  # one row per column
-    starts = F.sum("total").over(Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1))
-    spans = totals.select("name", "total", F.coalesce(starts, F.lit(0)).alias("start"))
+    placed = plain(slices.running(["name"], before=F.col("n")))
+    spans = slices.frame.groupBy("name").agg(F.sum("n").alias("total"))  # one row per column
     wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-    rank = F.col("before") - F.col("start")
+    rank = F.col("before")
     ends = rank + F.col("n")
 
     def inside(position):

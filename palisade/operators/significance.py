@@ -102,11 +102,10 @@ def signed_rank_sums(df: DataFrame, pairs) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("d") > 0, 1).otherwise(0)).alias("up"),
     )
     zeros = sizes.where("size = 0").select("pair", F.col("n").alias("zeros"))
-    placed = running_totals(sizes.where("size > 0"), ["pair", "size"], unique=True, before=F.col("n"))
-    starts = placed.groupBy("pair").agg(F.min("before").alias("start"))
+    placed = running_totals(sizes.where("size > 0"), ["size"], unique=True, by=["pair"], before=F.col("n"))
     d = lambda c: c.cast("double")
-    rank = d(F.col("before") - F.col("start")) + (d(F.col("n")) + 1.0) / 2.0
-    sums = placed.join(F.broadcast(starts), "pair").groupBy("pair").agg(  # one row per pair
+    rank = d(F.col("before")) + (d(F.col("n")) + 1.0) / 2.0
+    sums = placed.groupBy("pair").agg(
         F.sum("n").alias("n"), F.sum(rank * F.col("up")).alias("w_plus"),
         F.sum(rank * (F.col("n") - F.col("up"))).alias("w_minus"),
         F.sum(d(F.col("n")) * d(F.col("n")) * d(F.col("n")) - d(F.col("n"))).alias("ties"),

@@ -8,6 +8,7 @@ from palisade import schema as S
 from palisade.functions.labels import binary_label
 from palisade.functions.numbers import count_if
 from palisade.operators.ordering import numbered_within, running_totals, with_row_number
+from palisade.session import checkpointed
 
 TRAIN, VALIDATION, TEST = "train", "validation", "test"
 
@@ -28,11 +29,11 @@ def _cuts(df: DataFrame, group: str, time: str, frac) -> DataFrame:
     """Per group the two cut times: ends of equal-time groups nearest to the wanted row counts."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_rows"))
     per_time = df.where(F.col(time).isNotNull()).groupBy(group, time).agg(F.count(F.lit(1)).alias("_n"))
-    placed = running_totals(per_time, [group, time], unique=True, _before=F.col("_n"))
-    starts = placed.groupBy(group).agg(F.min("_before").alias("_start"))
-    ends = placed.join(starts, group).join(sizes, group).select(
-        group, F.col(time).alias("_time"), "_rows", (F.col("_before") - F.col("_start") + F.col("_n")).alias("_end")
-    )
+    placed = running_totals(per_time, [time], unique=True, by=[group], _before=F.col("_n"))
+    # read for both cuts; one row per group and time
+    ends = checkpointed(placed.join(sizes, group).select(
+        group, F.col(time).alias("_time"), "_rows", (F.col("_before") + F.col("_n")).alias("_end")
+    ))
     nearest = lambda target: F.min_by(
         F.struct("_end", "_time"), F.struct(F.abs(F.col("_end") - target), F.col("_end")))
     first_target = F.floor(F.col("_rows") * F.lit(float(frac[0])))

@@ -85,19 +85,16 @@ def infer_years(events: DataFrame, order=("line_number",), source: str = "source
     """
     usable = events.where(F.col("src_ip").isNotNull()).withColumn("_in_leap_year", _header_as(F.lit(2000)))
     usable = usable.where(F.col("_in_leap_year").isNotNull()).withColumn("_month", F.month("_in_leap_year"))
+    usable = checkpointed(usable)  # the sort looks at its input twice; lines are parsed once
     slices = SortedSlices(usable, source, *order)
-    slices.frame = slices.previous(_file_before=source, _month_before="_month")
+    flagged = slices.previous(_file_before=source, _month_before="_month")
     drop = (F.col("_file_before") == F.col(source)) & (F.col("_month") < F.col("_month_before"))
-    slices.frame = slices.frame.withColumn("_new_year", F.coalesce(drop, F.lit(False)).cast("int"))
-    counted = plain(slices.running(_years_before=F.col("_new_year")))
-    starts = counted.groupBy(source).agg(F.min("_years_before").alias("_years_at_start"))
-    year = F.lit(first_year) + F.col("_years_before") + F.col("_new_year") - F.col("_years_at_start")
-    return (
-        counted.join(starts, source)
-        .withColumn("event_year", year.cast("int"))
-        .withColumn("event_time", _header_as(F.col("event_year")))
-        .drop("_in_leap_year", "_month", "_file_before", "_month_before", "_new_year", "_years_before", "_years_at_start")
-    )
+    flagged = flagged.withColumn("_new_year", F.coalesce(drop, F.lit(False)).cast("int"))
+    slices.frame = checkpointed(flagged.drop("_file_before", "_month_before", "_month", "_in_leap_year"))
+    counted = plain(slices.running([source], _years_before=F.col("_new_year")))
+    year = F.lit(first_year) + F.col("_years_before") + F.col("_new_year")
+    dated = counted.withColumn("event_year", year.cast("int")).drop("_new_year", "_years_before")
+    return dated.withColumn("event_time", _header_as(F.col("event_year")))
 
 
 def window_choice(events: DataFrame, source: str = "source_file") -> DataFrame:

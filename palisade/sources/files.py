@@ -28,7 +28,7 @@ def read_train_test(spark: SparkSession, train: str, test: str, schema=None) ->
 
 def file_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 unless some line cannot be read as such."""
-    broken = spark.read.text(path).where(F.col("value").contains("�"))
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value"))
     return "UTF-8" if broken.isEmpty() else "windows-1252"
 
 
