@@ -29,16 +29,27 @@ def read_train_test(spark: SparkSession, train: str, test: str, schema=None) ->
 def file_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 unless some line cannot be read as such."""
     broken = spark.read.text(path).where(~F.is_valid_utf8("value"))
-    return "UTF-8" if broken.isEmpty() else "windows-1252"
+    return "UTF-8" if broken.isEmpty() else "ISO-8859-1"
+
+
+def _western_marks() -> tuple[str, str]:
+    """Characters that ISO-8859-1 leaves as control codes, and what Windows files mean by them."""
+    pairs = [(chr(code), bytes([code]).decode("cp1252", "ignore")) for code in range(0x80, 0xA0)]
+    known = [(a, b) for a, b in pairs if b]
+    return "".join(a for a, _ in known), "".join(b for _, b in known)
 
 
 def read_flows(spark: SparkSession, path, encoding: str | None = None, max_rows: int | None = None) -> DataFrame:
     """Flow CSV with short column names, file name and row number; empty rows are dropped."""
     chosen = encoding or file_encoding(spark, path)
     raw = spark.read.option("header", True).option("encoding", chosen).csv(path)
+    if chosen == "ISO-8859-1":
+        codes, marks = _western_marks()
+        read = raw.columns
+        raw = raw.withColumns({c: F.translate(F.col(f"`{c}`"), codes, marks) for c in read})
     data_columns = raw.columns
     placed = raw.select(
-        "*", F.col("_metadata.file_name").alias("source_file"),
+        *[F.col(f"`{c}`") for c in data_columns], F.col("_metadata.file_name").alias("source_file"),
         F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_read_order"),
     )
     placed = numbered_within(placed, "source_file", ["_block", "_read_order"], "row_number", unique=True)
