@@ -63,7 +63,7 @@ def save_splits(split: DataFrame, folder: str, metadata: dict | None = None) ->
     """Write the parts (and the benign training rows) as one table partitioned by part, plus the manifest."""
     manifest = split_manifest(split, metadata)
     benign = split.where((F.col("split") == TRAIN) & (F.col("label") == S.NORMAL)).withColumn("split", F.lit("train_benign"))
-    split.unionByName(benign).write.mode("overwrite").partitionBy("split").parquet(f"{folder}/parts")
+    split.unionByName(benign).hint("rebalance", "split").write.mode("overwrite").partitionBy("split").parquet(f"{folder}/parts")
     write_json(split.sparkSession, manifest, f"{folder}/split_manifest")
     return manifest
 

@@ -10,7 +10,7 @@ KEEP_DAYS = {"log_event": 90, "feature_vectors": 180}
 
 def write_daily(df: DataFrame, table: str, time: str, mode: str = "append") -> None:
     """A managed table with one partition per day of ``time``."""
-    df.withColumn("event_date", F.to_date(time)).write.mode(mode).partitionBy("event_date").format("parquet").saveAsTable(table)
+    df.withColumn("event_date", F.to_date(time)).hint("rebalance", "event_date").write.mode(mode).partitionBy("event_date").format("parquet").saveAsTable(table)
 
 
 def retained(df: DataFrame, time: str, keep_days: int, today: date) -> DataFrame:

@@ -50,7 +50,8 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame, keys, updated=No
         days = [r[0] for r in rows.select(partition).distinct().collect()]  # days of one batch
         existing = existing.where(F.col(partition).isin(days))
     merged = checkpointed(merged_rows(existing, rows, keys, updated, order))  # the target is also an input
-    writer = merged.write.mode("overwrite")
+    # rebalanced: few files per day, and a large day is still written by several tasks
+    writer = (merged.hint("rebalance", partition) if partition else merged).write.mode("overwrite")
     if partition:
         writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(partition)
     writer.parquet(path)

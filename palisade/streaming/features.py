@@ -53,11 +53,15 @@ def score_and_upsert(events: DataFrame, root: str, model, scaler, window_seconds
     """
     from palisade.plans.serve import score_features
 
+    spark = events.sparkSession
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        closed = batch.persist()
+        # the session of a stateful stream plans without adaptive execution, so the closed windows are
+        # stored and scored in the caller's session
+        path = f"{root}/closed_windows/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(path)
+        closed = spark.read.schema(batch.schema).parquet(path)
         if closed.isEmpty():  # the watermark moved, but no window was closed
-            closed.unpersist()
             return
         features = batch_features(closed, window_seconds)
         made = score_features(features, events, model, scaler, window_seconds)
@@ -67,7 +71,6 @@ def score_and_upsert(events: DataFrame, root: str, model, scaler, window_seconds
                partition="event_date", time="window_start")
         upsert(spark, f"{root}/risk_score", made["risk_score"], RISK_KEYS, RISK_UPDATED, partition="event_date",
                time="timestamp")
-        closed.unpersist()
 
     return write
 
