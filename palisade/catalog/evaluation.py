@@ -200,7 +200,8 @@ def alert_reduction(spark, sf_dir):
     return M.alert_reduction(reports["rule_only"], reports["cascade"])
 
 
-@query("A15_baseline_table", with_inputs(f"""SELECT detector, {r('tp / CAST(tp + fp AS DOUBLE)', 'precision')}, {r('tp / CAST(tp + fn AS DOUBLE)', 'recall')} FROM (
+@query("A15_baseline_table", with_inputs(f"""SELECT detector, {r('CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0 END', 'precision')},
+  {r('CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) ELSE 0 END', 'recall')} FROM (
   SELECT 'cascade' AS detector, count(*) FILTER (score >= 0.8 AND label = 'Anomaly') AS tp, count(*) FILTER (score >= 0.8 AND label = 'Normal') AS fp,
     count(*) FILTER (score < 0.8 AND label = 'Anomaly') AS fn FROM scored UNION ALL
   SELECT 'rule_only', count(*) FILTER (other_score >= 0.7 AND label = 'Anomaly'), count(*) FILTER (other_score >= 0.7 AND label = 'Normal'),
