@@ -5,7 +5,7 @@ nor removed. A line with words fails when it
 
 - ``symbols``: has at least one symbol of ``[#*$%&|<>]`` for every two words,
 - ``navigation``: is split by two or more bars or arrows with at most four words in a piece on average,
-- ``shouting``: has three or more words, and more than six in ten of its letters are capitals,
+- ``shouting``: has three or more words and letters, all of them capitals,
 - ``boilerplate``: holds one of the stock phrases of web pages,
 - ``punctuation``: has four or more words and no closing mark at its end.
 
@@ -13,9 +13,11 @@ NULL texts count as empty: no words, rejected as too short. Repeated rows and ti
 empty table gives an empty table. Extra columns stay; result columns whose names clash get a trailing underscore.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palisade.llm.common import GAP, WORD, free_name, query, table, words_of
+from palisade.llm.common import GAP, WORD, free_name, query, table
 
 # Stock phrases of web pages, matched without regard to case.
 PHRASES = (
@@ -24,43 +26,34 @@ PHRASES = (
 )
 SYMBOLS = r"[#*$%&|<>]"
 BARS = "[|»›>]"
-CLOSERS = "[.!?:;…。！？][\"')\\]»”’]*$"
+CLOSERS = tuple(".!?:;…。！？")
+QUOTES = "\"')]»”’"
+BLANKS = " \t\n\x0b\f\r"
 EDGE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 MIN_WORDS, MAX_REPEAT, MAX_LOSS = 50, 0.5, 0.4
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def count_matches(text: Column, pattern: str) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-
-
-def line_fails(line: Column) -> Column:
-    """Whether one line breaks a rule; false for lines without a word."""
-    trimmed = F.regexp_replace(line, EDGE, "")
-    words = F.size(F.split(trimmed, GAP))
-    letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
-    capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]", ""))
-    symbols = F.length(line) - F.length(F.translate(line, "#*$%&|<>", ""))
-    bars = F.length(line) - F.length(F.regexp_replace(line, BARS, ""))
-    return F.when(trimmed == "", F.lit(False)).otherwise(
-        (symbols * 2 >= words)
-        | ((bars >= 2) & (words <= 4 * (bars + 1)))
-        | ((words >= 3) & (capitals * 10 > letters * 6))
-        | F.lower(line).rlike("|".join(PHRASES))
-        | ((words >= 4) & ~trimmed.rlike(CLOSERS))
-    )
+def words_in(line: Column) -> Column:
+    trimmed = F.btrim(line, F.lit(BLANKS))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, GAP))
 
 
-def repeated_words(words: Column) -> Column:
-    """Number of words that lie in a window of three words found twice or more in the same text.
+def line_fails(line: Column, n: Column, symbols: Column, any_bar: Column, any_phrase: Column) -> Column:
+    """Whether one line of ``n`` words breaks a rule; false for lines without a word.
 
-    Windows are named by 64-bit hashes. Sorting (name, place) puts equal windows side by side, so the work is
-    n log n for any text, and no row leaves its task.
+    ``any_bar`` and ``any_phrase`` say whether the whole text has a bar or a phrase at all; mostly it has not, and
+    then no line is searched for one.
     """
-    codes = F.transform(words, lambda w: F.xxhash64(w))
-    n = F.size(codes) - 2
-    triples = F.arrays_zip(F.slice(codes, 1, n).alias("a"), F.slice(codes, 2, n).alias("b"), F.slice(codes, 3, n).alias("c"))
-    return F.transform(triples, lambda t, i: F.struct(F.xxhash64(t["a"], t["b"], t["c"]).alias("h"), i.alias("i")))
+    bars = F.length(line) - F.length(F.regexp_replace(line, BARS, ""))
+    last = F.substring(F.rtrim(F.rtrim(line, F.lit(BLANKS)), F.lit(QUOTES)), -1, 1)
+    return (n > 0) & (
+        (symbols * 2 >= n)
+        | ((n >= 4) & ~last.isin(*CLOSERS))
+        | ((n >= 3) & (F.upper(line) == line) & (F.lower(line) != line))
+        | (any_bar & (bars >= 2) & (n <= 4 * (bars + 1)))
+        | (any_phrase & F.lower(line).rlike("|".join(PHRASES)))
+    )
 
 
 def judged(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_repeat: float = MAX_REPEAT,
@@ -71,37 +64,49 @@ def judged(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_
     (boolean) and clean_text. ``kept`` is false when the text has fewer than ``min_words`` words, when more than
     ``max_repeat`` of its words lie in repeated three-word windows, or when failing lines hold more than ``max_loss``
     of its words.
+
+    Words in repeated windows: windows are named by 64-bit hashes. Where a text has equal names at all, sorting
+    (name, place) puts them side by side, so the work is n log n for any text, and no row leaves its task.
     """
     name = {c: free_name(docs, c) for c in [*FEATURES, "words_lost", "base_failed", "kept", "clean_text"]}
-    t, w, l, s = (free_name(docs, c) for c in ("_t", "_w", "_l", "_s"))
+    t, w, l, c, h, s, has = (free_name(docs, x) for x in ("_t", "_w", "_l", "_c", "_h", "_s", "_has"))
     # Each step is a projection of its own, so that no array is built twice.
     step = docs.withColumn(t, F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    step = step.withColumns({
-        w: words_of(F.col(t)),
-        l: F.transform(F.split(F.col(t), "\n"), lambda x: F.struct(
-            x.alias("line"), x.rlike(WORD).alias("full"), line_fails(x).alias("bad"))),
-    })
-    step = step.withColumn(s, F.when(F.size(w) > 2, F.array_sort(repeated_words(F.col(w)))))
+    step = step.withColumn(has, F.struct(
+        F.col(t).rlike(SYMBOLS).alias("symbol"), F.col(t).rlike(BARS).alias("bar"),
+        reduce(lambda a, b: a | b, [F.contains(F.lower(t), F.lit(p)) for p in PHRASES]).alias("phrase")))
+    step = step.withColumn(l, F.transform(F.split(F.col(t), "\n"), lambda x: F.struct(
+        x.alias("line"), words_in(x).alias("words"),
+        F.when(F.col(f"{has}.symbol"), F.length(x) - F.length(F.regexp_replace(x, SYMBOLS, ""))).otherwise(0).alias("symbols"))))
+    step = step.withColumn(w, F.flatten(F.transform(l, lambda x: x["words"])))
+    step = step.withColumn(l, F.transform(l, lambda x: F.struct(
+        x["line"].alias("line"), F.size(x["words"]).alias("n"), x["symbols"].alias("symbols"),
+        line_fails(x["line"], F.size(x["words"]), x["symbols"], F.col(f"{has}.bar"), F.col(f"{has}.phrase")).alias("bad"))))
+    step = step.withColumn(c, F.transform(w, lambda x: F.xxhash64(x)))
+    step = step.withColumn(h, F.transform(F.slice(c, 1, F.greatest(F.size(c) - 2, F.lit(0))), lambda x, i: F.xxhash64(
+        x, F.get(c, i + 1), F.get(c, i + 2))))
+    step = step.withColumn(s, F.when(F.size(F.array_distinct(h)) < F.size(h), F.array_sort(
+        F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
     pairs = F.arrays_zip(F.slice(s, 1, F.size(s) - 1).alias("a"), F.slice(s, 2, F.size(s) - 1).alias("b"))
     equal = F.filter(pairs, lambda p: p["a"]["h"] == p["b"]["h"])
     places = F.flatten(F.transform(equal, lambda p: F.array(
         p["a"]["i"], p["a"]["i"] + 1, p["a"]["i"] + 2, p["b"]["i"], p["b"]["i"] + 1, p["b"]["i"] + 2)))
-    full = F.transform(F.filter(l, lambda x: x["full"]), lambda x: x["line"])
+    full = F.transform(F.filter(l, lambda x: x["n"] > 0), lambda x: x["line"])
     good = F.transform(F.filter(l, lambda x: ~x["bad"]), lambda x: x["line"])
+    total = lambda xs, f: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + f(x))
     step = step.withColumns({
         name["n_words"]: F.size(w).cast("long"),
-        name["word_chars"]: F.length(F.regexp_replace(t, GAP, "")).cast("long"),
-        name["n_symbols"]: (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long"),
+        name["word_chars"]: F.length(F.array_join(w, "")).cast("long"),
+        name["n_symbols"]: total(l, lambda x: x["symbols"]),
         name["n_dup_lines"]: (F.size(full) - F.size(F.array_distinct(full))).cast("long"),
-        name["n_repeat_words"]: F.when(F.size(w) > 3, F.size(F.array_distinct(places))).otherwise(0).cast("long"),
+        name["n_repeat_words"]: F.when(F.col(s).isNotNull(), F.size(F.array_distinct(places))).otherwise(0).cast("long"),
+        name["words_lost"]: total(l, lambda x: F.when(x["bad"], x["n"]).otherwise(0)),
         name["clean_text"]: F.array_join(good, "\n"),
     })
-    count, repeat, clean = F.col(name["n_words"]), F.col(name["n_repeat_words"]), F.col(name["clean_text"])
-    step = step.withColumn(name["words_lost"], count - F.size(words_of(clean)).cast("long"))
-    base = (count < min_words) | (repeat > count * F.lit(max_repeat))
-    step = step.withColumn(name["base_failed"], base)
+    count, repeat = F.col(name["n_words"]), F.col(name["n_repeat_words"])
+    step = step.withColumn(name["base_failed"], (count < min_words) | (repeat > count * F.lit(max_repeat)))
     step = step.withColumn(name["kept"], ~F.col(name["base_failed"]) & (F.col(name["words_lost"]) <= count * F.lit(max_loss)))
-    return step.drop(t, w, l, s)
+    return step.drop(t, w, l, c, h, s, has)
 
 
 ORACLE = f"""
@@ -117,16 +122,14 @@ lines AS (
   SELECT rid, line, regexp_replace(line, '{EDGE}', '', 'g') AS trimmed FROM (SELECT rid, unnest(l) AS line FROM numbered)),
 counted AS (
   SELECT rid, line, trimmed, len(regexp_extract_all(line, '{WORD}')) AS n,
-    length(regexp_replace(line, '[^\\p{{L}}]', '', 'g')) AS letters,
-    length(regexp_replace(line, '[^\\p{{Lu}}]', '', 'g')) AS capitals,
     length(line) - length(regexp_replace(line, '{SYMBOLS}', '', 'g')) AS symbols,
     length(line) - length(regexp_replace(line, '{BARS}', '', 'g')) AS bars
   FROM lines WHERE trimmed <> ''),
 failed AS (
   SELECT rid, sum(n) AS words_lost FROM counted
-  WHERE symbols * 2 >= n OR (bars >= 2 AND n <= 4 * (bars + 1)) OR (n >= 3 AND capitals * 10 > letters * 6)
+  WHERE symbols * 2 >= n OR (bars >= 2 AND n <= 4 * (bars + 1)) OR (n >= 3 AND upper(line) = line AND lower(line) <> line)
     OR regexp_matches(lower(line), '{"|".join(PHRASES)}')
-    OR (n >= 4 AND NOT regexp_matches(trimmed, '{CLOSERS.replace("'", "''")}'))
+    OR (n >= 4 AND NOT regexp_matches(trimmed, '[.!?:;…。！？]["'')\\]»”’]*$'))
   GROUP BY rid),
 dups AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE trimmed <> '' GROUP BY rid),
 flat AS (
