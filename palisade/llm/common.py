@@ -11,16 +11,14 @@ GAP = r"[\x20\x09-\x0D]+"
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-# Rows of one Arrow batch; texts may be long, so far fewer than the default.
-BATCH_ROWS = 512
+# Bytes of one Arrow batch, so that a task holds few texts at a time.
+BATCH_BYTES = "4m"
 
 
 def ready(spark: SparkSession) -> None:
-    """Ship the package to the executors and keep Arrow batches of long texts small."""
+    """Ship the package to the executors and bound Arrow batches by their bytes, as texts may be long."""
     ship_package(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
