@@ -4,7 +4,7 @@ from importlib import import_module
 
 from palisade.llm import common
 
-_MODULES = ["quality", "chat", "tokens", "pii", "pieces", "hosts", "lines", "decontaminate", "jaccard"]
+_MODULES = ["quality", "chat", "tokens", "pii", "pieces", "hosts", "lines", "decontaminate", "jaccard", "substrings"]
 
 
 def load():
