@@ -27,7 +27,8 @@ def escaped(text: Column) -> Column:
 
 
 def escaped_role(role: Column) -> Column:
-    return F.replace(escaped(role), F.lit("|"), F.lit("\\|"))
+    doubled = F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+    return F.regexp_replace(doubled, OPENINGS, r"$0\\")
 
 
 def unescaped(text: Column) -> Column:
