@@ -703,10 +703,10 @@ def users_by_address(spark, sf_dir):
 @query("J07_with_history", with_inputs("""
 SELECT n.src_ip, n.c AS current_count, coalesce(p.c, 0) AS past_count FROM
   (SELECT source_ip AS src_ip, count(*) AS c FROM log_event WHERE timestamp >= TIMESTAMP '2024-01-29' GROUP BY 1) n LEFT JOIN
-  (SELECT source_ip AS src_ip, count(*) AS c FROM log_event WHERE timestamp < TIMESTAMP '2024-01-02' GROUP BY 1) p ON p.src_ip = n.src_ip""", "log_event"))
+  (SELECT source_ip AS src_ip, count(*) AS c FROM log_event WHERE timestamp < TIMESTAMP '2024-01-29' GROUP BY 1) p ON p.src_ip = n.src_ip""", "log_event"))
 def with_history(spark, sf_dir):
     events = I.log_event(spark, sf_dir).withColumnRenamed("source_ip", "src_ip")
-    return J.with_history(events.where("timestamp >= TIMESTAMP_NTZ'2024-01-29'"), events.where("timestamp < TIMESTAMP_NTZ'2024-01-02'"))
+    return J.with_history(events.where("timestamp >= TIMESTAMP_NTZ'2024-01-29'"), events.where("timestamp < TIMESTAMP_NTZ'2024-01-29'"))
 
 
 @query("J10_lineage", with_inputs("""

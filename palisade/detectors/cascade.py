@@ -189,7 +189,7 @@ def fit_cascade(train: DataFrame, features=None, label: str | None = None, valid
                 gate_rate: float = GATE_RATE, w_stage1: float = W_STAGE1, iforest: dict | None = None,
                 ocsvm: dict | None = None, criterion: str = "fpr_budget", max_fpr: float = 0.02,
                 uncertainty_margin: float = UNCERTAINTY_MARGIN, threshold_percentile: float | None = None,
-                model_version: str = S.DEFAULT_MODEL_VERSION, convention: str = "text") -> Cascade:
+                model_version: str = S.DEFAULT_MODEL_VERSION, convention: str = "text", max_rows: int | None = None) -> Cascade:
     """Fit both stages on benign rows and calibrate gate, ranks and threshold.
 
     ``train`` holds scaled features. With a ``label`` only its normal rows are used. Offsets, gate and
@@ -201,7 +201,7 @@ def fit_cascade(train: DataFrame, features=None, label: str | None = None, valid
     rows = benign_rows(train, label) if label else train
     rows = checkpointed(rows.select(*[F.col(f).cast("double").alias(f) for f in features]))  # read many times
     forest = grow_forests(rows, features, [iforest or {}])[0]
-    boundary = fit_boundaries(rows, features, [ocsvm or {}])[0]
+    boundary = fit_boundaries(rows, features, [ocsvm or {}], max_rows)[0]
     scored = checkpointed(raw_scores(rows, [forest], [boundary], features).select("f0", "b0"))
     level = gate_level(gate_rate)
     extra = [1.0 - forest.params["contamination"], 1.0 - boundary.params["nu"], level, max(0.01, level - 0.2)]

@@ -19,7 +19,7 @@ from palisade.operators.ordering import quantile_table
 from palisade.session import tasks_for
 
 DEFAULTS = {"kernel": "rbf", "nu": 0.02, "gamma": "scale"}
-MAX_TRAIN_ROWS = 50000  # training rows of the kernel detector; None takes all of them
+MAX_TRAIN_ROWS = None  # a number fits on a sample of about so many rows; None takes all of them
 SHARD_ROWS = 8192
 COMPONENTS = 512
 STEPS = 150

@@ -60,7 +60,8 @@ def _distinct(items, defaults):
 class Sweep:
     """Fitted stages of a list of cascade settings: name, iforest, ocsvm, gate_rate, w_stage1, features."""
 
-    def __init__(self, train: DataFrame, configs: list, features=None, label: str | None = None):
+    def __init__(self, train: DataFrame, configs: list, features=None, label: str | None = None,
+                 max_rows: int | None = None):
         self.features = list(features or S.FEATURES)
         self.configs = configs
         subset = lambda c: {"features": list(c["features"])} if c.get("features") else {}
@@ -72,7 +73,7 @@ class Sweep:
         rows = benign_rows(train, label) if label else train
         rows = checkpointed(rows.select(*[F.col(f).cast("double").alias(f) for f in self.features]))
         self.forests = grow_forests(rows, self.features, forests)
-        self.bounds = fit_boundaries(rows, self.features, bounds)
+        self.bounds = fit_boundaries(rows, self.features, bounds, max_rows)
         self.names_f = [f"f{i}" for i in range(len(self.forests))]
         self.names_b = [f"b{i}" for i in range(len(self.bounds))]
         self.train = checkpointed(raw_scores(rows, self.forests, self.bounds, self.features).select(

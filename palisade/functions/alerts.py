@@ -68,7 +68,7 @@ def parse_alerts(lines: DataFrame, column: str = "value", default_time: Column |
     web = F.lower(F.coalesce(a["location"], F.lit(""))).rlike(WEB_WORDS) | F.lower(F.coalesce(log, F.lit(""))).rlike(WEB_WORDS)
     level = F.coalesce(_whole_number(a["rule"]["level"]), F.lit(0))
     payload = F.get_json_object(F.col(column), "$.data")
-    when = F.to_timestamp(a["timestamp"])
+    when = F.try_to_timestamp(a["timestamp"])
     return framed.select(
         F.sha2(F.col(column), 256).alias("event_id"),
         (when if default_time is None else F.coalesce(when, default_time)).alias("timestamp"),

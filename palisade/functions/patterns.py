@@ -79,15 +79,17 @@ def with_priority(df: DataFrame) -> DataFrame:
 
 
 def parse_logfmt(df: DataFrame, column: str) -> DataFrame:
-    """Add ``fields``: the key=value pairs of a line as a map; quoted values may hold blanks."""
+    """Add ``fields``: the key=value pairs of a line as a map; quoted values may hold blanks, the last of equal keys wins."""
     line = F.col(column)
     pairs = F.regexp_extract_all(line, F.lit(r'([A-Za-z0-9_.\-]+=(?:"[^"]*"|[^ ]*))'), F.lit(1))
     entry = lambda p: F.struct(
         F.substring_index(p, "=", 1).alias("key"),
         F.btrim(F.regexp_replace(p, r"^[^=]*=", ""), F.lit('"')).alias("value"),
     )
-    last = F.map_from_entries(F.array_distinct(F.transform(pairs, entry)))
-    return df.withColumn("fields", last)
+    listed = F.transform(pairs, entry)
+    # a key may come again: the last value counts
+    later = lambda e, i: F.exists(F.slice(listed, i + 2, F.size(listed)), lambda f: f["key"] == e["key"])
+    return df.withColumn("fields", F.map_from_entries(F.filter(listed, lambda e, i: ~later(e, i))))
 
 
 def parse_json_lines(df: DataFrame, column: str, fields: str) -> DataFrame:

@@ -71,7 +71,7 @@ def header_time(text: Column, year: int) -> Column:
 
 def event_time(df: DataFrame, year: int | None = None, columns=None) -> Column | None:
     """First time column with a value; the text header when a year is given; None without either."""
-    found = [F.col(c).cast("timestamp") for c in (columns or TIME_COLUMNS) if c in df.columns]
+    found = [F.col(c).try_cast("timestamp") for c in (columns or TIME_COLUMNS) if c in df.columns]
     if year is not None:
         found.append(header_time(line_text(df), year))
     return F.coalesce(*found) if found else None

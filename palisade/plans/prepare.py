@@ -49,8 +49,8 @@ def unified_dataset(*datasets: DataFrame) -> DataFrame:
 
 def prepare_flows(spark: SparkSession, paths, folder: str, frac=(0.6, 0.2, 0.2), strategy: str = "day",
                   max_rows: int | None = None) -> dict:
-    """Flow files to a split folder; returns the manifest."""
-    flows = checkpointed(flow_dataset(read_flows(spark, paths, max_rows=max_rows)))
+    """Flow files to a split folder; returns the manifest. ``max_rows`` takes evenly spaced rows of all files."""
+    flows = checkpointed(flow_dataset(read_flows(spark, paths)))
     kept = checkpointed(distinct_vectors(flows, VECTOR_ORDER))
     audit = duplicate_audit(flows, kept).first().asDict()
     rows = spaced_rows(kept, VECTOR_ORDER, max_rows) if max_rows else kept
@@ -63,7 +63,7 @@ def prepare_logins(spark: SparkSession, paths, folder: str, frac=(0.6, 0.2, 0.2)
                    max_rows: int | None = None) -> dict:
     """Login log files to a split folder with parts that share no address; returns the manifest."""
     known = read_attackers(spark, attackers) if attackers else None
-    lines = read_log_lines(spark, paths, max_rows * 100 if max_rows else None)
+    lines = read_log_lines(spark, paths)
     rows = checkpointed(distinct_vectors(login_dataset(lines, known), VECTOR_ORDER))
     rows = spaced_rows(rows, VECTOR_ORDER, max_rows) if max_rows else rows
     split = checkpointed(temporal_split(rows, frac, entity_disjoint=True))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from palisade.detectors.cascade import Cascade
 from palisade.detectors.preprocess import Scaler
-from palisade.sinks.upsert import _exists
+from palisade.session import path_exists
 
 KEEP_BACKUPS = 2
 
@@ -45,7 +45,7 @@ class ModelRegistry:
 
     def catalog(self) -> DataFrame:
         """All kept revisions: the current one and the newest two backups of each version."""
-        if not _exists(self.spark, f"{self.root}/catalog"):
+        if not path_exists(self.spark, f"{self.root}/catalog"):
             raise FileNotFoundError(f"no model is registered below {self.root}")
         entries = self.spark.read.parquet(f"{self.root}/catalog")
         age = F.row_number().over(Window.partitionBy("version").orderBy(F.col("revision").desc()))  # few registrations
@@ -68,5 +68,5 @@ class ModelRegistry:
         entry = self.manifest(version)
         home = f"{self.root}/models/version={entry['version']}/revision={entry['revision']}"
         model = Cascade.from_parts(entry["model"], self.spark.read.parquet(f"{home}/nodes"))
-        scaler = Scaler.load(self.spark, f"{home}/scaler") if _exists(self.spark, f"{home}/scaler") else None
+        scaler = Scaler.load(self.spark, f"{home}/scaler") if path_exists(self.spark, f"{home}/scaler") else None
         return model, scaler

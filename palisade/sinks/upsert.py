@@ -3,12 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palisade.functions.numbers import row_hash
-from palisade.session import checkpointed
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+from palisade.session import checkpointed, path_exists, remove_path
 
 
 def merged_rows(existing: DataFrame | None, incoming: DataFrame, keys, updated=None, order=(), null_keys: str = "keep") -> DataFrame:
@@ -41,20 +36,36 @@ def merged_rows(existing: DataFrame | None, incoming: DataFrame, keys, updated=N
 
 def upsert(spark: SparkSession, path: str, incoming: DataFrame, keys, updated=None, order=(),
            partition: str | None = None, time: str | None = None) -> None:
-    """Merge into a Parquet table. With ``partition`` (a date of ``time``) only touched days are rewritten."""
+    """Merge into a Parquet table. With ``partition`` (a date of ``time``) only touched days are rewritten.
+
+    Where the time is no part of the key a row may move to another day: the days that hold a key of the batch
+    are touched, too, and a day that loses its last row is removed.
+    """
     rows = incoming
     if partition:
         rows = rows.withColumn(partition, F.to_date(time))
-    existing = spark.read.schema(rows.schema).parquet(path) if _exists(spark, path) else None
+    existing = spark.read.schema(rows.schema).parquet(path) if path_exists(spark, path) else None
+    days = set()
     if existing is not None and partition:
-        days = [r[0] for r in rows.select(partition).distinct().collect()]  # days of one batch
-        existing = existing.where(F.col(partition).isin(days))
-    merged = checkpointed(merged_rows(existing, rows, keys, updated, order))  # the target is also an input
+        touched = rows.select(partition)
+        if time not in keys:
+            touched = touched.unionByName(existing.join(rows.select(*keys).distinct(), list(keys), "left_semi").select(partition))
+        days = {r[0] for r in touched.distinct().collect()}  # days of one batch and of its keys
+        known = [d for d in days if d is not None]
+        existing = existing.where(F.col(partition).isin(known) | (F.col(partition).isNull() if None in days else F.lit(False)))
+    merged = merged_rows(existing, rows, keys, updated, order)
+    if partition:
+        merged = merged.withColumn(partition, F.to_date(time))
+    merged = checkpointed(merged)  # the target is also an input
     # rebalanced: few files per day, and a large day is still written by several tasks
     writer = (merged.hint("rebalance", partition) if partition else merged).write.mode("overwrite")
     if partition:
         writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(partition)
     writer.parquet(path)
+    if days:
+        left = {r[0] for r in merged.select(partition).distinct().collect()}
+        for day in days - left - {None}:
+            remove_path(spark, f"{path}/{partition}={day}")
 
 
 # --- fixed values: upsert contracts of the result tables --------------------------------

@@ -8,6 +8,7 @@ from palisade.functions.numbers import count_if
 from palisade.functions.text import extract
 from palisade.operators.flows import capture_rank, standard_columns
 from palisade.operators.ordering import first_per_key, numbered_within
+from palisade.session import path_exists
 
 
 def labelled_schema() -> T.StructType:
@@ -26,10 +27,13 @@ def read_train_test(spark: SparkSession, train: str, test: str, schema=None) ->
     return read_features(spark, train, schema), read_features(spark, test, schema)
 
 
-def file_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 unless some line cannot be read as such."""
-    broken = spark.read.text(path).where(~F.is_valid_utf8("value"))
-    return "UTF-8" if broken.isEmpty() else "ISO-8859-1"
+def file_encodings(spark: SparkSession, path) -> dict:
+    """Encoding to its files: UTF-8 unless some line of the file cannot be read as such. One small row per file."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("good"))
+    found: dict = {}
+    for row in lines.groupBy("file").agg(F.min("good").alias("good")).orderBy("file").collect():
+        found.setdefault("UTF-8" if row.good else "ISO-8859-1", []).append(row.file)
+    return found
 
 
 def _western_marks() -> tuple[str, str]:
@@ -40,18 +44,20 @@ def _western_marks() -> tuple[str, str]:
 
 
 def read_flows(spark: SparkSession, path, encoding: str | None = None, max_rows: int | None = None) -> DataFrame:
-    """Flow CSV with short column names, file name and row number; empty rows are dropped."""
-    chosen = encoding or file_encoding(spark, path)
-    raw = spark.read.option("header", True).option("encoding", chosen).csv(path)
-    if chosen == "ISO-8859-1":
-        codes, marks = _western_marks()
+    """Flow CSV with short column names, file name and row number; empty rows are dropped. Each file has its encoding."""
+    placed, data_columns = None, []
+    for chosen, files in ({encoding: path} if encoding else file_encodings(spark, path) or {"UTF-8": path}).items():
+        raw = spark.read.option("header", True).option("encoding", chosen).csv(files)
         read = raw.columns
-        raw = raw.withColumns({c: F.translate(F.col(f"`{c}`"), codes, marks) for c in read})
-    data_columns = raw.columns
-    placed = raw.select(
-        *[F.col(f"`{c}`") for c in data_columns], F.col("_metadata.file_name").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_read_order"),
-    )
+        if chosen == "ISO-8859-1":
+            codes, marks = _western_marks()
+            raw = raw.withColumns({c: F.translate(F.col(f"`{c}`"), codes, marks) for c in read})
+        raw = raw.select(
+            *[F.col(f"`{c}`") for c in read], F.col("_metadata.file_name").alias("source_file"),
+            F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_read_order"),
+        )
+        placed = raw if placed is None else placed.unionByName(raw, allowMissingColumns=True)
+        data_columns += [c for c in read if c not in data_columns]
     placed = numbered_within(placed, "source_file", ["_block", "_read_order"], "row_number", unique=True)
     if max_rows is not None:
         placed = placed.where(F.col("row_number") < max_rows)
@@ -60,14 +66,19 @@ def read_flows(spark: SparkSession, path, encoding: str | None = None, max_rows:
 
 
 def discover_files(spark: SparkSession, folders, pattern: str = "*.csv") -> DataFrame:
-    """(file_name, path, priority, rank): each file name from the first folder that holds it, in capture order."""
-    found = None
+    """(file_name, path, priority, rank): each file name from the first folder that holds it, in capture order.
+
+    Folders that are not there are skipped.
+    """
+    found = spark.createDataFrame([], "file_name string, path string, priority int")
     for priority, folder in enumerate(folders):
+        if not path_exists(spark, folder):
+            continue
         listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option(
             "recursiveFileLookup", True).load(folder)
         listed = listed.select(
             F.element_at(F.split("path", "/"), -1).alias("file_name"), "path", F.lit(priority).alias("priority"))
-        found = listed if found is None else found.unionByName(listed)
+        found = found.unionByName(listed)
     kept = first_per_key(found, ["file_name"], ["priority", "path"])
     return kept.withColumn("rank", capture_rank(F.col("file_name"))).orderBy("rank", "file_name")
 

@@ -19,7 +19,7 @@ def read_table(spark: SparkSession, root: str, name: str, limit: int | None = No
     return table if limit is None else table.limit(limit)
 
 
-def query_frame(spark: SparkSession, sql: str, limit: int | None = 50000, args: dict | None = None, **frames) -> DataFrame:
+def query_frame(spark: SparkSession, sql: str, limit: int | None = None, args: dict | None = None, **frames) -> DataFrame:
     """Parameterised SQL over the given frames."""
     for name, frame in frames.items():
         frame.createOrReplaceTempView(name)
@@ -57,8 +57,8 @@ def newest_risk(risk: DataFrame, limit: int = 100) -> DataFrame:
     return newest(risk, "timestamp", limit, ("id",))
 
 
-def range_or_newest(events: DataFrame, start, end, limit: int = 50000, time: str = "timestamp") -> DataFrame:
-    """Rows of the time range; the newest rows of the table when the range is empty."""
+def range_or_newest(events: DataFrame, start, end, limit: int, time: str = "timestamp") -> DataFrame:
+    """Rows of the time range; the ``limit`` newest rows of the table when the range is empty."""
     inside = events.where((F.col(time) >= F.lit(start)) & (F.col(time) <= F.lit(end)))
     return newest(events, time, limit, ("event_id",)) if inside.isEmpty() else inside
 

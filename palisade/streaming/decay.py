@@ -68,6 +68,6 @@ def save_mark(spark: SparkSession, path: str, mark: datetime) -> None:
 
 
 def load_mark(spark: SparkSession, path: str):
-    from palisade.sinks.upsert import _exists
+    from palisade.session import path_exists
 
-    return spark.read.parquet(path).agg(F.max("mark")).first()[0] if _exists(spark, path) else None
+    return spark.read.parquet(path).agg(F.max("mark")).first()[0] if path_exists(spark, path) else None

@@ -23,14 +23,16 @@ def without_repeats(events: DataFrame, delay: str = "10 minutes", time: str = "t
 def write_batch(folder: str, column: str = "value"):
     """A foreachBatch writer: events and dead letters of a batch go to a folder of its number.
 
-    Running a batch again overwrites the same folder, so a retry after a lost executor adds nothing.
+    Running a batch again overwrites the same folder, so a retry after a lost executor adds nothing. Alerts
+    without a readable time get the time of arrival.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         filled = batch.withColumn(column, F.trim(column)).where(F.col(column) != "").persist()
         try:
             good = is_json(F.col(column))
-            accepted, refused = split_rejected(parse_alerts(filled.where(good), column), is_storable())
+            accepted, refused = split_rejected(
+                parse_alerts(filled.where(good), column, F.current_timestamp()), is_storable())
             dead = filled.where(~good).select(F.col(column).alias("line"), F.lit("not JSON").alias("reason")).unionByName(
                 refused.select(F.col("parsed_json").alias("line"), F.lit("constraint").alias("reason")))
             accepted.write.mode("overwrite").parquet(f"{folder}/log_event/batch={batch_id}")
