@@ -104,7 +104,16 @@ def scored_stream(spark, sf_dir):
     return results.groupBy("window_start").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("X07_fading_risk")
+@query("X07_fading_risk", with_inputs("""
+SELECT src_ip, round(score, 6) + 0.0 AS score, timestamp, decayed,
+  CASE WHEN score > 80 THEN 'Critical' WHEN score > 50 THEN 'High' WHEN score > 25 THEN 'Medium' ELSE 'Low' END AS risk_class FROM (
+  SELECT src_ip, CAST(score AS DOUBLE) AS score, timestamp, false AS decayed FROM risk
+  UNION ALL
+  SELECT src_ip, greatest(15.0, s / power(2, k)), timestamp + to_days(CAST(30 * k AS INTEGER)), true FROM (
+    SELECT src_ip, s, timestamp, unnest(range(1, 12)) AS k, upto FROM (
+      SELECT src_ip, CAST(score AS DOUBLE) AS s, timestamp, coalesce(lead(timestamp) OVER (PARTITION BY src_ip ORDER BY timestamp, score),
+        (SELECT max(timestamp) - INTERVAL 1 MINUTE FROM risk)) AS upto FROM risk))
+  WHERE greatest(15.0, s / power(2, k - 1)) > 15 AND timestamp + to_days(CAST(30 * k AS INTEGER)) <= upto)""", "risk"))
 def fading_risk(spark, sf_dir):
     """Risk of addresses that go quiet, halved for every idle month of event time."""
     schema = I.table(spark, sf_dir, "orders").schema

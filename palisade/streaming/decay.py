@@ -17,7 +17,12 @@ def faded(score: float) -> float:
 
 
 def idle_decay(idle_seconds: int = 600):
-    """State function: pass scores on, and halve the last one each time the address stays idle that long."""
+    """State function: pass scores on, and halve the last one each time the address stays idle that long.
+
+    Rows of a trigger are taken in order of time, and gaps between them fade as gaps between triggers do, so the result
+    does not depend on how rows are dealt to triggers; timers only serve the time after the last row. A row that is
+    older than the newest one passes on and changes nothing.
+    """
     step = idle_seconds * 1000
 
     def rows_frame(rows):
@@ -27,22 +32,32 @@ def idle_decay(idle_seconds: int = 600):
             "decayed": [r[3] for r in rows],
         })
 
+    def idle(address, score, last, until):
+        """Rows of the halvings up to a time, and the score and time they end with."""
+        rows = []
+        while score is not None and score > BASELINE_SCORE and last + step <= until:
+            score, last = faded(score), last + step
+            rows.append((address, score, last, True))
+        return rows, score, last
+
     def update(key, batches, state: GroupState):
         address = key[0]
         score, last = state.get if state.exists else (None, -1)
         if state.hasTimedOut:
-            score, last = faded(score), last + step
-            yield rows_frame([(address, score, last, True)])
+            rows, score, last = idle(address, score, last, state.getCurrentWatermarkMs())
         else:
-            for batch in batches:  # one Arrow batch at a time, so a busy address is not held as a whole
-                rows = []
-                for row in batch.sort_values("timestamp").itertuples(index=False):
-                    at = int(row.timestamp.timestamp() * 1000)
-                    if at >= last:
-                        score, last = float(row.score), at
-                    rows.append((address, float(row.score), at, False))
-                if rows:
-                    yield rows_frame(rows)
+            rows = []
+            # two numbers per row of the trigger
+            given = pd.concat([batch[["timestamp", "score"]] for batch in batches]).sort_values(["timestamp", "score"])
+            for row in given.itertuples(index=False):
+                at = int(row.timestamp.timestamp() * 1000)
+                if at >= last:
+                    faded_rows, _, _ = idle(address, score, last, at)
+                    rows += faded_rows
+                    score, last = float(row.score), at
+                rows.append((address, float(row.score), at, False))
+        if rows:
+            yield rows_frame(rows)
         if score is not None and score > BASELINE_SCORE:
             state.update((score, last))
             state.setTimeoutTimestamp(max(last + step, state.getCurrentWatermarkMs() + 1))

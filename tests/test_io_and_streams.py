@@ -173,6 +173,21 @@ def test_idle_addresses_fade(spark, tmp_path):
     assert all(r["score"] >= 15 for r in rows)
 
 
+def test_fading_does_not_depend_on_triggers(spark, tmp_path):
+    hours = [("a", 80.0, 0), ("b", 90.0, 0), ("b", 30.0, 1), ("a", 70.0, 7), ("c", 60.0, 7), ("c", 61.0, 7), ("c", 20.0, 30)]
+    rows = [(k, s, datetime(2024, 1, 1 + h // 24, h % 24)) for k, s, h in hours]
+    schema, found = "src_ip string, score double, timestamp timestamp", []
+    for name, parts in (("one", [rows]), ("many", [[r] for r in rows])):
+        for part in parts:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+        found.append(sorted((r["src_ip"], r["timestamp"], r["score"], r["decayed"]) for r in D.drained(K.fading_risk(stream, 3600)).collect()))
+    assert found[0] == found[1]
+    faded = [(r[0], r[1].hour, r[2]) for r in found[0] if r[3]]
+    assert faded == [("a", 1, 40.0), ("a", 2, 20.0), ("a", 3, 15.0), ("a", 8, 35.0), ("a", 9, 17.5), ("a", 10, 15.0), ("b", 1, 45.0),
+                     ("b", 2, 15.0), ("c", 8, 30.5), ("c", 9, 15.25), ("c", 10, 15.0)]
+
+
 def test_marks(spark, tmp_path):
     path = str(tmp_path / "marks")
     assert K.load_mark(spark, path) is None
