@@ -187,14 +187,18 @@ def trailing_rate(lines: DataFrame, step: str = "1 minute", column: str = "raw_l
 def rolling_rate(lines: DataFrame, time: str = "timestamp", seconds: int = 60, by: str = "source_host") -> DataFrame:
     """Per second and key: lines in the minute that ends there, over its length.
 
-    Lines are counted per second first, then every second adds its count to the seconds it is visible
-    from; the sums need no ordered pass, so a key may hold any share of the lines.
+    Lines are counted per second first. Seconds are summed inside buckets of an hour (or of ``seconds``, if that is
+    longer); the last seconds of a bucket are also listed in the next one. A bucket is small whatever the share of
+    a key, and a second is copied once at most.
     """
+    size = max(3600, seconds)
     second = F.unix_seconds(F.col(time).cast("timestamp"))
     per_second = lines.groupBy(by, second.alias("second")).agg(F.count(F.lit(1)).alias("n"))
-    seen = per_second.select(by, "n", F.explode(F.sequence("second", F.col("second") + (seconds - 1))).alias("second"))
-    summed = seen.groupBy(by, "second").agg((F.sum("n").cast("double") / float(seconds)).alias("rate"))
-    return summed.join(per_second.select(by, "second"), [by, "second"], "left_semi")
+    own, last = F.floor(F.col("second") / size), F.floor((F.col("second") + (seconds - 1)) / size)
+    listed = per_second.withColumn("_bucket", F.explode(F.array_distinct(F.array(own, last))))
+    frame = Window.partitionBy(by, "_bucket").orderBy("second").rangeBetween(1 - seconds, 0)
+    summed = listed.withColumn("rate", F.sum("n").over(frame).cast("double") / float(seconds))
+    return summed.where(own == F.col("_bucket")).select(by, "second", "rate")
 
 
 def container_log_stats(lines: DataFrame, container: str = "source_host", column: str = "raw_log") -> DataFrame:

@@ -25,13 +25,18 @@ def part(df: DataFrame, name: str) -> DataFrame:
     return df.where(F.col("split") == name).drop("split")
 
 
-def _cuts(df: DataFrame, group: str, time: str, frac) -> DataFrame:
-    """Per group the two cut times: ends of equal-time groups nearest to the wanted row counts."""
+def _cuts(df: DataFrame, group: str, time: str, frac, one_group: bool = False) -> DataFrame:
+    """Per group the two cut times: ends of equal-time groups nearest to the wanted row counts.
+
+    With ``one_group`` the tables of one row per group have a single row and are sent to all tasks, so the
+    rows of the group are not brought together on its key.
+    """
+    small = F.broadcast if one_group else (lambda frame: frame)
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_rows"))
     per_time = df.where(F.col(time).isNotNull()).groupBy(group, time).agg(F.count(F.lit(1)).alias("_n"))
     placed = running_totals(per_time, [time], unique=True, by=[group], _before=F.col("_n"))
     # read for both cuts; one row per group and time
-    ends = checkpointed(placed.join(sizes, group).select(
+    ends = checkpointed(placed.join(small(sizes), group).select(
         group, F.col(time).alias("_time"), "_rows", (F.col("_before") + F.col("_n")).alias("_end")
     ))
     nearest = lambda target: F.min_by(
@@ -39,7 +44,7 @@ def _cuts(df: DataFrame, group: str, time: str, frac) -> DataFrame:
     first_target = F.floor(F.col("_rows") * F.lit(float(frac[0])))
     second_target = F.floor(F.col("_rows") * F.lit(float(frac[0] + frac[1])))
     first = ends.groupBy(group).agg(nearest(first_target).alias("_first"))
-    later = ends.join(first, group).where(F.col("_end") > F.col("_first._end"))
+    later = ends.join(small(first), group).where(F.col("_end") > F.col("_first._end"))
     second = later.groupBy(group).agg(nearest(second_target).alias("_second"))
     return first.join(second, group, "left").select(
         group, F.col("_first._time").alias("_cut1"), F.col("_second._time").alias("_cut2")
@@ -57,7 +62,7 @@ def temporal_split(df: DataFrame, frac=(0.6, 0.2, 0.2), entity_disjoint: bool =
         raise ValueError(f"Split fractions must be non-negative and sum to 1.0: {frac}")
     time = time or time_column(df)
     if by is None:
-        cuts = _cuts(df.withColumn("_all", F.lit(1)), "_all", time, frac)
+        cuts = _cuts(df.withColumn("_all", F.lit(1)), "_all", time, frac, one_group=True)
         framed = df.withColumn("_cut1", cuts.select("_cut1").scalar()).withColumn("_cut2", cuts.select("_cut2").scalar())
     else:
         framed = df.join(_cuts(df, by, time, frac), by, "left")

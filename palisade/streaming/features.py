@@ -83,8 +83,10 @@ def score_vectors(root: str, model, scaler):
     def write(batch: DataFrame, batch_id: int) -> None:
         scored = infer_on_features(batch, model, scaler).withColumn("model_version", F.lit(model.model_version))
         results, risks = prediction_rows(scored)
-        upsert(batch.sparkSession, f"{root}/anomaly_result", results, RESULT_KEYS, RESULT_UPDATED)
-        upsert(batch.sparkSession, f"{root}/risk_score", risks, RISK_KEYS, RISK_UPDATED)
+        upsert(batch.sparkSession, f"{root}/anomaly_result", results, RESULT_KEYS, RESULT_UPDATED,
+               partition="event_date", time="window_start")
+        upsert(batch.sparkSession, f"{root}/risk_score", risks, RISK_KEYS, RISK_UPDATED, partition="event_date",
+               time="timestamp")
 
     return write
 
