@@ -29,6 +29,11 @@ def kept(spark, sf_dir, name, build):
     return _KEPT[key]
 
 
+def forget() -> None:
+    """Drop what was kept, so that the next query fits its own models."""
+    _KEPT.clear()
+
+
 def labelled_days(spark, sf_dir):
     """Day features; two or more failures in a day make it an anomaly."""
     def build():
