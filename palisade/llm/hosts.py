@@ -109,7 +109,8 @@ def judged(pages: DataFrame, policy=POLICY, url: str = "url", html: str = "html"
     found = stored(read.where(F.col(h) != "").groupBy(F.col(h).alias("host")).agg(
         F.sum((verdict == "allow").cast("long")).alias("good"), F.sum((verdict == "block").cast("long")).alias("bad")), "hosts")
     seeds = found.fillna(0, ["good", "bad"])
-    ranks = propagated(seeds, host_edges(read, found, h, html), rounds, damping)
+    # stored, so that its size is known: sent to the tasks if small, else a join whose large partitions can be split
+    ranks = stored(propagated(seeds, host_edges(read, found, h, html), rounds, damping), "ranks")
     # hosts of the graph that have no page need no verdict
     known = ranks.withColumnsRenamed({"host": "_host", "trust": name["trust"], "distrust": name["distrust"]})
     done = read.join(known, F.col(h) == F.col("_host"), "left").drop("_host")
