@@ -104,9 +104,11 @@ def judged(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_
         name["clean_text"]: F.array_join(good, "\n"),
     })
     count, repeat = F.col(name["n_words"]), F.col(name["n_repeat_words"])
-    step = step.withColumn(name["base_failed"], (count < min_words) | (repeat > count * F.lit(max_repeat)))
-    step = step.withColumn(name["kept"], ~F.col(name["base_failed"]) & (F.col(name["words_lost"]) <= count * F.lit(max_loss)))
-    return step.drop(t, w, l, c, h, s, has)
+    failed = (count < min_words) | (repeat > count * F.lit(max_repeat))
+    kept = ~failed & (F.col(name["words_lost"]) <= count * F.lit(max_loss))
+    found = F.struct(*(F.col(name[x]) for x in (*FEATURES, "words_lost", "clean_text")), failed.alias(name["base_failed"]), kept.alias(name["kept"]))
+    # inline ends the projections: a later filter on a result is not copied down through all of them
+    return step.select(*(f"`{x}`" for x in docs.columns), F.inline(F.array(found)))
 
 
 ORACLE = f"""
