@@ -1,6 +1,6 @@
 """Operations views."""
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from palisade.catalog import inputs as I
 from palisade.catalog.logs import _day_features
@@ -147,22 +147,20 @@ def running_count(spark, sf_dir):
     return D.running_count(critical, "timestamp").select("id", "timestamp", "running_count")
 
 
-@query("W01_failure_gaps", f"""SELECT window_start, src_ip, count(gap) AS gaps, {r('sum(gap * gap)', 'squares')} FROM (
+@query("W01_failure_gaps", f"""SELECT window_start, src_ip, count(gap) AS gaps, {r('avg(gap)', 'mean_gap')}, {r('stddev_pop(gap)', 'deviation')} FROM (
   SELECT date_trunc('day', event_time) AS window_start, src_ip, sec - lag(sec) OVER (PARTITION BY date_trunc('day', event_time), src_ip ORDER BY sec) AS gap
   FROM ({PARSED}) WHERE is_timed_failure) WHERE gap IS NOT NULL GROUP BY 1, 2""")
 def failure_gaps(spark, sf_dir):
-    """Consecutive differences inside a window, from distinct seconds."""
+    """Consecutive differences inside a window, by the library from its distinct seconds (a day has 86,400 at most)."""
     from palisade.functions.text import parsed_lines
+    from palisade.operators.features import failure_gaps as gaps_of
 
     parsed = parsed_lines(I.log_event(spark, sf_dir)).where("is_timed_failure")
-    second = F.unix_seconds("event_time")
-    per_second = parsed.groupBy(F.date_trunc("day", "event_time").alias("window_start"), "src_ip", second.alias("second")).agg(
-        F.count(F.lit(1)).alias("n"))
-    inside = Window.partitionBy("window_start", "src_ip").orderBy("second")  # at most one row per second of the window
-    steps = per_second.withColumn("gap", F.col("second") - F.lag("second").over(inside))
-    summed = steps.groupBy("window_start", "src_ip").agg(
-        (F.sum("n") - 1).alias("gaps"), F.coalesce(F.sum(F.col("gap") * F.col("gap")), F.lit(0)).cast("double").alias("squares"))
-    return summed.where("gaps > 0")
+    listed = parsed.groupBy(F.date_trunc("day", "event_time").alias("window_start"), "src_ip").agg(
+        F.sort_array(F.collect_set(F.unix_seconds("event_time"))).alias("seconds"), F.count(F.lit(1)).alias("failures"))
+    mean, deviation = gaps_of(F.col("seconds"), F.col("failures"))
+    return listed.where("failures > 1").select(
+        "window_start", "src_ip", (F.col("failures") - 1).alias("gaps"), mean.alias("mean_gap"), deviation.alias("deviation"))
 
 
 @query("W03_latest_runs", with_inputs(f"""SELECT DISTINCT ON (model_config, dataset_split) run_id, model_config, dataset_split, {r('f1_score', 'f1_score')}, {r('roc_auc', 'roc_auc')}, evaluated_at
