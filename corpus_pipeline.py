@@ -8,7 +8,7 @@ removes lines. The last stage adds ``piece_ids`` and ``round_trip``.
 from pyspark.sql import functions as F
 
 from palisade.llm import decontaminate, jaccard, lines, pieces, quality
-from palisade.llm.common import GAP, ready, stored, table
+from palisade.llm.common import GAP, cleaned, ready, stored, table
 
 
 def _with_text(docs, done, text: str):
@@ -62,8 +62,9 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """Apply the stages to documents; each result is written as Parquet and read again."""
+    """Apply the stages to documents; each result is written as Parquet and read again, scratch tables go."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with cleaned(spark):
+            docs = stored(stage(spark, docs, sf_dir), name, outer=True)
     return docs

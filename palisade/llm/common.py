@@ -1,15 +1,18 @@
 """What the corpus operators share: reading tables, Arrow batches of bounded size, scratch tables, word codes."""
 
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palisade.session import scratch_path, ship_package
+from palisade.session import remove_path, scratch_path, ship_package
 
 WORD = r"[^\x20\x09-\x0D]+"  # a word: a run of anything but the six ASCII white-space characters
 GAP = r"[\x20\x09-\x0D]+"
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+_SCOPES: list = []
 
 # Bytes of one Arrow batch, so that a task holds few texts at a time.
 BATCH_BYTES = "4m"
@@ -42,10 +45,29 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet into the shared folder and read it again: lineage is cut, lost executors cost nothing."""
+@contextmanager
+def cleaned(spark: SparkSession):
+    """Remove the tables that ``stored`` writes inside, at the end; what comes out must not read them any more."""
+    paths: list = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(paths)
+        for path in paths:
+            remove_path(spark, path)
+
+
+def stored(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
+    """Write ``df`` once as Parquet into the shared folder and read it again: lineage is cut, lost executors cost nothing.
+
+    Inside ``cleaned`` the table goes at its end; with ``outer`` at the end of the scope around it, if there is one.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    scopes = _SCOPES[:-1] if outer else _SCOPES
+    if scopes:
+        scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -63,6 +85,11 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def byte_words(text: str | None) -> list[bytes]:
+    """The words of a text in UTF-8; splitting bytes cuts at the six ASCII white-space characters and no others."""
+    return (text or "").encode().split()
+
+
 class WordCodes(dict):
     """64-bit content codes of words; equal words have equal codes in every task.
 
@@ -74,15 +101,15 @@ class WordCodes(dict):
         super().__init__()
         self.most = most
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         import xxhash
 
         if len(self) >= self.most:
             self.clear()
-        code = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        code = self[word] = xxhash.xxh3_64_intdigest(word)
         return code
 
-    def of(self, words: list[str]) -> np.ndarray:
+    def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 

@@ -22,17 +22,14 @@ Rows that agree in doc_id and text are different places (both lose their words).
 Empty tables give empty results. Columns other than the two named ones are left out.
 """
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from palisade.llm.common import WORD, WordCodes, mix, query, stored, table
+from palisade.llm.common import WORD, WordCodes, byte_words, mix, query, stored, table
 
 WINDOW, CAPS, REACH = 35, (2, 4), 8
 _CODES = WordCodes()
-FIND = re.compile(WORD).findall
 LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -116,7 +113,7 @@ class Batch:
     """Words of the texts of a batch in one array, each text followed by a border of its own."""
 
     def __init__(self, texts: list[str], window: int):
-        lists = [FIND(t) for t in texts]
+        lists = [byte_words(t) for t in texts]
         n = np.array([len(w) for w in lists], np.int64)
         self.ends = np.cumsum(n + 1) - 1
         self.first = self.ends - n
@@ -146,20 +143,21 @@ def settled(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rows_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """d, x (together they name a document) and t."""
+    """d (the id), k and x (together they name a document; never NULL, so that all joins share one shuffle) and t."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("d"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
-    return rows.select("d", F.xxhash64("t").cast("string").substr(-9, 9).cast("int").alias("x"), "t")
+    code = F.xxhash64("t").cast("string").substr(-9, 9).cast("int")
+    return rows.select("d", F.coalesce("d", F.lit(-(1 << 63))).alias("k"), F.coalesce(code, F.lit(0)).alias("x"), "t")
 
 
 def found_twice(rows: DataFrame, keys: list[str], kind: str) -> DataFrame:
-    """Rows (d, x, i, e) that are settled, or whose keys occur in two rows or in one marked as known.
+    """Rows (k, x, i, e) that are settled, or whose keys occur in two rows or in one marked as known.
 
     ``kind``: 0 unknown, 1 known to have an equal, 2 settled (their keys only spread them).
     """
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, keys[0]).sortWithinPartitions(*keys)
-    schema = T.StructType([f for f in rows.schema.fields if f.name in ("d", "x", "i", "e")])
+    schema = T.StructType([f for f in rows.schema.fields if f.name in ("k", "x", "i", "e")])
     where = {c: rows.columns.index(c) for c in rows.columns}
 
     def run(batches):
@@ -201,7 +199,7 @@ def found_twice(rows: DataFrame, keys: list[str], kind: str) -> DataFrame:
 
 
 def anchor_rows(rows: DataFrame, window: int) -> DataFrame:
-    """key, kind, d, x, i: the anchors of all documents."""
+    """key, kind, k, x, i: the anchors of all documents."""
 
     def run(batches):
         for batch in batches:
@@ -217,13 +215,13 @@ def anchor_rows(rows: DataFrame, window: int) -> DataFrame:
             owner = pa.array(b.doc[at])
             yield pa.record_batch(
                 [pa.array(key.view(np.int64)), pa.array(kind.astype(np.int32)), batch.column(0).take(owner), batch.column(1).take(owner),
-                 pa.array(b.place(at).astype(np.int32))], names=["key", "kind", "d", "x", "i"])
+                 pa.array(b.place(at).astype(np.int32))], names=["key", "kind", "k", "x", "i"])
 
-    return rows.mapInArrow(run, "key long, kind int, d long, x int, i int")
+    return rows.mapInArrow(run, "key long, kind int, k long, x int, i int")
 
 
 def window_rows(rows: DataFrame, window: int) -> DataFrame:
-    """k1, k2, kind, d, x, i, e: windows with a repeated anchor; settled ones as stretches from i to e."""
+    """k1, k2, kind, k, x, i, e: windows with a repeated anchor; settled ones as stretches from i to e."""
 
     def run(batches):
         for batch in batches:
@@ -254,44 +252,39 @@ def window_rows(rows: DataFrame, window: int) -> DataFrame:
                 [pa.array(np.concatenate([one[first], spread]).view(np.int64)), pa.array(np.concatenate([two[first], spread]).view(np.int64)),
                  pa.array(kind), batch.column(0).take(owner), batch.column(1).take(owner),
                  pa.array(b.place(word).astype(np.int32)), pa.array(b.place(stop).astype(np.int32))],
-                names=["k1", "k2", "kind", "d", "x", "i", "e"])
-
-    return rows.mapInArrow(run, "k1 long, k2 long, kind int, d long, x int, i int, e int")
+                names=["k1", "k2", "kind", "k", "x", "i", "e"])
 
-
-def same_document(left: DataFrame, right: DataFrame):
-    return left.d.eqNullSafe(right["_d"]) & (left.x == right["_x"])
+    return rows.mapInArrow(run, "k1 long, k2 long, kind int, k long, x int, i int, e int")
 
 
 def removed_stretches(rows: DataFrame, window: int) -> DataFrame:
-    """_d, _x, gone: array of (i, e), first and last start of repeated windows. Whole copies: from 0 to the largest int."""
-    digest = rows.select("d", "x", F.xxhash64("t").alias("a"), F.xxhash64(F.lit(1), "t").alias("b"))
+    """k, x, gone: array of (i, e), first and last start of repeated windows. Whole copies: from 0 to the largest int."""
+    place = ["k", "x"]
+    digest = rows.select(*place, F.xxhash64("t").alias("a"), F.xxhash64(F.lit(1), "t").alias("b"))
     digest = stored(digest.where("a <> xxhash64('')"), "digests")
-    twice = stored(digest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "x")).alias("f")).where("n > 1"), "twice")
-    copies = stored(digest.join(twice, ["a", "b"]).select("d", "x", (F.struct("d", "x").eqNullSafe(F.col("f"))).alias("first")), "copies")
-    later = copies.where("NOT first").select(F.col("d").alias("_d"), F.col("x").alias("_x")).distinct()
-
-    hot = found_twice(anchor_rows(rows, window), ["key"], "kind")
-    hot = hot.join(later, same_document(hot, later), "left_anti")
-    hot = stored(hot.groupBy(F.col("d").alias("_d"), F.col("x").alias("_x")).agg(F.collect_set("i").alias("hot")), "hot")
-    asked = rows.join(hot, same_document(rows, hot)).select("d", "x", "t", "hot")
+    twice = stored(digest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*place)).alias("f")).where("n > 1"), "twice")
+    copies = stored(digest.join(twice, ["a", "b"]).select(*place, (F.struct(*place) == F.col("f")).alias("first")), "copies")
+    later = copies.where("NOT first").select(*place).distinct()
+
+    hot = found_twice(anchor_rows(rows.select(*place, "t"), window), ["key"], "kind").join(later, place, "left_anti")
+    hot = stored(hot.groupBy(*place).agg(F.collect_set("i").alias("hot")), "hot")
+    asked = rows.join(hot, place).select(*place, "t", "hot", "d")
     found = found_twice(window_rows(asked, window), ["k1", "k2"], "kind")
-    whole = copies.select("d", "x", F.lit(0).alias("i"), F.lit((1 << 31) - 1).alias("e"))
-    return found.unionByName(whole).groupBy(F.col("d").alias("_d"), F.col("x").alias("_x")).agg(
-        F.collect_set(F.struct("i", "e")).alias("gone"))
+    whole = copies.select(*place, F.lit(0).alias("i"), F.lit((1 << 31) - 1).alias("e"))
+    return found.unionByName(whole).groupBy(*place).agg(F.collect_set(F.struct("i", "e")).alias("gone"))
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by one space) of every row."""
     rows = rows_of(docs, doc_id, text)
     gone = removed_stretches(rows, window)
-    both = rows.join(gone, same_document(rows, gone), "left").select("d", "t", "gone")
+    both = rows.join(gone, ["k", "x"], "left").select("d", "t", "gone")
 
     def run(batches):
         for batch in batches:
             n_words, n_removed, kept = [], [], []
             for t, stretches in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words, lost = FIND(t), 0
+                words, lost = byte_words(t), 0
                 if stretches and len(words) >= window:
                     mark = np.zeros(len(words) + 1, np.int64)
                     for s in stretches:
@@ -303,9 +296,9 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
                     left = words
                 n_words.append(len(words))
                 n_removed.append(lost)
-                kept.append(" ".join(left))
+                kept.append(b" ".join(left))
             yield pa.record_batch(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
+                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
                 names=["doc_id", "n_words", "n_removed", "kept"])
 
     return both.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
