@@ -26,12 +26,13 @@ and get no class. Empty tables give empty results. Extra columns stay; clashing
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from palisade.llm.common import WORD, WordCodes, free_name, mix, query, stored, table
+from palisade.llm.common import WORD, WordCodes, mix, query, stored, table
 from palisade.llm.components import components
 
-WIDTH, PERCENT, GROUPS, LEAF, PART_ROWS = 4, 85, 64, 32, 20_000
+WIDTH, PERCENT, LEAF, PART_ROWS = 4, 85, 32, 20_000
+FEWEST, MOST, PER_GROUP = 64, 8192, 4  # groups of a point, and shingles per group between the two
 _CODES = WordCodes()
 
 
@@ -55,10 +56,7 @@ class Bands:
 
 def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, code) of the distinct shingles of each text, sorted by row and code."""
-    import re
-
-    find, upper = re.compile(WORD).findall, {k: k + 32 for k in range(65, 91)}
-    lists = [find((t or "").translate(upper)) for t in texts]
+    lists = [(t or "").encode().lower().split() for t in texts]  # bytes: A-Z only, ASCII white space only
     n = np.array([len(w) for w in lists], np.int64)
     codes = np.concatenate([np.zeros(0, np.uint64), *(_CODES.of(w) for w in lists)])
     row = np.repeat(np.arange(len(lists)), n)
@@ -72,7 +70,9 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.nd
         ahead[:max(0, len(codes) - k)] = codes[k:]
         made = np.where(k < size, mix(made * np.uint64(0x9E3779B97F4A7C15) ^ ahead), made)
     row, made = row[begins], made[begins]
-    order = np.lexsort((made, row))
+    order = np.argsort(made)
+    kind = np.uint16 if len(lists) < 1 << 16 else np.int64  # short numbers are sorted by their digits
+    order = order[np.argsort(row[order].astype(kind), kind="stable")]
     row, made = row[order], made[order]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (made[1:] != made[:-1])
@@ -261,7 +261,7 @@ def candidate_pairs(members: DataFrame, points: DataFrame, percent: int, smalles
         kept = part["kept"].to_numpy().astype(bool)
         if not kept.any() or (cls == cls[0]).all():
             return
-        points = np.frombuffer(b"".join(part["point"].to_pylist()), "<u2").reshape(len(doc), -1).astype(np.int32)
+        points = folded(part["point"].to_pylist())
         home = np.nonzero(kept)[0]
         tree = RTree(points[home], n[home], doc[home], percent)
         a, b = [], []
@@ -282,18 +282,33 @@ def candidate_pairs(members: DataFrame, points: DataFrame, percent: int, smalles
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def count_points(texts: DataFrame, width: int, groups: int = GROUPS) -> DataFrame:
-    """doc, point: counts of the shingles of each group, as 16-bit numbers that stop at the largest."""
+def groups_for(n: np.ndarray) -> np.ndarray:
+    """Groups of the point of a set of ``n``: a power of two, so that a finer point folds into a coarser one."""
+    wanted = np.ceil(np.log2(np.maximum(n, 1) / PER_GROUP)).clip(np.log2(FEWEST), np.log2(MOST))
+    return np.left_shift(1, wanted.astype(np.int64))
+
+
+def folded(points: list[bytes]) -> np.ndarray:
+    """The points of a block with as many groups as the coarsest has."""
+    size = min(map(len, points)) // 2
+    return np.stack([np.frombuffer(p, "<u2").reshape(-1, size).sum(axis=0, dtype=np.int32) for p in points])
+
+
+def count_points(texts: DataFrame, width: int) -> DataFrame:
+    """doc, point: counts of the shingles of each group, as 16-bit numbers; larger sets have more groups."""
 
     def run(batches):
         for batch in batches:
             row, code = shingle_sets(batch.column(1).to_pylist(), width)
-            slot = row * groups + (mix(code ^ np.uint64(0x3C3C3C3C)) % np.uint64(groups)).astype(np.int64)
-            counts = np.bincount(slot, minlength=batch.num_rows * groups)
+            groups = groups_for(np.bincount(row, minlength=batch.num_rows))
+            ends = np.concatenate([[0], np.cumsum(groups)])
+            slot = ends[row] + (mix(code ^ np.uint64(0x3C3C3C3C)) % groups[row].astype(np.uint64)).astype(np.int64)
+            counts = np.bincount(slot, minlength=int(ends[-1]))
             if counts.max(initial=0) > 65535:
-                raise ValueError("a text has more shingles than a point of this many groups can count")
-            packed = counts.astype("<u2").reshape(batch.num_rows, groups)
-            yield pa.record_batch([batch.column(0), pa.array([p.tobytes() for p in packed], pa.binary())], names=["doc", "point"])
+                raise ValueError("a text has more shingles than a point can count")
+            packed = counts.astype("<u2")
+            points = [packed[ends[k]:ends[k + 1]].tobytes() for k in range(batch.num_rows)]
+            yield pa.record_batch([batch.column(0), pa.array(points, pa.binary())], names=["doc", "point"])
 
     return texts.mapInArrow(run, "doc long, point binary")
 
@@ -302,18 +317,22 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     """The pairs whose sets are similar enough."""
     left = texts.select(F.col("doc").alias("a"), F.col("t").alias("ta"))
     right = texts.select(F.col("doc").alias("b"), F.col("t").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    # joined by a last, so that the pairs of one a lie together and its set is made once in a batch
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
 
     def run(batches):
         for batch in batches:
             n = batch.num_rows
-            row, code = shingle_sets(batch.column(2).to_pylist() + batch.column(3).to_pylist(), width)
-            size = np.bincount(row, minlength=2 * n)
-            pair = np.where(row >= n, row - n, row)
-            order = np.lexsort((code, pair))
-            pair, code = pair[order], code[order]
-            same = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (code[1:] == code[:-1])], minlength=n)
-            good = 100 * same >= percent * (size[:n] + size[n:] - same)
+            ids = np.concatenate([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+            known, first, which = np.unique(ids, return_index=True, return_inverse=True)
+            texts = [batch.column(2 + int(k >= n))[int(k % n)].as_py() for k in first]
+            row, code = shingle_sets(texts, width)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(known)))])
+            sets = [code[ends[k]:ends[k + 1]] for k in range(len(known))]
+            good = []
+            for a, b in zip(which[:n], which[n:]):
+                same = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                good.append(100 * same >= percent * (len(sets[a]) + len(sets[b]) - same))
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
 
     return both.mapInArrow(run, "a long, b long")
