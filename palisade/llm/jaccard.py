@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from palisade.llm.common import WORD, WordCodes, mix, query, stored, table
 from palisade.llm.components import components
 
-WIDTH, PERCENT, LEAF, PART_ROWS = 4, 85, 32, 20_000
+WIDTH, PERCENT, LEAF, PART_ROWS = 4, 85, 32, 2_000
 FEWEST, MOST, PER_GROUP = 64, 8192, 4  # groups of a point, and shingles per group between the two
 _CODES = WordCodes()
 
