@@ -41,7 +41,7 @@ def near_duplicates(spark, docs, sf_dir):
 def decontamination(spark, docs, sf_dir):
     """Documents with a passage of a benchmark item go."""
     ready(spark)
-    found = decontaminate.matched(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.matched(docs, table(spark, sf_dir, "benchmark"), spans=True)
     return found.where(F.size("matches") == 0).select(*(f"`{c}`" for c in docs.columns))
 
 

@@ -1,18 +1,21 @@
 """Benchmark decontamination: CGK random-walk embedding, bit-sampling LSH, exact edit verification.
 
 Texts are compared as sequences of words (runs of letters, digits and underscores, lower case). A document is
-contaminated by an item of n words when one of its windows of n words (shorter only at the end of the document) is
-within ``edits * n`` insertions, deletions and replacements of the item, rounded down; items of fewer than six words
-must occur exactly. Items without a word match nothing.
-
-1. Windows: k edits destroy at most 3k of the n - 2 three-word grams of an item, so a window needs n - 2 - 3k grams
-   that occur in some item. One pass counts such grams; only windows with enough of them go on. This loses nothing.
+contaminated by an item of n words when a passage of it, of whatever length (``spans``, as op3 and the pipeline ask), is
+within k = ``edits * n`` insertions, deletions and replacements of the item, rounded down; items of fewer than six words
+must occur exactly. Items without a word match nothing. Without ``spans`` a passage is a window of exactly n words
+(shorter only at the end of the document), which a net insertion or deletion costs about two edits.
+
+1. Windows: k edits destroy at most 3k of the n - 2 three-word grams of an item, so a passage needs n - 2 - 3k grams
+   that occur in some item. One pass counts such grams in n + k words; only windows of n words that begin where such a
+   passage may begin go on. This loses nothing.
 2. Embedding: a walk over 3n steps copies the word under its pointer and moves on or stays, as a random bit of (step,
    word) says. Two sequences that differ by few edits fall into step again, so their walks differ in few places.
 3. LSH: a table's key is a few sampled places of a walk. Walks are added until the share of edited copies (the allowed
    number of random edits in items of the benchmark) that meet their item in some table reaches ``recall``; it is
    measured on ``trials`` copies.
-4. Every candidate is verified by its exact edit distance (bit-parallel).
+4. Every candidate is verified by its exact edit distance (bit-parallel); with ``spans`` the text from k words before to
+   k words behind the windows that met an item is searched for the nearest passage, with free start and end.
 
 The benchmark is taken in blocks of about ``block_chars`` characters, each sent to all tasks; all rows meet all blocks.
 Document rows never move. NULL and empty texts match nothing; repeated rows get equal results; extra columns stay and
@@ -67,11 +70,36 @@ def distance(a, b) -> int:
     return score
 
 
+def nearest(text, item) -> tuple[int, int]:
+    """(distance, start) of the passage of ``text`` that is nearest to ``item``, the first one of equals.
+
+    Both are read backwards, so that the score at a place is that of the best passage which begins there.
+    """
+    m = len(item)
+    where: dict = {}
+    for k, c in enumerate(reversed(item)):
+        where[c] = where.get(c, 0) | 1 << k
+    full, top, up, down, score = (1 << m) - 1, 1 << (m - 1), (1 << m) - 1, 0, m
+    best = (m, 0)
+    for start in reversed(range(len(text))):
+        eq = where.get(text[start], 0)
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        ph, mh = (down | ~(xh | up)) & full, up & xh
+        score += bool(ph & top) - bool(mh & top)
+        ph, mh = ph << 1 & full, mh << 1 & full
+        up, down = (mh | ~(xv | ph)) & full, ph & xv
+        if score <= best[0]:
+            best = (score, start)
+    return best
+
+
 class Index:
     """All that a task needs for one block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], edits: float = EDITS, recall: float = RECALL, trials: int = TRIALS, seed: int = 7):
-        self.edits, self.seed, self.vocabulary = edits, seed, Vocabulary()
+    def __init__(self, items: list[tuple[int, str]], edits: float = EDITS, recall: float = RECALL, trials: int = TRIALS, seed: int = 7,
+                 spans: bool = False):
+        self.edits, self.seed, self.spans, self.vocabulary = edits, seed, spans, Vocabulary()
         self.ids, self.words = [], []
         for item_id, text in items:
             found = words(text)
@@ -82,6 +110,7 @@ class Index:
         self.lengths = np.array([len(w) for w in self.words], np.int64)
         self.width = np.minimum(3, self.lengths)
         self.most = np.array([allowed(n, edits) for n in self.lengths.tolist()], np.int64)
+        self.slack = self.most if spans else np.zeros_like(self.most)  # words of a passage beyond those of its item
         self.need = np.maximum(1, self.lengths - self.width + 1 - self.width * self.most)
         # grams of each width with the items that hold them: sorted codes, first posting of each, postings
         self.grams = {}
@@ -187,7 +216,7 @@ class Index:
                 break
 
     def search(self, texts: list[str | None]) -> list[list[dict]]:
-        """Matches of each text: the nearest window of each item that is near enough."""
+        """Matches of each text: the nearest passage of each item that is near enough."""
         lists = [words(t) for t in texts]
         ids = [np.fromiter(map(self.vocabulary.__getitem__, w), np.int64, len(w)) for w in lists]
         found: list[dict] = [{} for _ in texts]
@@ -198,7 +227,7 @@ class Index:
         return [[{"item_id": self.ids[k], "distance": d, "start": s} for k, (d, s) in sorted(f.items())] for f in found]
 
     def windows(self, whole: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, size) of the windows that hold as many grams of one item as a near copy of it must."""
+        """(start, size) of the windows that may begin a passage with as many grams of one item as a near copy must have."""
         out = []
         for q, (grams, first, posts) in self.grams.items():
             codes = self.codes(whole, q)
@@ -213,9 +242,9 @@ class Index:
             place, item, doc = place[order], item[order], doc[order]
             last = np.arange(len(place)) + self.need[item] - 1
             safe = np.minimum(last, max(len(place) - 1, 0))
-            size = self.lengths[item]
-            good = (last < len(place)) & (item[safe] == item) & (doc[safe] == doc) & (place[safe] - place <= size - q)
-            low = np.maximum(place[safe] + q - size, np.concatenate([[0], ends + 1])[doc])[good]
+            size, most = self.lengths[item], self.lengths[item] + self.slack[item]
+            good = (last < len(place)) & (item[safe] == item) & (doc[safe] == doc) & (place[safe] - place <= most - q)
+            low = np.maximum(place[safe] + q - most, np.concatenate([[0], ends + 1])[doc])[good]
             high, size = place[good], size[good]
             span = np.maximum(high - low + 1, 0)
             out.append(np.stack([np.repeat(low, span) + ranges(span), np.repeat(size, span)], axis=1))
@@ -227,6 +256,7 @@ class Index:
         doc = np.searchsorted(ends, starts)
         length = np.minimum(size, ends[doc] - starts)
         base = np.concatenate([[0], ends + 1])
+        met: dict = {}  # (document, item): starts of windows that met
         column = np.arange(self.longest)[None, :]
         for first in range(0, len(starts), CHUNK):
             s, n, d, z = (x[first:first + CHUNK] for x in (starts, length, doc, size))
@@ -240,10 +270,24 @@ class Index:
                 most = int(self.most[item])
                 if len(self.words[item]) != z[row] or abs(int(n[row] - z[row])) > most:
                     continue
+                if self.spans:
+                    met.setdefault((int(d[row]), item), []).append(int(s[row]))
+                    continue
                 apart = distance(matrix[row, :n[row]].tolist(), self.words[item])
                 best = (apart, int(s[row] - base[d[row]]))
                 if apart <= most and best < found[d[row]].get(item, (most + 1, 0)):
                     found[d[row]][item] = best
+        for (row, item), at in met.items():
+            most, reach = int(self.most[item]), int(self.lengths[item] + self.most[item])
+            best, first = (most + 1, 0), 0
+            for k in range(1, len(at) + 1):  # stretches of text whose windows overlap are searched at once
+                if k < len(at) and at[k] - most <= at[k - 1] + reach:
+                    continue
+                low, high = max(at[first] - most, int(base[row])), min(at[k - 1] + reach, int(ends[row]))
+                apart, start = nearest(whole[low:high].tolist(), self.words[item])
+                best, first = min(best, (apart, low - int(base[row]) + start)), k
+            if best[0] <= most:
+                found[row][item] = best
 
 
 def ranges(counts: np.ndarray) -> np.ndarray:
@@ -263,13 +307,14 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int):
 
 
 def matched(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-            edits: float = EDITS, recall: float = RECALL, block_chars: int = BLOCK_CHARS, out: str = "matches") -> DataFrame:
-    """``docs`` with ``matches``: array of (item_id, distance, start) with the nearest window of each item."""
+            edits: float = EDITS, recall: float = RECALL, block_chars: int = BLOCK_CHARS, out: str = "matches",
+            spans: bool = False) -> DataFrame:
+    """``docs`` with ``matches``: array of (item_id, distance, start) with the nearest passage of each item."""
     name = free_name(docs, out)
     done, at = docs.withColumn(name, F.array().cast(MATCH)), docs.columns.index(text)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32())]))
     for items in blocks(benchmark, item_id, item_text, block_chars):
-        sent = docs.sparkSession.sparkContext.broadcast(Index(items, edits, recall))
+        sent = docs.sparkSession.sparkContext.broadcast(Index(items, edits, recall, spans=spans))
 
         def run(batches, sent=sent):
             for batch in batches:
@@ -283,8 +328,8 @@ def matched(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
 
 @query("op3_decontamination")
 def op3(spark, sf_dir):
-    """Documents with passages of benchmark items: one row for each document and item, with the nearest window."""
+    """Documents with passages of benchmark items: one row for each document and item, with the nearest passage."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = matched(docs, table(spark, sf_dir, "benchmark"))
+    found = matched(docs, table(spark, sf_dir, "benchmark"), spans=True)
     return found.select("doc_id", F.explode("matches").alias("m")).select(
         "doc_id", "m.item_id", F.col("m.distance").cast("long").alias("distance"), F.col("m.start").cast("long").alias("start"))

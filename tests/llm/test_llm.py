@@ -222,6 +222,35 @@ def test_decontamination(llm):
     assert {(r.doc_id, m.item_id) for r in blocks for m in r.matches_} >= {k for k in found if found[k] == 0}
 
 
+def test_nearest_passage():
+    draw = random.Random(2)
+    for _ in range(100):
+        a, b = ([draw.randrange(3) for _ in range(draw.randrange(1, 9))] for _ in range(2))
+        spans = [(brute_distance(a[s:e], b), s) for s in range(len(a)) for e in range(s, len(a) + 1)]
+        assert decontaminate.nearest(a, b) == min(spans) or min(spans)[0] == len(b)
+
+
+def test_passages_of_any_length():
+    """All copies within the allowed edits are found, also those that inserted or deleted words make longer or shorter."""
+    draw = random.Random(11)
+    items = [(k, " ".join(draw.choice(WORDS) + draw.choice(["", "s", "ed", "er"]) for _ in range(16 + k))) for k in range(40)]
+    index, lost = decontaminate.Index(items, spans=True), []
+    for kind in (0, 1, 2, 3):  # inserted, replaced, deleted, mixed
+        for item_id, item in items:
+            w = item.split()
+            most = decontaminate.allowed(len(w), 0.2)
+            for _ in range(most):
+                p, way = draw.randrange(len(w)), kind if kind < 3 else draw.randrange(3)
+                w[p:p + (way != 0)] = [] if way == 2 else [f"foreign{draw.randrange(99)}"]
+            text = [f"around{draw.randrange(99)}" for _ in range(30)]
+            text[15:15] = w
+            best = min(brute_distance(w[s:], item.split()) for s in range(len(w)))
+            got = {m["item_id"]: m for m in index.search([" ".join(text)])[0]}
+            if item_id not in got or got[item_id]["distance"] > best:
+                lost.append((kind, item_id))
+    assert not lost
+
+
 # --- URL filters -----------------------------------------------------------------------------------------------------
 
 def test_url_rules(llm):
