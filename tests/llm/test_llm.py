@@ -120,6 +120,19 @@ def test_line_dedup(llm):
     assert [done[k] for k, _ in rows] == brute_lines(rows, lines.MIN_WORDS)
 
 
+def test_line_dedup_short_lines(llm):
+    """Later copies of short lines go, however short and frequent; a larger least length is an option."""
+    draw = random.Random(8)
+    short = ["Home", "Read more here", "one two three four five six seven eight nine", "--"]
+    rows = [(k, "\n".join([short[0], f"only here {k}", draw.choice(short), "", draw.choice(short)])) for k in range(60)]
+    done = {r.doc_id: r for r in lines.deduplicated(frame(llm, rows)).collect()}
+    assert [done[k].kept_text for k, _ in rows] == brute_lines(rows, 1)
+    left = [x for r in done.values() for x in r.kept_text.split("\n")]
+    assert all(left.count(x) == 1 for x in short) and sum(r.n_removed for r in done.values()) == 3 * 60 - len(short)
+    longer = {r.doc_id: r.kept_text for r in lines.deduplicated(frame(llm, rows), min_words=5).collect()}
+    assert [longer[k] for k, _ in rows] == brute_lines(rows, 5)
+
+
 def test_line_dedup_odd_rows(llm):
     done = lines.deduplicated(frame(llm, odd_rows())).collect()
     assert len(done) == len(odd_rows())
