@@ -12,7 +12,8 @@ trees are built in blocks that lose no link:
 
 - Sizes fall into bands. A pair of a band differs in at most k shingles, so with more than k groups some group holds
   the same shingles in both: documents with the same content of a group form a block. The number of groups leaves room
-  for groups that are empty; a document with too many empty ones also joins a block of such documents.
+  for groups that are empty, for every size that uses the band; a document that still has no more full groups than a
+  partner may differ in also joins a block of such documents.
 - Blocks with the same members are one. A large block is cut into parts, and every member is searched in each part.
 - In a block the members are packed into an R-tree by their counts (sort-tile, largest spread first). A first round
   asks for the smallest member that the bound admits, verifies it exactly and forms classes; a second one asks for all
@@ -24,6 +25,8 @@ their smallest class). NULL ids and texts: a NULL text has an empty set; rows wi
 and get no class. Empty tables give empty results. Extra columns stay; clashing result names get an underscore.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -44,11 +47,37 @@ class Bands:
         while low[-1] < largest:
             low.append(int(low[-1] * max(ratio, 100 / percent + 0.05)) + 1)
         self.low = np.array(low, np.int64)
-        high = self.low[1:] - 1
-        t = percent / 100
-        self.differ = np.floor(2 * high * (1 - t) / (1 + t) + 1e-9).astype(np.int64)
-        empty = 0.03 * (self.differ + 1)
-        self.groups = np.where(self.differ == 0, 1, self.differ + 1 + np.ceil(2 + empty + 4 * np.sqrt(empty)).astype(np.int64))
+        self.high = self.low[1:] - 1
+        self.groups = np.array([self.enough(int(a), int(b)) for a, b in zip(self.low, self.high)], np.int64)
+
+    def differ(self, n, high):
+        """Shingles at most in which a set of ``n`` and a partner of at most ``high`` differ."""
+        return (n + np.minimum(high, 100 * n // self.percent)) * (100 - self.percent) // (100 + self.percent)
+
+    def enough(self, low: int, high: int) -> int:
+        """Groups of a band, so that sets of every size that uses it have more full ones than they may differ in.
+
+        Four deviations of the number of full groups are left; at most 64 groups a shingle, where that cannot be reached.
+        """
+        if self.differ(high, high) == 0:
+            return 1
+
+        def fits(groups: int, n: int) -> bool:
+            load = n / groups
+            empty = math.exp(-load)
+            spread = math.sqrt(max(0.0, groups * (empty - (1 + load) * empty * empty)))
+            return groups * -math.expm1(-load) - 4 * spread >= self.differ(n, high) + 1
+
+        least = 2
+        for n in (max(1, -(-low * self.percent // 100)), low, high):
+            few, many = least - 1, least
+            while many < 64 * high and not fits(many, n):
+                few, many = many, 2 * many
+            while many - few > 1:
+                half = (few + many) // 2
+                few, many = (few, half) if fits(half, n) else (half, many)
+            least = max(least, min(many, 64 * high))
+        return least
 
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, n, "right") - 1
@@ -100,7 +129,7 @@ def block_keys(row: np.ndarray, code: np.ndarray, n: np.ndarray, bands: Bands, b
     key = mix(content + number * np.uint64(0x632BE59BD9B4E019) + band[owner].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
     full = count > 0
     empties = np.bincount(owner[~full], minlength=len(n))
-    odd = np.nonzero((band >= 0) & (empties >= groups - bands.differ[np.maximum(band, 0)]))[0]
+    odd = np.nonzero((band >= 0) & (groups - empties <= bands.differ(n, bands.high[np.maximum(band, 0)])))[0]
     spare = mix(band[odd].astype(np.uint64) + np.uint64(0xE7037ED1A0B428DB))
     return np.concatenate([owner[full], odd]), np.concatenate([key[full], spare])
 

@@ -540,6 +540,33 @@ def test_blocks_lose_no_pair():
         assert keys[0] & keys[1]
 
 
+@pytest.mark.parametrize("percent", [70, 80, 85, 95])
+def test_spare_blocks_stay_near_empty(percent):
+    """Hardly any document needs the block that says nothing about content, whatever the size; no pair is lost."""
+    draw, bands, spares, uses = np.random.default_rng(4), jaccard.Bands(percent), 0, 0
+    t = percent / 100
+
+    def keys(s):
+        size = np.array([len(s)])
+        found = []
+        for band in (bands.of(size), np.where(percent * bands.low[bands.of(size) + 1] <= 100 * size, bands.of(size) + 1, -1)):
+            if band[0] >= 0:
+                spare = common.mix(band.astype(np.uint64) + np.uint64(0xE7037ED1A0B428DB))[0]
+                found.append([int(k) for k in jaccard.block_keys(np.zeros(len(s), np.int64), np.sort(s), size, bands, band)[1]])
+                found.append(int(spare) in found[-1])
+        return {k for f in found[::2] for k in f}, found[1::2]
+
+    for n in [*range(1, 60), *range(60, 1500, 9)]:
+        whole = draw.integers(0, 1 << 62, 2 * n, dtype=np.uint64)
+        gone = int(n * (1 - t) / (1 + t))  # as many leave as come
+        a, b = whole[:n], whole[gone:n + gone]
+        cut = whole[:-(-n * percent // 100)]
+        (one, spare), (two, _), (three, _) = keys(a), keys(b), keys(cut)
+        assert one & two and one & three
+        spares, uses = spares + sum(spare), uses + len(spare)
+    assert spares <= 0.01 * uses
+
+
 def test_rtree():
     draw = np.random.default_rng(2)
     points = draw.integers(0, 6, (300, 16)).astype(np.int32)
