@@ -168,46 +168,17 @@ def keyed(docs: DataFrame, width: int, percent: int) -> DataFrame:
 def blocks(rows: DataFrame) -> DataFrame:
     """The document rows, and the rows of blocks with two members or more, under a name of the member set.
 
-    One shuffle by key. A task reads its rows in key order and holds one batch and one block's name at a time: the
-    name is a sum over the members, so rows go out when their block has ended.
+    ``rows`` are read twice. Names are aggregates of hashes of the members, added up before they are shuffled, and are
+    joined back to the rows: no task needs a whole block, and a join can split a key that many documents share.
     """
-    spark = rows.sparkSession
-    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "doc")
-
-    def run(batches):
-        held: list = []  # columns of a block that may go on
-        for batch in batches:
-            key, doc, n = (batch.column(k).to_numpy() for k in range(3))
-            plain = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
-            if plain.any():
-                yield pa.record_batch([c.filter(pa.array(plain)) for c in batch.columns], names=batch.schema.names)
-            part = [np.concatenate([a, b]) for a, b in zip(held, (key[~plain], doc[~plain], n[~plain]))] if held else [
-                key[~plain], doc[~plain], n[~plain]]
-            if not len(part[0]):
-                continue
-            cut = np.searchsorted(part[0], part[0][-1], "left")
-            held = [c[cut:] for c in part]
-            yield from named(*(c[:cut] for c in part))
-        if held:
-            yield from named(*held)
-
-    def named(key, doc, n):
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-        key, doc, n = key[new], doc[new], n[new]
-        if not len(key):
-            return
-        start = np.ones(len(key), bool)
-        start[1:] = key[1:] != key[:-1]
-        block = np.cumsum(start) - 1
-        many = np.bincount(block)[block] > 1
-        if many.any():
-            name = sums(mix(doc.astype(np.uint64) + np.uint64(0x27D4EB2F)), block, int(block[-1]) + 1)[block]
-            yield pa.record_batch([
-                pa.array(name[many].view(np.int64)), pa.array(doc[many]), pa.array(n[many]), pa.nulls(int(many.sum()), pa.int64())],
-                names=["key", "doc", "n", "rep"])
-
-    return dealt.mapInArrow(run, "key long, doc long, n long, rep long")
+    keys = rows.where("rep IS NULL")
+    code = F.xxhash64("doc")
+    names = keys.groupBy("key").agg(
+        F.min("doc").alias("low"), F.max("doc").alias("high"), F.bit_xor(code).alias("x"),
+        F.sum(F.shiftright(code, 32)).alias("s")).where("low < high")
+    names = names.select(F.col("key").alias("_key"), F.xxhash64("low", "high", "x", "s").alias("name"))
+    named = keys.join(names, keys["key"] == names["_key"]).select(F.col("name").alias("key"), "doc", "n", "rep")
+    return rows.where("rep IS NOT NULL").unionByName(named)
 
 
 class RTree:
@@ -371,7 +342,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     """doc_id, n_shingles, component_id of every row with an id."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     rows = rows.where("doc IS NOT NULL")
-    found = stored(blocks(keyed(rows, width, percent)), "blocks")
+    found = stored(blocks(stored(keyed(rows, width, percent), "keyed")), "blocks")
     listed = found.where("rep IS NOT NULL").select("doc", "n", "rep")
     members = stored(found.where("rep IS NULL").groupBy("key", "doc").agg(F.max("n").alias("n")), "members")
     near = members.select("doc").distinct()

@@ -567,6 +567,22 @@ def test_spare_blocks_stay_near_empty(percent):
     assert spares <= 0.01 * uses
 
 
+def test_blocks_are_named_without_being_held(llm):
+    """Blocks get one name for each member set; their rows go through no worker that holds a block."""
+    draw = random.Random(12)
+    sets = {k: draw.sample(range(30), draw.choice([1, 2, 3, 20])) for k in range(40)} | {40: [1, 2], 41: [2, 1], 42: [5], 43: list(range(500))}
+    rows = [(k, d, 9, None) for k, docs in sets.items() for d in docs] + [(0, d, 9, d) for d in range(500)] + [(42, 5, 9, None)]
+    made = jaccard.blocks(llm.createDataFrame(rows, "key long, doc long, n long, rep long"))
+    assert "InArrow" not in made._jdf.queryExecution().executedPlan().toString()
+    found = made.collect()
+    assert sorted(r.doc for r in found if r.rep is not None) == list(range(500))
+    named = {}
+    for r in found:
+        if r.rep is None:
+            named.setdefault(r.key, set()).add(r.doc)
+    assert sorted(map(sorted, named.values())) == sorted(map(list, {tuple(sorted(m)) for m in sets.values() if len(m) > 1}))
+
+
 def test_rtree():
     draw = np.random.default_rng(2)
     points = draw.integers(0, 6, (300, 16)).astype(np.int32)
