@@ -4,7 +4,8 @@ from importlib import import_module
 
 from palisade.llm import common
 
-_MODULES = ["quality", "chat", "tokens", "pii", "pieces", "hosts", "lines", "decontaminate", "jaccard", "substrings"]
+_MODULES = ["quality", "chat", "tokens", "pii", "pieces", "hosts", "lines", "decontaminate", "jaccard", "substrings",
+            "licenses", "centroids", "runs"]
 
 
 def load():
