@@ -92,16 +92,47 @@ def stream_gaps(spark, sf_dir):
                                      deviation.alias("fail_interarrival_std")))
 
 
-@query("X06_scored_stream", f"WITH {features()} SELECT window_start, count(*) AS rows FROM features {_CLOSED} GROUP BY 1")
+_FIRST = """(SELECT date_trunc('day', timestamp) AS window_start, source_ip AS src_ip, max(severity) AS max_severity,
+  arg_min(event_id, place) AS event_id, arg_min(agent_id, place) AS agent_id
+  FROM (SELECT *, row_number() OVER (ORDER BY timestamp, event_id) AS place FROM log_event {0}) GROUP BY 1, 2)"""
+
+
+@query("X06_stream_context", with_inputs(f"""SELECT window_start, src_ip, CAST(coalesce(max_severity, 0) AS INT) AS max_severity, event_id, agent_id
+FROM {_FIRST.format('')} {_CLOSED}""", "log_event"))
+def stream_context(spark, sf_dir):
+    """Highest severity and first event of each closed window, out of the state of the stream."""
+    made = D.drained(W.stream_counters(I.event_stream(spark, sf_dir), DAY, context=True))
+    return made.select(F.col("window.start").alias("window_start"), "src_ip", F.coalesce("max_severity", F.lit(0)).cast("int").alias("max_severity"),
+                       "first_event.event_id", "first_event.agent_id")
+
+
+_SCORED = """SELECT f.window_start, f.src_ip, e.event_id, sha256(concat_ws('|', strftime(f.window_start, '%Y-%m-%d %H:%M:%S'), f.src_ip, '{0}')) AS id,
+  sha256(concat_ws('|', strftime(f.window_start, '%Y-%m-%d %H:%M:%S'), f.src_ip, '{1}')) AS feature_vector_id, {2}
+  FROM features f JOIN {3} e ON e.window_start = f.window_start AND e.src_ip = f.src_ip"""
+
+
+def _scored_sql(first, tail="", source=None):
+    made = _SCORED.format(S.DEFAULT_MODEL_VERSION, S.DEFAULT_FEATURE_VERSION, ", ".join(f"f.{n}" for n in S.FEATURES), first)
+    columns = f"window_start, src_ip, event_id, id, feature_vector_id, {rounded(S.FEATURES)}"
+    return f"WITH log_event AS ({I.SQL['log_event']}), {features(source=source)} SELECT {columns} FROM ({made}) {tail}"
+
+
+def _scored_rows(results, vectors):
+    """Results with the features that they stand for."""
+    named = vectors.select(F.col("id").alias("feature_vector_id"), *S.FEATURES)
+    rows = results.select("window_start", "src_ip", "event_id", "id", "feature_vector_id").join(named, "feature_vector_id")
+    return rows.select("window_start", "src_ip", "event_id", "id", "feature_vector_id", *S.FEATURES)
+
+
+@query("X06_scored_stream", _scored_sql(_FIRST.format(""), _CLOSED))
 def scored_stream(spark, sf_dir):
-    """Stream to features, scores and risk rows in the result tables; one result per window and address."""
+    """Stream to features, scores and risk rows in the keyed result tables; one result per window and address."""
     root = scratch_path(spark, "tables")
     scaler = parts(spark, sf_dir)[0]
-    counters = W.stream_counters(I.event_stream(spark, sf_dir), DAY)
-    writer = W.score_and_upsert(I.log_event(spark, sf_dir), root, day_model(spark, sf_dir), scaler, DAY)
-    W.start(counters, writer, f"{root}/state").awaitTermination()
-    results = spark.read.parquet(f"{root}/anomaly_result")
-    return results.groupBy("window_start").agg(F.count(F.lit(1)).alias("rows"))
+    counters = W.stream_counters(I.event_stream(spark, sf_dir), DAY, context=True)
+    W.start(counters, W.score_and_upsert(root, day_model(spark, sf_dir), scaler, DAY, spark), f"{root}/state").awaitTermination()
+    stored = W.result_tables(spark, root)
+    return _scored_rows(stored["anomaly_result"].read(), stored["feature_vectors"].read())
 
 
 @query("X07_fading_risk", with_inputs("""
@@ -122,12 +153,15 @@ def fading_risk(spark, sf_dir):
     return D.drained(K.fading_risk(risk, 30 * DAY))
 
 
-@query("X08_backfill", with_inputs(f"""SELECT source_ip AS src_ip, date_trunc('day', timestamp) AS window_start, CAST(1 AS BIGINT) AS rows FROM log_event
-WHERE timestamp > TIMESTAMP '2024-01-03' AND timestamp <= TIMESTAMP '2024-01-09' GROUP BY 1, 2""", "log_event"))
+_SPAN = "timestamp > TIMESTAMP '2024-01-03' AND timestamp <= TIMESTAMP '2024-01-09'"
+
+
+@query("X08_backfill", _scored_sql(_FIRST.format(f"WHERE {_SPAN}"), source=f"(SELECT * FROM ({PARSED}) WHERE {_SPAN})"))
 def backfill(spark, sf_dir):
+    """Features, first events and ids of a range of days."""
     scaler = parts(spark, sf_dir)[0]
     made = V.backfill(I.log_event(spark, sf_dir), datetime(2024, 1, 3), datetime(2024, 1, 9), day_model(spark, sf_dir), scaler, DAY)
-    return made["anomaly_result"].groupBy("src_ip", "window_start").agg(F.count(F.lit(1)).alias("rows"))
+    return _scored_rows(made["anomaly_result"], made["feature_vectors"])
 
 
 @query("X10_rescored_vectors")
@@ -138,6 +172,4 @@ def rescored_vectors(spark, sf_dir):
     schema = spark.read.parquet(f"{root}/in").schema
     stream = spark.readStream.schema(schema).parquet(f"{root}/in")
     W.start(stream, W.score_vectors(root, day_model(spark, sf_dir), parts(spark, sf_dir)[0]), f"{root}/state").awaitTermination()
-    return spark.read.parquet(f"{root}/anomaly_result").select("window_start", "src_ip", "anomaly_score", "predicted_label")
-
-
+    return W.result_tables(spark, root)["anomaly_result"].read().select("window_start", "src_ip", "anomaly_score", "predicted_label")

@@ -14,6 +14,7 @@ from palisade.operators.features import extract_features
 from palisade.plans import serve as V
 from palisade.session import scratch_path
 from palisade.sinks import datasets as O, results as U, retention as N, upsert as M
+from palisade.sinks.merge import MergeTable
 from palisade.sources import files as R, tables as T
 
 FEATURES_SQL = rounded(S.FEATURES)
@@ -203,6 +204,16 @@ def tag_lines(spark, sf_dir):
 _COUNTS = """SELECT date_trunc('day', timestamp) AS window_start, source_ip AS src_ip, count(*) AS n FROM log_event GROUP BY 1, 2"""
 
 
+def _through_table(spark, existing, incoming, keys, updated, order=()):
+    """A stored base, a batch after it, and that batch once more."""
+    stored = MergeTable(spark, scratch_path(spark, "merged"), keys, updated, order, buckets=8)
+    stored.append(existing, 0)
+    stored.compact()
+    for _ in range(2):
+        stored.append(incoming, 1)
+    return stored.read()
+
+
 @query("K01_upsert_vectors", with_inputs(f"""
 SELECT window_start, src_ip, CASE WHEN window_start <= TIMESTAMP '2024-01-20' THEN 'old' ELSE 'new' END AS id,
   CAST(CASE WHEN window_start >= TIMESTAMP '2024-01-15' THEN n + 100 ELSE n END AS DOUBLE) AS auth_fail_count FROM ({_COUNTS})""", "log_event"))
@@ -215,7 +226,8 @@ def upsert_vectors(spark, sf_dir):
         F.lit("v2").alias("feature_version"), F.lit(extra).alias("computed_at"))
     existing = rows("old", 0).where("window_start <= TIMESTAMP'2024-01-20'")
     incoming = rows("new", 100).where("window_start >= TIMESTAMP'2024-01-15'")
-    merged = M.merge_feature_vectors(existing, incoming)
+    order = ["window_start", "src_ip", "feature_version"]
+    merged = _through_table(spark, existing, incoming, order, ["auth_fail_count", "computed_at"], ["computed_at"])
     return merged.select("id", "window_start", "src_ip", "auth_fail_count")
 
 
@@ -238,7 +250,7 @@ def upsert_results(spark, sf_dir):
     incoming = base.where(F.col("window_start") >= F.lit(datetime(1998, 1, 1))).withColumns({
         "id": F.lit("new"), "anomaly_score": F.col("anomaly_score") / 2, "predicted_label": F.lit("Uncertain"),
         "feature_vector_id": F.lit("fv"), "ground_truth_label": F.lit("changed"), "label_source": F.lit("changed")})
-    merged = M.merge_results(base, incoming)
+    merged = _through_table(spark, base, incoming, M.RESULT_KEYS, M.RESULT_UPDATED)
     return merged.select(*keys, "id", "anomaly_score", "predicted_label", "feature_vector_id", "ground_truth_label", "label_source")
 
 
@@ -256,7 +268,7 @@ def upsert_risk(spark, sf_dir):
     existing = risk.where(F.col("timestamp") < F.lit(datetime(1999, 1, 1)))
     incoming = risk.where(F.col("timestamp") >= F.lit(datetime(1997, 1, 1))).withColumns(
         {"id": F.lit("new"), "score": F.col("score") / 2})
-    merged = M.merge_risk(existing, incoming)
+    merged = _through_table(spark, existing, incoming, M.RISK_KEYS, M.RISK_UPDATED)
     return merged.select("id", F.coalesce("anomaly_result_id", F.lit("none")).alias("anomaly_result_id"), "src_ip", "score", "risk_class")
 
 

@@ -32,8 +32,11 @@ def window_column(when: Column, seconds: float) -> Column:
     return time_window(when, seconds)["start"]
 
 
-def event_records(parsed: DataFrame, keys=KEYS) -> DataFrame:
-    """One row per line for its 10-second bucket, plus one for its user name and one for its user agent."""
+def event_records(parsed: DataFrame, keys=KEYS, extra=()) -> DataFrame:
+    """One row per line for its 10-second bucket, plus one for its user name and one for its user agent.
+
+    ``extra`` columns go along with each record.
+    """
     second = F.unix_seconds("event_time")
     bucket = (F.floor(second / BUCKET_SECONDS) * BUCKET_SECONDS).cast("long")
     entry = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
@@ -43,13 +46,17 @@ def event_records(parsed: DataFrame, keys=KEYS) -> DataFrame:
         F.when(F.col("http_agent") != "unknown", entry(AGENT, F.col("http_agent"))),
     ))
     return parsed.select(
-        *keys, "is_failure", "is_timed_failure", "is_success", "is_http", "has_auth_hint",
+        *keys, *extra, "is_failure", "is_timed_failure", "is_success", "is_http", "has_auth_hint",
         "http_status", "http_method", "http_bytes", (second % BUCKET_SECONDS).cast("int").alias("_offset"),
         F.inline(entries),
     )
 
 
-def record_counters(records: DataFrame, keys=KEYS) -> DataFrame:
+CONTEXT = ("severity", "timestamp", "event_id", "agent_id")
+
+
+def record_counters(records: DataFrame, keys=KEYS, context: bool = False) -> DataFrame:
+    """Counters per record; with ``context`` also the highest severity and the earliest (time, event, agent)."""
     event = F.col("kind") == TIME
     web = event & F.col("is_http")
     low = F.col("http_status").between(400, 499)
@@ -71,10 +78,11 @@ def record_counters(records: DataFrame, keys=KEYS) -> DataFrame:
         F.max(F.col("has_auth_hint")).alias("any_auth"),
         # which of the ten seconds of a bucket saw a failure
         F.bit_or(F.when(event & F.col("is_timed_failure"), mark)).alias("fail_seconds"),
+        *([F.max("severity").alias("max_severity"), F.min(F.struct(*CONTEXT[1:])).alias("first_event")] if context else []),
     )
 
 
-def address_counters(per_record: DataFrame, keys=KEYS) -> DataFrame:
+def address_counters(per_record: DataFrame, keys=KEYS, context: bool = False) -> DataFrame:
     summed = ["lines", "fails", "timed_fails", "oks", "web", "web_4xx", "all_4xx", "web_5xx", "all_5xx",
               "web_post", "all_post", "web_bytes", "all_bytes"]
     timed = (F.col("kind") == TIME) & F.col("key").isNotNull()
@@ -93,6 +101,8 @@ def address_counters(per_record: DataFrame, keys=KEYS) -> DataFrame:
         F.sum(F.when(timed, F.col("lines"))).alias("timed_lines"),
         # at most one entry per ten seconds of the window
         F.sort_array(F.collect_list(marks)).alias("marks"),
+        # every line has one record of its own at least, so the records hold all severities and first events
+        *([F.max("max_severity").alias("max_severity"), F.min("first_event").alias("first_event")] if context else []),
     )
 
 
@@ -189,8 +199,8 @@ def history_burst(counters: DataFrame, history: DataFrame, history_window: Colum
 
 def finished_features(counters: DataFrame, window_seconds: float, history: DataFrame | None = None,
                       history_window: Column | None = None, feature_version: str = S.DEFAULT_FEATURE_VERSION,
-                      computed_at=None) -> DataFrame:
-    """Counters of whole windows to features: adds what depends on all addresses of a window."""
+                      computed_at=None, keep=()) -> DataFrame:
+    """Counters of whole windows to features: adds what depends on all addresses of a window; ``keep`` columns stay."""
     framed = counters.join(window_summary(counters), "window_start")
     if history is not None:
         framed, burst = history_burst(framed, history, history_window), F.col("burst_rate")
@@ -200,7 +210,7 @@ def finished_features(counters: DataFrame, window_seconds: float, history: DataF
     columns = feature_columns(window_seconds, burst)
     return framed.select(
         "window_start", "src_ip", *[c.alias(n) for n, c in columns.items()],
-        F.lit(feature_version).alias("feature_version"), made.alias("computed_at"),
+        F.lit(feature_version).alias("feature_version"), made.alias("computed_at"), *keep,
     )
 
 

@@ -44,13 +44,19 @@ def score_events(events: DataFrame, model, scaler, window_seconds: float = 60.0,
 
 
 def score_features(features: DataFrame, events: DataFrame, model, scaler, window_seconds: float = 60.0) -> dict:
-    features = checkpointed(features.withColumn("id", row_hash("window_start", "src_ip", "feature_version")))
+    """Features with severity and first event of their window from the event table, scored."""
     keyed = events.withColumn("window_start", window_column(F.col("timestamp").cast("timestamp"), window_seconds))
-    context = with_event_context(features, keyed, ("window_start", "src_ip"))
+    return score_ready(with_event_context(checkpointed(features), keyed, ("window_start", "src_ip")), model, scaler)
+
+
+def score_ready(context: DataFrame, model, scaler) -> dict:
+    """Frames for the three result tables from features that carry max_severity, event_id and agent_id."""
+    context = checkpointed(context.withColumn("id", row_hash("window_start", "src_ip", "feature_version")))
     ready = context.withColumn("severity_weight", F.col("max_severity").cast("double")).drop("max_severity")
     scored = checkpointed(
         infer_on_features(ready, model, scaler).withColumn("model_version", F.lit(model.model_version)).drop("id"))
     results, risks = prediction_rows(scored)
+    features = context.drop("max_severity", "event_id", "agent_id")
     return {"feature_vectors": features, "anomaly_result": results, "risk_score": risks, "scored": scored}
 
 

@@ -50,6 +50,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders inside a folder; none when it is not there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in store.listStatus(target)) if store.exists(target) else []
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder with all it holds."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

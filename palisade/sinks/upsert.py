@@ -18,19 +18,30 @@ def merged_rows(existing: DataFrame | None, incoming: DataFrame, keys, updated=N
     both = incoming.withColumn("_rank", rank)
     if existing is not None:
         both = both.unionByName(existing.select(*columns).withColumn("_rank", old_rank))
+    return one_row_per_key(both, keys, updated, null_keys).select(*columns)
+
+
+def one_row_per_key(versions: DataFrame, keys, updated=None, null_keys: str = "keep") -> DataFrame:
+    """One row per key from rows with a ``_rank``: updated columns of the highest one, the others of the lowest.
+
+    Without ``updated`` all columns are. Rows with a missing key are kept as they are, or dropped.
+    """
     keyless = F.lit(False)
     for key in keys:
         keyless = keyless | F.col(key).isNull()
+    columns = [c for c in versions.columns if c != "_rank"]
     rest = [c for c in columns if c not in keys]
     newest = rest if updated is None else [c for c in rest if c in updated]
     first = [c for c in rest if c not in newest]
-    picks = [F.max_by(F.struct(*newest), F.col("_rank")).alias("_new")]
+    picks = []
+    if newest:
+        picks.append(F.max_by(F.struct(*newest), F.col("_rank")).alias("_new"))
     if first:
         picks.append(F.min_by(F.struct(*first), F.col("_rank")).alias("_old"))
-    merged = both.where(~keyless).groupBy(*keys).agg(*picks)
-    merged = merged.select(*keys, "_new.*", *(["_old.*"] if first else [])).select(*columns)
+    merged = versions.where(~keyless).groupBy(*keys).agg(*picks) if picks else versions.where(~keyless).select(*keys).distinct()
+    merged = merged.select(*keys, *(["_new.*"] if newest else []), *(["_old.*"] if first else [])).select(*columns)
     if null_keys == "keep":
-        merged = merged.unionByName(both.where(keyless).select(*columns))
+        merged = merged.unionByName(versions.where(keyless).select(*columns))
     return merged
 
 
@@ -41,9 +52,7 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame, keys, updated=No
     Where the time is no part of the key a row may move to another day: the days that hold a key of the batch
     are touched, too, and a day that loses its last row is removed.
     """
-    rows = incoming
-    if partition:
-        rows = rows.withColumn(partition, F.to_date(time))
+    rows = checkpointed(incoming.withColumn(partition, F.to_date(time)) if partition else incoming)  # read several times
     existing = spark.read.schema(rows.schema).parquet(path) if path_exists(spark, path) else None
     days = set()
     if existing is not None and partition:

@@ -4,31 +4,40 @@ from pyspark.sql import DataFrame, functions as F
 
 from palisade import schema as S
 from palisade.functions.text import parsed_lines
-from palisade.operators.features import address_counters, event_records, finished_features, record_counters, time_window
-from palisade.sinks.upsert import RESULT_KEYS, RESULT_UPDATED, RISK_KEYS, RISK_UPDATED, VECTOR_KEYS, upsert
+from palisade.operators.features import CONTEXT, address_counters, event_records, finished_features, record_counters, time_window
+from palisade.sinks.merge import MergeTable
+from palisade.sinks.upsert import RESULT_KEYS, RESULT_UPDATED, RISK_KEYS, RISK_UPDATED, VECTOR_KEYS
 
 STREAM_KEYS = ("window", "src_ip")
 
 
 def stream_counters(events: DataFrame, window_seconds: float = 60.0, slide_seconds: float | None = None,
-                    delay: str = "10 minutes", time: str = "timestamp") -> DataFrame:
+                    delay: str = "10 minutes", time: str = "timestamp", context: bool = False) -> DataFrame:
     """Counters per (window, address) in append mode: a window leaves once, when the watermark has passed it.
 
     The two aggregations of the batch form run as two chained stateful steps. The state per address is
-    bounded by the window: one entry per ten seconds, and one row per distinct user and agent.
+    bounded by the window: one entry per ten seconds, and one row per distinct user and agent. With
+    ``context`` the state also carries the highest severity and the earliest event of the window, so that
+    scoring a closed window needs no look at the event table.
     """
     timed = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
     parsed = parsed_lines(timed, F.col(time)).withColumn(
         "window", time_window(F.col("event_time"), window_seconds, slide_seconds))
-    per_record = record_counters(event_records(parsed, STREAM_KEYS), STREAM_KEYS)
-    return address_counters(per_record, STREAM_KEYS)
+    records = event_records(parsed, STREAM_KEYS, CONTEXT if context else ())
+    return address_counters(record_counters(records, STREAM_KEYS, context), STREAM_KEYS, context)
 
 
 def batch_features(counters: DataFrame, window_seconds: float = 60.0, feature_version: str = S.DEFAULT_FEATURE_VERSION,
                    computed_at=None) -> DataFrame:
-    """Finish the windows of one micro-batch: all addresses of a closed window arrive together."""
+    """Finish the windows of one micro-batch: all addresses of a closed window arrive together.
+
+    Counters with context also give max_severity (0 without one), event_id and agent_id.
+    """
     framed = counters.withColumn("window_start", F.col("window.start")).drop("window")
-    return finished_features(framed, window_seconds, feature_version=feature_version, computed_at=computed_at)
+    keep = []
+    if "first_event" in counters.columns:
+        keep = [F.coalesce("max_severity", F.lit(0)).alias("max_severity"), F.col("first_event.event_id"), F.col("first_event.agent_id")]
+    return finished_features(framed, window_seconds, feature_version=feature_version, computed_at=computed_at, keep=keep)
 
 
 def write_features(folder: str, window_seconds: float = 60.0, computed_at=None):
@@ -45,48 +54,56 @@ def write_features(folder: str, window_seconds: float = 60.0, computed_at=None):
     return write
 
 
-def score_and_upsert(events: DataFrame, root: str, model, scaler, window_seconds: float = 60.0):
-    """A foreachBatch writer: features of closed windows, scores and risk rows, merged by key.
+def result_tables(spark, root: str) -> dict:
+    """The keyed result tables below a folder."""
+    return {
+        "feature_vectors": MergeTable(spark, f"{root}/feature_vectors", VECTOR_KEYS, [*S.FEATURES, "computed_at"], ["computed_at"]),
+        "anomaly_result": MergeTable(spark, f"{root}/anomaly_result", RESULT_KEYS, RESULT_UPDATED),
+        "risk_score": MergeTable(spark, f"{root}/risk_score", RISK_KEYS, RISK_UPDATED),
+    }
 
-    ``events`` is the event table for severities and ids. A batch that runs again writes the same keys
-    with the same values.
-    """
-    from palisade.plans.serve import score_features
 
-    spark = events.sparkSession
+def score_and_upsert(root: str, model, scaler, window_seconds: float = 60.0, spark=None, compact_every: int = 50):
+    """A foreachBatch writer: features of closed windows, scores and risk rows, appended to keyed tables.
+
+    The counters carry severity and first event of each window, and a batch reads none of the stored tables
+    (but for the merge of every ``compact_every``-th one), so its cost is that of its own windows. A batch
+    that runs again finds its rows stored.
+    """
+    from palisade.plans.serve import score_ready
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # the session of a stateful stream plans without adaptive execution, so the closed windows are
         # stored and scored in the caller's session
+        session = spark or batch.sparkSession
         path = f"{root}/closed_windows/batch={batch_id}"
         batch.write.mode("overwrite").parquet(path)
-        closed = spark.read.schema(batch.schema).parquet(path)
+        closed = session.read.schema(batch.schema).parquet(path)
         if closed.isEmpty():  # the watermark moved, but no window was closed
             return
-        features = batch_features(closed, window_seconds)
-        made = score_features(features, events, model, scaler, window_seconds)
-        upsert(spark, f"{root}/feature_vectors", made["feature_vectors"], VECTOR_KEYS,
-               [*S.FEATURES, "computed_at"], ["computed_at"], "event_date", "window_start")
-        upsert(spark, f"{root}/anomaly_result", made["anomaly_result"], RESULT_KEYS, RESULT_UPDATED,
-               partition="event_date", time="window_start")
-        upsert(spark, f"{root}/risk_score", made["risk_score"], RISK_KEYS, RISK_UPDATED, partition="event_date",
-               time="timestamp")
+        made = score_ready(batch_features(closed, window_seconds), model, scaler)
+        for name, stored in result_tables(session, root).items():
+            stored.append(made[name], batch_id)
+            if batch_id % compact_every == compact_every - 1:
+                stored.compact()
 
     return write
 
 
-def score_vectors(root: str, model, scaler):
+def score_vectors(root: str, model, scaler, compact_every: int = 50):
     """A foreachBatch writer over appended feature vectors: predictions and risk rows."""
     from palisade.plans.serve import infer_on_features
     from palisade.sinks.results import prediction_rows
+    from palisade.session import checkpointed
 
     def write(batch: DataFrame, batch_id: int) -> None:
         scored = infer_on_features(batch, model, scaler).withColumn("model_version", F.lit(model.model_version))
-        results, risks = prediction_rows(scored)
-        upsert(batch.sparkSession, f"{root}/anomaly_result", results, RESULT_KEYS, RESULT_UPDATED,
-               partition="event_date", time="window_start")
-        upsert(batch.sparkSession, f"{root}/risk_score", risks, RISK_KEYS, RISK_UPDATED, partition="event_date",
-               time="timestamp")
+        results, risks = prediction_rows(checkpointed(scored))  # scored once for both tables
+        stored = result_tables(batch.sparkSession, root)
+        for name, rows in (("anomaly_result", results), ("risk_score", risks)):
+            stored[name].append(rows, batch_id)
+            if batch_id % compact_every == compact_every - 1:
+                stored[name].compact()
 
     return write
 
