@@ -227,5 +227,5 @@ def fit_cascade(train: DataFrame, features=None, label: str | None = None, valid
         else:
             model.threshold = float(quantile_table(judged, ["anomaly_score"], [spare])["anomaly_score"][0])
     else:
-        model.threshold = float(quantile_table(model.score(rows), ["anomaly_score"], [spare])["anomaly_score"][0])
+        model.threshold = float(quantile_table(checkpointed(model.score(rows).select("anomaly_score")), ["anomaly_score"], [spare])["anomaly_score"][0])
     return model

@@ -71,7 +71,7 @@ def compare_models(train: DataFrame, test: DataFrame, validation: DataFrame | No
         judged = checkpointed(all_scores(validation, model).select(label, *columns))
         thresholds = M.pick_thresholds(judged, label, columns, criterion, max_fpr)
     else:
-        own = quantile_table(all_scores(benign, model), columns, [0.95])
+        own = quantile_table(checkpointed(all_scores(benign, model).select(*columns)), columns, [0.95])
         thresholds = {c: own[c][0] for c in columns}
         thresholds["anomaly_score"] = model.threshold
     reports, predictions = {}, {}

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from palisade.operators.ordering import quantile_table
-from palisade.session import tasks_for
+from palisade.session import checkpointed, tasks_for
 
 DEFAULTS = {"n_estimators": 200, "max_samples": 256, "contamination": 0.02, "random_state": 42}
 NODES = "forest int, tree int, node int, feature int, threshold double, left int, right int, size long, depth int"
@@ -211,7 +211,7 @@ def fit_iforest(df: DataFrame, features, params: dict | None = None) -> Forest:
     """Grow one forest and place its offset at the contamination quantile of the training scores."""
     forest = grow_forests(df, features, [params or {}])[0]
     scored = df.select((-forest_scores(df.sparkSession, [forest], features)["f0"]).alias("score"))
-    forest.offset = float(quantile_table(scored, ["score"], [forest.params["contamination"]])["score"][0])
+    forest.offset = float(quantile_table(checkpointed(scored), ["score"], [forest.params["contamination"]])["score"][0])
     return forest
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from palisade.detectors.iforest import merged
 from palisade.operators.ordering import quantile_table
-from palisade.session import tasks_for
+from palisade.session import checkpointed, tasks_for
 
 DEFAULTS = {"kernel": "rbf", "nu": 0.02, "gamma": "scale"}
 MAX_TRAIN_ROWS = None  # a number fits on a sample of about so many rows; None takes all of them
@@ -157,7 +157,7 @@ def fit_ocsvm(df: DataFrame, features, params: dict | None = None, max_rows: int
     """Fit one boundary and place its offset so that a share of nu of the training rows lies outside."""
     bound = fit_boundaries(df, features, [params or {}], max_rows)[0]
     scored = df.select(boundary_margins(df.sparkSession, [bound], features)["b0"].alias("margin"))
-    bound.offset = float(quantile_table(scored, ["margin"], [bound.params["nu"]])["margin"][0])
+    bound.offset = float(quantile_table(checkpointed(scored), ["margin"], [bound.params["nu"]])["margin"][0])
     return bound
 
 

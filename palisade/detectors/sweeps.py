@@ -125,7 +125,7 @@ class Sweep:
             if {0, 1} <= classes:
                 found = pick_thresholds(judged, label, names, criterion, max_fpr)
                 return [found[n] for n in names]
-        base = self._with_fused(self._ranked(self.train)) if judged is None else judged
+        base = checkpointed(self._with_fused(self._ranked(self.train)).select(*names)) if judged is None else judged
         spare = [max(0.5, 1.0 - c.get("gate_rate", GATE_RATE)) for c in self.configs]
         levels = sorted(set(spare))
         table = quantile_table(base, names, levels)

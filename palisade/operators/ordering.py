@@ -2,13 +2,18 @@
 
 A window without a partition sends every row to one task. Here the rows are range-sorted into
 slices instead; only one summary row per slice (at most the number of shuffle partitions) is
-combined in order, and its offsets are joined back.
+combined in order, and its offsets are joined back. Quantiles sort only the values near the wanted ranks.
 """
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palisade.session import checkpointed
 
+
 def _as_column(key) -> Column:
     return F.col(key) if isinstance(key, str) else key
 
@@ -96,47 +101,131 @@ def first_per_key(df: DataFrame, keys, order, newest: bool = False) -> DataFrame
     return chosen.select(*keys, "_row.*").select(*df.columns)
 
 
-def value_counts(df: DataFrame, columns) -> DataFrame:
-    """(name, value, n) over the finite values of several numeric columns."""
-    entries = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])
-    flat = df.select(F.inline(entries)).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    return flat.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+# Rank error of the sketch that brackets a quantile, as one part in so many; it decides how many rows are sorted, not the result.
+SKETCH_ACCURACY = 10_000
+
+
+def bracket_edges(df: DataFrame, columns, probabilities) -> dict:
+    """Per column sorted values that lie closely around the wanted quantiles, from one mergeable sketch a column."""
+    reach = 2.0 / SKETCH_ACCURACY
+    levels = sorted({min(1.0, max(0.0, p + side * reach)) for p in probabilities for side in (-1, 1)})
+    value = lambda c: F.col(c).cast("double")
+    found = df.agg(*[
+        F.percentile_approx(F.when(~F.isnan(value(c)), value(c)), F.array(*map(F.lit, levels)), SKETCH_ACCURACY).alias(f"q{i}")
+        for i, c in enumerate(columns)
+    ]).first()  # a few numbers per column and probability
+    return {c: np.unique(np.asarray(found[f"q{i}"] or [], dtype=float)) for i, c in enumerate(columns)}
+
+
+def _cells(edges: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """2 * i + 1 for a value equal to edge i, 2 * i for one between edge i - 1 and edge i."""
+    return np.searchsorted(edges, values, "left") + np.searchsorted(edges, values, "right")
+
+
+def _doubles(batch, i: int) -> np.ndarray:
+    values = batch.column(i).drop_null().to_numpy(zero_copy_only=False)
+    return values[~np.isnan(values)]
+
+
+def cell_counts(df: DataFrame, columns, edges: dict) -> dict:
+    """column -> number of values in each cell; tasks count first, so a task sends one row per cell."""
+
+    def count(batches):
+        total = [np.zeros(2 * len(edges[c]) + 1, np.int64) for c in columns]
+        for batch in batches:
+            for i, c in enumerate(columns):
+                total[i] += np.bincount(_cells(edges[c], _doubles(batch, i)), minlength=len(total[i]))
+        name = np.repeat(np.arange(len(columns)), [len(t) for t in total])
+        cell, n = np.concatenate([np.arange(len(t)) for t in total]), np.concatenate(total)
+        seen = n > 0
+        yield pa.record_batch([pa.array(name[seen], pa.int32()), pa.array(cell[seen], pa.int32()), pa.array(n[seen])], names=["name", "cell", "n"])
+
+    wide = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    out = {c: np.zeros(2 * len(edges[c]) + 1, np.int64) for c in columns}
+    counted = wide.mapInArrow(count, "name int, cell int, n long").groupBy("name", "cell").agg(F.sum("n").alias("n"))
+    for row in counted.collect():  # cells per column
+        out[columns[row["name"]]][row["cell"]] = row["n"]
+    return out
+
+
+def values_in_cells(df: DataFrame, columns, edges: dict, wanted: dict) -> DataFrame:
+    """(name, cell, value) of the values in the wanted cells of each column."""
+
+    def pick(batches):
+        for batch in batches:
+            for i, c in enumerate(columns):
+                if wanted.get(c):
+                    values = _doubles(batch, i)
+                    cells = _cells(edges[c], values)
+                    keep = np.isin(cells, wanted[c])
+                    yield pa.record_batch([
+                        pa.array(np.full(keep.sum(), i), pa.int32()), pa.array(cells[keep], pa.int32()), pa.array(values[keep])],
+                        names=["name", "cell", "value"])
+
+    wide = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    return wide.mapInArrow(pick, "name int, cell int, value double")
+
+
+def ranked_values(df: DataFrame, columns, ranks: dict) -> dict:
+    """(column, rank) -> value at that 0-based rank, for ``ranks``: column -> function of the number of values to ranks.
+
+    1. A sketch gives edges around the wanted quantiles. 2. One pass counts the values between and on the edges, which
+    tells the cell of every wanted rank; a value that ties with an edge is known then, however often it occurs.
+    3. Only values strictly between two edges that hold a wanted rank are counted by value, sorted and numbered.
+    """
+    edges = bracket_edges(df, columns, ranks["probabilities"])
+    counts = cell_counts(df, columns, edges)
+    found, inside, lowest = {}, {}, {}
+    for c in columns:
+        ends = np.cumsum(counts[c])
+        total = int(ends[-1])
+        for rank in sorted(set(ranks["of"](total))) if total else []:
+            cell = int(np.searchsorted(ends, rank, "right"))
+            if cell % 2:
+                found[c, rank] = float(edges[c][cell // 2])
+            else:
+                lowest[c, cell] = int(ends[cell] - counts[c][cell])
+                inside.setdefault((c, cell), []).append(rank)
+    if inside:
+        wanted = {}
+        for c, cell in inside:
+            wanted.setdefault(c, []).append(cell)
+        values = values_in_cells(df, columns, edges, wanted).groupBy("name", "cell", "value").agg(F.count(F.lit(1)).alias("n"))
+        placed = running_totals(values, ["value"], unique=True, by=["name", "cell"], before=F.col("n"))
+        asked = [(columns.index(c), cell, rank, rank - lowest[c, cell]) for (c, cell), rs in inside.items() for rank in rs]
+        places = df.sparkSession.createDataFrame(asked, "name int, cell int, rank long, place long")  # the wanted ranks
+        hit = placed.join(F.broadcast(places), ["name", "cell"]).where("place >= before AND place < before + n")
+        for row in hit.select("name", "rank", "value").collect():
+            found[columns[row["name"]], row["rank"]] = row["value"]
+    return {**found, "totals": {c: int(counts[c].sum()) for c in columns}}
+
+
+def quantile_values(df: DataFrame, columns, probabilities) -> dict:
+    """(column, probability) -> exact quantile with linear interpolation; columns without a value are left out."""
+    columns, probabilities = list(columns), [float(p) for p in probabilities]
+    around = lambda n: [r for p in probabilities for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))]
+    found = ranked_values(df, columns, {"probabilities": probabilities, "of": around})
+    out = {}
+    for c in columns:
+        n = found["totals"][c]
+        for p in probabilities if n else []:
+            position = p * (n - 1)
+            low, high = found[c, math.floor(position)], found[c, math.ceil(position)]
+            out[c, p] = low if low == high else low + (high - low) * (position - math.floor(position))
+    return out
 
 
 def exact_quantiles(df: DataFrame, columns, probabilities) -> DataFrame:
-    """(name, probability, value) with linear interpolation, from value counts in sorted slices.
+    """(name, probability, value) with linear interpolation; NULL and NaN do not count.
 
-    Spark's own ``percentile`` keeps all distinct values of a group in one buffer, so it is not used.
+    The values are read three times (sketch, counts, values near the wanted ranks) and never sorted as a whole. Spark's
+    own ``percentile`` keeps all distinct values of a group in one buffer, so it is not used.
     """
-    slices = SortedSlices(value_counts(df, columns), "name", "value", unique=True)
-    placed = plain(slices.running(["name"], before=F.col("n")))
-    spans = slices.frame.groupBy("name").agg(F.sum("n").alias("total"))  # one row per column
-    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-    rank = F.col("before")
-    ends = rank + F.col("n")
-
-    def inside(position):
-        low, high = F.floor(position), F.ceil(position)
-        return ((low >= rank) & (low < ends)) | ((high >= rank) & (high < ends))
-
-    hit = placed.join(F.broadcast(spans), "name").select(  # one row per column
-        "name", "value", rank.alias("rank"), ends.alias("ends"), "total",
-        F.explode(F.filter(wanted, lambda p: inside(p * (F.col("total") - 1)))).alias("probability"),
-    )
-    position = F.col("probability") * (F.col("total") - 1)
-    low, high = F.floor(position), F.ceil(position)
-    holds = lambda r: (r >= F.col("rank")) & (r < F.col("ends"))
-    ends_found = hit.groupBy("name", "probability").agg(
-        F.max(F.when(holds(low), F.col("value"))).alias("_low"),
-        F.max(F.when(holds(high), F.col("value"))).alias("_high"),
-        F.max(position - low).alias("_part"),
-    )
-    return ends_found.select(
-        "name", "probability", (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias("value")
-    )
+    rows = [(c, p, float(v)) for (c, p), v in quantile_values(df, columns, probabilities).items()]
+    return df.sparkSession.createDataFrame(rows, "name string, probability double, value double")
 
 
 def quantile_table(df: DataFrame, columns, probabilities) -> dict:
     """The quantiles on the driver: one list per column, at most columns x probabilities numbers."""
-    found = {(r["name"], r["probability"]): r["value"] for r in exact_quantiles(df, columns, probabilities).collect()}
+    found = quantile_values(df, columns, probabilities)
     return {c: [found.get((c, float(p))) for p in probabilities] for c in columns}

@@ -189,3 +189,37 @@ def test_least_norm_point_is_the_mean_when_all_rows_weigh_alike():
     assert np.allclose(least_norm_point(points, 1.0), points.mean(axis=0))
     inner = least_norm_point(points, 0.1)
     assert np.linalg.norm(inner) < np.linalg.norm(points.mean(axis=0))
+
+
+def test_quantiles_sort_few_values(spark, monkeypatch):
+    """Distinct values, one value in a third of all rows, infinities, NULL and NaN; only values near the ranks are sorted."""
+    from palisade.operators import ordering
+
+    rng = np.random.default_rng(5)
+    n = 120_000
+    plain = rng.normal(size=n)
+    hot = np.where(rng.random(n) < 0.34, 0.25, rng.random(n))
+    edge = np.where(rng.random(n) < 0.01, -np.inf, np.where(rng.random(n) < 0.01, np.inf, plain))
+    df = spark.createDataFrame(pd.DataFrame({"a": plain, "b": hot, "c": edge})).repartition(5)
+    df = df.withColumns({"d": F.when(F.col("a") > 1, F.col("a")).when(F.col("a") < -1, F.lit(float("nan"))), "e": F.lit(None).cast("double")})
+    sorted_rows = []
+    pick = ordering.values_in_cells
+    monkeypatch.setattr(ordering, "values_in_cells", lambda *args: sorted_rows.append(pick(*args)) or sorted_rows[-1])
+    steps = [0.0, 0.001, 0.3, 0.5, 0.77, 0.999, 1.0]
+    got = ordering.quantile_values(df, ["a", "b", "c", "d", "e"], steps)
+    kept = {"a": plain, "b": hot, "c": edge, "d": plain[plain > 1]}
+    assert {c for c, _ in got} == set(kept)
+    for (c, p), value in got.items():
+        position = p * (len(kept[c]) - 1)
+        low, high = np.sort(kept[c])[[int(np.floor(position)), int(np.ceil(position))]]
+        assert value == pytest.approx(low if low == high else low + (high - low) * (position - np.floor(position)), abs=1e-12)
+    assert sum(f.count() for f in sorted_rows) < 0.02 * 4 * n
+
+
+def test_quantiles_of_equal_and_few_values(spark):
+    from palisade.operators.ordering import quantile_table
+
+    same = spark.range(5000).select(F.lit(3.0).alias("v"), (F.col("id") % 2).cast("double").alias("w"))
+    assert quantile_table(same, ["v", "w"], [0.1, 0.5, 0.9]) == {"v": [3.0] * 3, "w": [0.0, 0.5, 1.0]}
+    assert quantile_table(same.limit(1), ["v"], [0.3]) == {"v": [3.0]}
+    assert quantile_table(same.limit(0), ["v"], [0.3]) == {"v": [None]}
