@@ -73,7 +73,7 @@ FROM (SELECT *, CASE WHEN month(line_day) < lag(month(line_day)) OVER (PARTITION
   THEN 1 ELSE 0 END AS down FROM years)""", "years"))
 def infer_years(spark, sf_dir):
     events = Y.parse_syslog(I.years(spark, sf_dir))
-    dated = Y.infer_years(events, ("line_day", "line_number"))
+    dated = Y.infer_years(events, ("line_day", "line_number"), piece=F.col("line_day"))
     return dated.select("source_file", "line_number", "event_year", F.coalesce(F.month("event_time").cast("long"), F.lit(-1)).alias("event_month"))
 
 

@@ -1,13 +1,12 @@
 """Login daemon syslog: lines to events, years, windows, features and rule labels."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palisade import schema as S
 from palisade.functions.numbers import count_if, ratio
 from palisade.functions.text import extract
 from palisade.operators.features import BUCKET_SECONDS, _expanded_seconds, failure_gaps
-from palisade.operators.ordering import SortedSlices, plain
-from palisade.session import checkpointed
+from palisade.session import checkpointed, small_side
 
 # --- fixed values: line patterns and label rules ----------------------------------------
 HEADER = r"^([A-Za-z]{3}\s+\d+\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+sshd\[(\d+)\]:\s+(.*)$"
@@ -76,24 +75,42 @@ def _header_as(year: Column) -> Column:
     return F.try_to_timestamp(F.concat_ws(" ", year.cast("string"), spaced), F.lit("yyyy MMM d HH:mm:ss"))
 
 
+PIECE_LINES = 65_536
+
+
 def infer_years(events: DataFrame, order=("line_number",), source: str = "source_file",
-                first_year: int = FIRST_YEAR) -> DataFrame:
+                first_year: int = FIRST_YEAR, piece: Column | None = None) -> DataFrame:
     """Add ``event_time``: a new year begins in a file whenever the month goes down from the line before.
 
-    Only lines with an address and a readable time take part. The previous line is found across sorted
-    slices, so one very long file is not read by a single task.
+    Only lines with an address and a readable time take part. ``piece`` never goes down in the order of a file and cuts
+    it into pieces of bounded size (by default ``PIECE_LINES`` line numbers). A piece is summed up by its first, last,
+    smallest and largest month; year changes between pieces follow from these few rows, and only pieces that hold more
+    than one month are read in order, one window each. The lines are stored once, parsed, and never sorted as a whole.
     """
-    usable = events.where(F.col("src_ip").isNotNull()).withColumn("_in_leap_year", _header_as(F.lit(2000)))
-    usable = usable.where(F.col("_in_leap_year").isNotNull()).withColumn("_month", F.month("_in_leap_year"))
-    usable = checkpointed(usable)  # the sort looks at its input twice; lines are parsed once
-    slices = SortedSlices(usable, source, *order)
-    flagged = slices.previous(_file_before=source, _month_before="_month")
-    drop = (F.col("_file_before") == F.col(source)) & (F.col("_month") < F.col("_month_before"))
-    flagged = flagged.withColumn("_new_year", F.coalesce(drop, F.lit(False)).cast("int"))
-    slices.frame = checkpointed(flagged.drop("_file_before", "_month_before", "_month", "_in_leap_year"))
-    counted = plain(slices.running([source], _years_before=F.col("_new_year")))
-    year = F.lit(first_year) + F.col("_years_before") + F.col("_new_year")
-    dated = counted.withColumn("event_year", year.cast("int")).drop("_new_year", "_years_before")
+    cut = F.floor(F.col(order[0]) / PIECE_LINES) if piece is None else piece
+    usable = events.where(F.col("src_ip").isNotNull()).withColumns({"_in_leap_year": _header_as(F.lit(2000)), "_piece": cut})
+    usable = usable.where(F.col("_in_leap_year").isNotNull()).withColumn("_month", F.month("_in_leap_year")).drop("_in_leap_year")
+    usable = checkpointed(usable)
+    place, key = [source, "_piece"], F.struct(*order)
+    pieces = usable.groupBy(*place).agg(
+        F.min_by("_month", key).alias("_head"), F.max_by("_month", key).alias("_tail"),
+        (F.min("_month") < F.max("_month")).alias("_mixed"))
+    marked = usable.join(small_side(pieces.where("_mixed").select(*place, "_mixed")), place, "left")
+    inside = Window.partitionBy(*place).orderBy(*order)
+    down = F.coalesce(F.col("_month") < F.lag("_month").over(inside), F.lit(False)).cast("int")
+    stepped = marked.where("_mixed").withColumn("_down", down)
+    stepped = stepped.withColumn("_steps", F.sum("_down").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    steps = stepped.groupBy(*place).agg(F.sum("_down").alias("_inside"))
+    in_file = Window.partitionBy(source).orderBy("_piece")
+    joined = pieces.join(steps, place, "left").withColumns({
+        "_inside": F.coalesce("_inside", F.lit(0)),
+        "_new": F.coalesce(F.col("_head") < F.lag("_tail").over(in_file), F.lit(False)).cast("int"),
+    })
+    so_far = F.sum(F.col("_new") + F.col("_inside")).over(in_file.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_inside")
+    years = small_side(joined.select(*place, so_far.alias("_years")))
+    every = stepped.drop("_down").unionByName(marked.where("_mixed IS NULL").withColumn("_steps", F.lit(0).cast("long")))
+    year = F.lit(first_year) + F.col("_years") + F.col("_steps")
+    dated = every.join(years, place).withColumn("event_year", year.cast("int")).drop("_piece", "_month", "_mixed", "_steps", "_years")
     return dated.withColumn("event_time", _header_as(F.col("event_year")))
 
 
@@ -111,7 +128,7 @@ def window_choice(events: DataFrame, source: str = "source_file") -> DataFrame:
 
 def windowed(events: DataFrame, source: str = "source_file") -> DataFrame:
     """Add window_start, window_seconds and events_per_address."""
-    joined = events.join(window_choice(events, source), source)
+    joined = events.join(small_side(window_choice(events, source)), source)  # one row per file
     second = F.unix_seconds("event_time")
     start = F.floor(second / F.col("window_seconds")) * F.col("window_seconds")
     return joined.withColumn("window_start", F.timestamp_seconds(start))

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,6 +44,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+SMALL_ROWS = 200_000
+
+
+def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df``, stored and counted; marked for broadcast when it has at most so many rows (the join is exact either way)."""
+    kept = checkpointed(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there, in any store that Spark can read."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

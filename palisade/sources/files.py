@@ -1,14 +1,14 @@
 """File sources: feature CSV, flow CSV, syslog text, tagged log files, JSON lines."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from palisade import schema as S
 from palisade.functions.alerts import is_json
 from palisade.functions.numbers import count_if
 from palisade.functions.text import extract
 from palisade.operators.flows import capture_rank, standard_columns
-from palisade.operators.ordering import first_per_key, numbered_within
-from palisade.session import path_exists
+from palisade.operators.ordering import first_per_key
+from palisade.session import path_exists, small_side
 
 
 def labelled_schema() -> T.StructType:
@@ -27,15 +27,6 @@ def read_train_test(spark: SparkSession, train: str, test: str, schema=None) ->
     return read_features(spark, train, schema), read_features(spark, test, schema)
 
 
-def file_encodings(spark: SparkSession, path) -> dict:
-    """Encoding to its files: UTF-8 unless some line of the file cannot be read as such. One small row per file."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("good"))
-    found: dict = {}
-    for row in lines.groupBy("file").agg(F.min("good").alias("good")).orderBy("file").collect():
-        found.setdefault("UTF-8" if row.good else "ISO-8859-1", []).append(row.file)
-    return found
-
-
 def _western_marks() -> tuple[str, str]:
     """Characters that ISO-8859-1 leaves as control codes, and what Windows files mean by them."""
     pairs = [(chr(code), bytes([code]).decode("cp1252", "ignore")) for code in range(0x80, 0xA0)]
@@ -43,26 +34,69 @@ def _western_marks() -> tuple[str, str]:
     return "".join(a for a, _ in known), "".join(b for _, b in known)
 
 
+def decoded_name(name: str) -> str:
+    """A header cell that was read byte by byte."""
+    raw = name.encode("iso-8859-1")
+    try:
+        return raw.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        return raw.decode("cp1252", "replace")
+
+
+def decoded(column):
+    """Text that was read byte by byte: UTF-8 where its bytes are that, else the Windows code page."""
+    raw = F.encode(column, "ISO-8859-1")
+    western = F.translate(column, *_western_marks())
+    text = F.when(F.is_valid_utf8(raw.cast("string")), F.decode(raw, "UTF-8")).otherwise(western)
+    return F.when(column.rlike(r"[^\x00-\x7F]"), text).otherwise(column)
+
+
+PLACE = ["_file", "_block"]
+
+
+def placed(raw: DataFrame) -> DataFrame:
+    """Rows of a file scan with their file, block and read order."""
+    return raw.select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_read_order"),
+    )
+
+
+def numbered_rows(rows: DataFrame, name: str) -> DataFrame:
+    """Add the 0-based number of each placed row in its file, by sums over the blocks of the file.
+
+    A block is read by one task, row after row, so the place of a row in its block is the distance of its read order
+    from the first one there. One pass counts the rows of each block; nothing but these counts is ever sorted. Both
+    passes have to see the same blocks: a row that does not fit into its block raises an error.
+    """
+    counts = rows.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("_rows"), F.min("_read_order").alias("_first"))
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # blocks of a file
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    joined = rows.join(small_side(offsets), PLACE, "left")
+    inside = F.col("_read_order") - F.col("_first")
+    fits = (inside >= 0) & (inside < F.col("_rows"))
+    number = F.when(F.coalesce(fits, F.lit(False)), F.col("_before") + inside).otherwise(
+        F.raise_error(F.lit("the blocks of a file changed while it was read")).cast("long"))
+    return joined.withColumn(name, number).drop("_rows", "_first", "_before", "_read_order", *PLACE)
+
+
 def read_flows(spark: SparkSession, path, encoding: str | None = None, max_rows: int | None = None) -> DataFrame:
-    """Flow CSV with short column names, file name and row number; empty rows are dropped. Each file has its encoding."""
-    placed, data_columns = None, []
-    for chosen, files in ({encoding: path} if encoding else file_encodings(spark, path) or {"UTF-8": path}).items():
-        raw = spark.read.option("header", True).option("encoding", chosen).csv(files)
-        read = raw.columns
-        if chosen == "ISO-8859-1":
-            codes, marks = _western_marks()
-            raw = raw.withColumns({c: F.translate(F.col(f"`{c}`"), codes, marks) for c in read})
-        raw = raw.select(
-            *[F.col(f"`{c}`") for c in read], F.col("_metadata.file_name").alias("source_file"),
-            F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_read_order"),
-        )
-        placed = raw if placed is None else placed.unionByName(raw, allowMissingColumns=True)
-        data_columns += [c for c in read if c not in data_columns]
-    placed = numbered_within(placed, "source_file", ["_block", "_read_order"], "row_number", unique=True)
+    """Flow CSV with short column names, file name and row number; empty rows are dropped.
+
+    Without an ``encoding`` fields are read byte by byte and decoded one by one, UTF-8 first, so files of several
+    encodings need one pass.
+    """
+    raw = spark.read.option("header", True).option("encoding", encoding or "ISO-8859-1").csv(path)
+    read = raw.columns
+    named = placed(raw.select("*", F.col("_metadata")).withColumn("source_file", F.col("_metadata.file_name"))).drop("_metadata")
+    if encoding is None:
+        names = [decoded_name(c) for c in read]
+        named = named.select(*[decoded(F.col(f"`{c}`")).alias(n) for c, n in zip(read, names)], "source_file", *PLACE, "_read_order")
+        read = names
+    numbered = numbered_rows(named, "row_number")
     if max_rows is not None:
-        placed = placed.where(F.col("row_number") < max_rows)
-    filled = placed.dropna("all", subset=data_columns)
-    return standard_columns(filled.drop("_block", "_read_order"))
+        numbered = numbered.where(F.col("row_number") < max_rows)
+    return standard_columns(numbered.dropna("all", subset=[f"`{c}`" for c in read]))
 
 
 def discover_files(spark: SparkSession, folders, pattern: str = "*.csv") -> DataFrame:
@@ -85,11 +119,9 @@ def discover_files(spark: SparkSession, folders, pattern: str = "*.csv") -> Data
 
 def read_log_lines(spark: SparkSession, path, max_lines: int | None = None) -> DataFrame:
     """(source_file, line_number, line): trimmed, empty lines skipped, numbered in file order."""
-    raw = spark.read.text(path).select(
-        F.trim("value").alias("line"), F.col("_metadata.file_name").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_read_order"),
-    )
-    numbered = numbered_within(raw, "source_file", ["_block", "_read_order"], "line_number", unique=True)
+    raw = placed(spark.read.text(path).select("value", F.col("_metadata"))).select(
+        F.trim("value").alias("line"), F.col("_metadata.file_name").alias("source_file"), *PLACE, "_read_order")
+    numbered = numbered_rows(raw, "line_number")
     if max_lines is not None:
         numbered = numbered.where(F.col("line_number") < max_lines)
     return numbered.where("line <> ''").select("source_file", "line_number", "line")
