@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palisade.functions.numbers import count_if
 from palisade.functions.risk import risk_ordinal
+from palisade.operators.joins import BUCKETS, SECOND, bucket_cover, in_units, own_buckets, time_levels, unit_of
 from palisade.operators.ordering import first_per_key, running_totals
 
 # --- fixed values: log search expressions -----------------------------------------------
@@ -258,16 +259,23 @@ def annotations(scenarios: DataFrame, start=None, end=None) -> DataFrame:
     )
 
 
-def overlay(chart: DataFrame, scenarios: DataFrame, seconds: int = 3600, time: str = "time") -> DataFrame:
+def overlay(chart: DataFrame, scenarios: DataFrame, seconds: int = 1, time: str = "time") -> DataFrame:
     """Chart points joined with the scenarios that run at that time.
 
-    A scenario is listed under every chart bucket it touches, so the range condition is checked only
-    inside equal buckets.
+    A scenario is cut into the few buckets of 1, 8, 64 ... units of ``seconds`` that cover its whole units, and into the
+    units at its ends. A point looks up its own bucket at each level, so all rows that the join finds are results
+    (but for the two end units), and many scenarios of the same day do not meet in one key.
     """
-    bucket = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / seconds)
-    spread = scenarios.withColumn(
-        "_bucket", F.explode(F.sequence(bucket(F.col("start_time")), bucket(F.col("end_time"))))
-    )
-    points = chart.withColumn("_bucket", bucket(F.col(time)))
-    inside = (F.col(time) >= F.col("start_time")) & (F.col(time) <= F.col("end_time"))
-    return points.join(spread, "_bucket").where(inside).drop("_bucket")
+    unit = seconds * SECOND
+    bounds = in_units(scenarios, "start_time", "end_time", unit).where("_from <= _to")
+    levels = time_levels(bounds)
+    ends = F.array_distinct(F.array(unit_of(F.col("_from"), unit), unit_of(F.col("_to"), unit)))
+    # an end that is covered whole is no edge
+    ends = F.filter(ends, lambda at: ~((at >= F.col("_first")) & (at < F.col("_last"))))
+    edges = F.transform(ends, lambda at: F.struct(F.lit(-1).alias("level"), at.alias("bucket")))
+    cover = F.when(F.col("_first") < F.col("_last"), bucket_cover(F.col("_first"), F.col("_last"), levels))
+    spread = bounds.select(*scenarios.columns, "_from", "_to", F.inline(F.concat(F.coalesce(cover, F.array().cast(BUCKETS)), edges)))
+    points = chart.withColumn("_at", F.unix_micros(F.col(time).cast("timestamp")))
+    listed = points.select(*chart.columns, "_at", F.inline(own_buckets(unit_of(F.col("_at"), unit), levels, -1)))
+    inside = (F.col("_at") >= F.col("_from")) & (F.col("_at") <= F.col("_to"))
+    return listed.join(spread, ["level", "bucket"]).where(inside).drop("level", "bucket", "_at", "_from", "_to")
