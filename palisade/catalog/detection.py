@@ -80,7 +80,7 @@ def item_matrix(spark, sf_dir):
 
 
 def item_forest(spark, sf_dir):
-    return kept(spark, sf_dir, "forest", lambda: T.fit_iforest(item_matrix(spark, sf_dir), ITEMS))
+    return kept(spark, sf_dir, "forest", lambda: T.fit_iforest(item_matrix(spark, sf_dir), ITEMS, keys=ITEM_KEYS))
 
 
 def item_boundary(spark, sf_dir):

@@ -10,7 +10,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from palisade.operators.ordering import quantile_table
@@ -116,68 +115,90 @@ def merged(params: dict | None, defaults: dict) -> dict:
     return {**defaults, **{k: v for k, v in (params or {}).items() if v is not None}}
 
 
-def offered_rows(rows: DataFrame, features, trees, chance: float, seed: int) -> DataFrame:
+ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit numbers (finaliser of the splitmix generator)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def uniform(code: np.ndarray) -> np.ndarray:
+    """Codes as numbers strictly between 0 and 1."""
+    return ((mixed(code) >> np.uint64(11)).astype(float) + 0.5) * 2.0 ** -53
+
+
+def offered_rows(rows: DataFrame, features, trees, chance: float, seed: int, keys=None) -> DataFrame:
     """(features, forest, tree, draw): each row meets each tree with the given chance.
 
-    Rows that meet no tree are dropped first by one random number in the JVM; only the others, a bounded
-    number in expectation, reach Python, where the number of trees they meet is drawn given that it is
-    not zero.
+    Everything is drawn from a code of the row, so neither partitions nor repeated tasks matter. With ``keys`` (columns
+    that tell rows apart) the code is theirs; without them equal rows are counted first and their copies get numbers.
+    The meetings of a row are its hits in one sequence of trials, copy by copy and tree by tree; the way to the next
+    hit is drawn at once. The way to the first one is drawn in the JVM, so that a row that meets no tree ends there.
     """
     count = len(trees)
     forest_of, tree_of = (np.array(c) for c in zip(*trees))
-    sparse = count * chance <= 30.0 and chance < 0.5
-    if sparse:
-        chances = [(1.0 - chance) ** count]
-        while chances[-1] > 1e-15 or len(chances) < 2 * count * chance:
-            k = len(chances) - 1
-            if k >= count:
-                break
-            chances.append(chances[-1] * (count - k) / (k + 1) * chance / (1.0 - chance))
-        steps = np.cumsum(chances)
-        rows = rows.where(F.rand(seed) < 1.0 - steps[0])
+    step = math.log1p(-chance) if chance < 1.0 else -math.inf
+    code = F.xxhash64(F.lit(int(seed)), *[F.col(c) for c in (keys or features)])
+    coded = rows.select(*features, code.alias("_code"))
+    if keys:
+        coded = coded.withColumn("_copies", F.lit(1).cast("long"))
+    else:
+        coded = coded.groupBy("_code").agg(F.any_value(F.struct(*features)).alias("_row"), F.count(F.lit(1)).alias("_copies")).select(
+            "_row.*", "_code", "_copies")
+    first = (F.shiftrightunsigned(F.xxhash64("_code", F.lit(1)), 11).cast("double") + 0.5) * F.lit(2.0 ** -53)
+    coded = coded.withColumn("_first", F.floor(F.least(F.log(first) / F.lit(step), F.lit(2.0 ** 60))).cast("long"))
+    coded = coded.where(F.col("_first") < F.col("_copies") * count)
 
     def offer(batches):
-        part = TaskContext.get().partitionId()
-        for number, pdf in enumerate(batches):
-            rng = np.random.default_rng([seed, part, number])
-            noise = rng.random((len(pdf), count))
-            if sparse:
-                met = np.searchsorted(steps, rng.uniform(steps[0], steps[-1], len(pdf)), side="right").clip(1, count)
-                order = np.argsort(noise, axis=1)[:, : met.max(initial=1)]
-                row, slot = np.nonzero(np.arange(order.shape[1]) < met[:, None])
-                pick = order[row, slot]
-            else:
-                row, pick = np.nonzero(noise < chance)
-            out = pdf.iloc[row].copy()
-            out["forest"], out["tree"], out["draw"] = forest_of[pick], tree_of[pick], rng.random(len(row))
+        for pdf in batches:
+            codes = pdf["_code"].to_numpy().astype(np.uint64)
+            trials, at = pdf["_copies"].to_numpy() * count, pdf["_first"].to_numpy()
+            live, turn, hit_rows, hit_trials = np.arange(len(pdf)), 1, [], []
+            while len(live):
+                hit_rows.append(live)
+                hit_trials.append(at)
+                way = np.log(uniform(codes[live] + np.uint64(turn * int(ODD) % (1 << 64)))) / step
+                at = at + 1 + np.minimum(np.floor(way), 2.0 ** 60).astype(np.int64)
+                left = at < trials[live]
+                live, at, turn = live[left], at[left], turn + 1
+            row = np.concatenate(hit_rows) if hit_rows else np.empty(0, int)
+            trial = np.concatenate(hit_trials) if hit_trials else np.empty(0, int)
+            out = pdf.iloc[row][list(features)].copy()
+            pick = trial % count
+            out["forest"], out["tree"] = forest_of[pick], tree_of[pick]
+            out["draw"] = uniform(mixed(codes[row]) + trial.astype(np.uint64) * ODD)
             yield out
 
     fields = ", ".join(f"`{f}` double" for f in features)
-    return rows.mapInPandas(offer, f"{fields}, forest int, tree int, draw double")
+    return coded.mapInPandas(offer, f"{fields}, forest int, tree int, draw double")
 
 
-def grow_forests(df: DataFrame, features, grid) -> list:
+def grow_forests(df: DataFrame, features, grid, keys=None) -> list:
     """One forest per entry of ``grid`` (parameters, optionally a ``features`` subset), grown in one job.
 
-    Every row is offered to every tree with the same small chance. A tree is offered somewhat more rows than
-    it needs and keeps those with the smallest draws: a simple random sample without replacement.
+    Every row is offered to every tree with the same small chance. A tree is offered somewhat more rows than it needs and
+    keeps those with the smallest draws: a simple random sample without replacement, of exactly as many rows as it asks
+    for (should a tree ever be offered too few, all are offered again with twice the chance). Rows, not their place,
+    decide what is drawn: the same table gives the same forest however it is partitioned. ``keys`` names columns that
+    tell rows apart and saves the count of equal rows.
     """
     features = list(features)
     grid = [merged(g, DEFAULTS) for g in grid]
-    rows = df.select(*[F.col(f).cast("double").alias(f) for f in features])
+    named = [F.col(c) for c in keys or [] if c not in features]
+    rows = df.select(*[F.col(f).cast("double").alias(f) for f in features], *named)
     total = df.count()
     if total == 0:
         raise ValueError("cannot fit an isolation forest on an empty training part")
     sizes = [min(int(g["max_samples"]), total) for g in grid]
     columns = [[features.index(f) for f in g.get("features", features)] for g in grid]
     trees = [(i, t) for i, g in enumerate(grid) for t in range(int(g["n_estimators"]))]
-    # eight deviations above the rows a tree keeps, so that it practically never gets too few
-    wanted = max(sizes) + 8.0 * math.sqrt(max(sizes)) + 16.0
-    sample = offered_rows(rows, features, trees, min(1.0, wanted / total), int(grid[0]["random_state"]))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         forest, tree = int(pdf["forest"].iloc[0]), int(pdf["tree"].iloc[0])
-        kept = pdf.nsmallest(sizes[forest], "draw")
+        kept = pdf.sort_values(["draw", *features], ignore_index=True).head(sizes[forest])
         rng = np.random.default_rng([int(grid[forest]["random_state"]), tree])
         depth = int(math.ceil(math.log2(max(sizes[forest], 2))))
         rows = grow_tree(kept[features].to_numpy(dtype=float), columns[forest], rng, depth)
@@ -186,9 +207,17 @@ def grow_forests(df: DataFrame, features, grid) -> list:
             columns=["forest", "tree", "node", "feature", "threshold", "left", "right", "size", "depth"],
         )
 
-    # at most 2 * max_samples - 1 nodes per tree
-    spread_trees = sample.repartition(tasks_for(df.sparkSession, len(trees)), "forest", "tree")
-    nodes = spread_trees.groupBy("forest", "tree").applyInPandas(build, NODES).toPandas()
+    # eight deviations above the rows a tree keeps
+    chance = min(1.0, (max(sizes) + 8.0 * math.sqrt(max(sizes)) + 16.0) / total)
+    while True:
+        sample = offered_rows(rows, features, trees, chance, int(grid[0]["random_state"]), keys)
+        # at most 2 * max_samples - 1 nodes per tree
+        spread_trees = sample.repartition(tasks_for(df.sparkSession, len(trees)), "forest", "tree")
+        nodes = spread_trees.groupBy("forest", "tree").applyInPandas(build, NODES).toPandas()
+        kept = nodes[nodes["feature"] < 0].groupby(["forest", "tree"])["size"].sum().to_dict()
+        if all(kept.get((i, t), 0) == sizes[i] for i, t in trees):
+            break
+        chance = min(1.0, 2.0 * chance)
     return [
         Forest.from_nodes(nodes[nodes["forest"] == i].drop(columns="forest"), features, grid[i], sizes[i])
         for i in range(len(grid))
@@ -207,9 +236,9 @@ def forest_scores(spark: SparkSession, forests, features) -> Column:
     return score(*[F.col(f).cast("double") for f in features])
 
 
-def fit_iforest(df: DataFrame, features, params: dict | None = None) -> Forest:
+def fit_iforest(df: DataFrame, features, params: dict | None = None, keys=None) -> Forest:
     """Grow one forest and place its offset at the contamination quantile of the training scores."""
-    forest = grow_forests(df, features, [params or {}])[0]
+    forest = grow_forests(df, features, [params or {}], keys)[0]
     scored = df.select((-forest_scores(df.sparkSession, [forest], features)["f0"]).alias("score"))
     forest.offset = float(quantile_table(checkpointed(scored), ["score"], [forest.params["contamination"]])["score"][0])
     return forest

@@ -1,28 +1,37 @@
 """One-class boundary in a random Fourier feature space.
 
 The radial kernel is approximated by cosine features (Rahimi and Recht 2007). In that space the
-one-class problem is the point of least norm in the reduced convex hull of the rows, found by
-Frank-Wolfe steps. Rows are spread over shards of bounded size, each shard is solved by its own task,
-and the normal vectors are averaged; the offset is the nu quantile over all training rows. The work is
-linear in the rows, and all parameter sets are solved in one job.
+one-class problem is the point of least norm in the reduced convex hull of the rows: no row may weigh
+more than 1 / (nu * n). It is solved as one problem over all rows by fully corrective Frank-Wolfe steps.
+A step is one scan: tasks sum the mapped rows whose margin is lowest, which gives the next corner of the
+hull; the driver keeps the corners (a few dozen vectors) and finds the least-norm point among them. A
+bounded sample tells where to look first; the scan also bounds the duality gap, which stops the search and is kept with the result. The offset is the
+nu quantile over all training rows. All parameter sets share the scans.
 """
 
 import math
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from palisade.detectors.iforest import merged
 from palisade.operators.ordering import quantile_table
-from palisade.session import checkpointed, tasks_for
+from palisade.session import checkpointed
 
 DEFAULTS = {"kernel": "rbf", "nu": 0.02, "gamma": "scale"}
-MAX_TRAIN_ROWS = None  # a number fits on a sample of about so many rows; None takes all of them
-SHARD_ROWS = 8192
+MAX_TRAIN_ROWS = None  # a number fits on about so many rows, chosen by a hash; None takes all of them
 COMPONENTS = 512
-STEPS = 150
+STEPS = 150  # of the solver in memory
+TOLERANCE = 1e-3  # duality gap over the squared norm at which a search ends
+SAMPLE, MOST_PROBES = 4096, 24  # rows of the sample that steers the search, normals it hands to the first scan
+MOST_SCANS = 100  # a search that needs more ends with a warning and the gap it has reached
+BINS, FINE = 32, 1024  # margin bins whose rows are summed, bins of the whole range that are only counted
+FIXED = float(1 << 24)  # sums of mapped rows are whole numbers of this fraction, so that their order does not matter
+CHUNK = 4096
 
 
 def fourier_basis(columns: int, gamma: float, components: int, seed: int):
@@ -40,6 +49,8 @@ class Boundary:
     seed: int
     normal: np.ndarray
     offset: float = 0.0
+    gap: float = math.inf
+    scans: int = 0
 
     def mapped(self, rows: np.ndarray) -> np.ndarray:
         directions, phases = fourier_basis(len(self.columns), self.gamma, len(self.normal), self.seed)
@@ -51,12 +62,13 @@ class Boundary:
 
     def info(self) -> dict:
         return {"features": self.features, "params": self.params, "columns": self.columns, "gamma": self.gamma,
-                "seed": self.seed, "normal": [float(v) for v in self.normal], "offset": self.offset}
+                "seed": self.seed, "normal": [float(v) for v in self.normal], "offset": self.offset, "gap": self.gap,
+                "scans": self.scans}
 
     @staticmethod
     def from_info(info: dict) -> "Boundary":
         return Boundary(info["features"], info["params"], info["columns"], info["gamma"], info["seed"],
-                        np.asarray(info["normal"]), info["offset"])
+                        np.asarray(info["normal"]), info["offset"], info.get("gap", math.inf), info.get("scans", 0))
 
 
 def least_norm_point(points: np.ndarray, nu: float, steps: int = STEPS) -> np.ndarray:
@@ -89,12 +101,208 @@ def gamma_value(gamma, columns: int, variance: float) -> float:
     return float(gamma)
 
 
+def hull_weights(gram: np.ndarray) -> np.ndarray:
+    """Weights of the least-norm point among convex combinations of a few corners, from their products (Wolfe's method)."""
+    weights = np.zeros(len(gram))
+    active = [int(np.argmin(np.diag(gram)))]
+    weights[active] = 1.0
+    for _ in range(20 * len(gram)):
+        slopes = gram @ weights
+        best = int(np.argmin(slopes))
+        if best in active or slopes[best] >= (weights @ slopes) * (1.0 - 1e-12):
+            break
+        active.append(best)
+        while True:
+            a, size = np.array(active), len(active)
+            system = np.ones((size + 1, size + 1))
+            system[:size, :size], system[size, size] = gram[np.ix_(a, a)], 0.0
+            wanted = np.linalg.lstsq(system, np.r_[np.zeros(size), 1.0], rcond=None)[0][:size]
+            low = wanted <= 1e-12
+            if not low.any():
+                weights[:] = 0.0
+                weights[a] = wanted
+                break
+            now = weights[a]
+            reach = np.min(now[low] / np.maximum(now[low] - wanted[low], 1e-300))
+            moved = np.where(now + reach * (wanted - now) < 1e-12, 0.0, now + reach * (wanted - now))
+            weights[:] = 0.0
+            weights[a] = moved
+            if (moved > 0).all():
+                break
+            active = [k for k, w in zip(active, moved) if w > 0]
+    return weights / weights.sum()
+
+
+def lowest_share(margins: np.ndarray, weights: np.ndarray, share: float) -> np.ndarray:
+    """How much of each weight belongs to the share with the lowest margins."""
+    order = np.argsort(margins, kind="stable")
+    after = np.cumsum(weights[order])
+    used = np.empty(len(margins))
+    used[order] = np.clip(share - (after - weights[order]), 0.0, weights[order])
+    return used
+
+
+def least_norm(corners: list) -> np.ndarray:
+    every = np.array(corners)
+    return hull_weights(every @ every.T) @ every
+
+
+class HullSearch:
+    """Frank-Wolfe state of one parameter set on the driver: corners, their best combination, where to look next.
+
+    A small sample of mapped rows (``points`` with ``weights``) is solved first. It decides where the scans look: the
+    normals on its way are tried in the first scan together, and its margins tell which window holds the share of
+    lowest rows. Corners and gap are always those of all rows; a window that turns out wrong is found anew from the
+    counts of the scan.
+    """
+
+    def __init__(self, nu: float, rows: int, points: np.ndarray, weights: np.ndarray):
+        self.rows, self.share = rows, min(max(nu * rows, 1.0), float(rows))
+        self.sample, self.weights = points, weights / max(weights.sum(), 1)
+        self.corners, self.point = [], np.zeros(points.shape[1])
+        self.gap, self.done = math.inf, False
+        # the first scan sums all rows, and tries the normals that the sample came by
+        self.probes = [(self.point, np.full(BINS, np.inf))]
+        self.probes += [(normal, self.window(normal)) for normal in self.sample_normals()]
+
+    def sample_normals(self) -> list:
+        if not len(self.sample):
+            return []
+        part, corners, normals = self.share / self.rows, [self.weights @ self.sample], []
+        for _ in range(MOST_PROBES):
+            normal = least_norm(corners)
+            corner = lowest_share(self.sample @ normal, self.weights, part) @ self.sample / part
+            normals.append(normal)
+            if normal @ (normal - corner) <= 0.1 * TOLERANCE * (normal @ normal):
+                break
+            corners.append(corner)
+        return normals
+
+    @staticmethod
+    def limit(normal) -> float:
+        """No margin is larger: a mapped row has a norm of at most the square root of two."""
+        return 1.4143 * float(np.linalg.norm(normal)) + 1e-12
+
+    def window(self, normal) -> np.ndarray:
+        """Edges around the margins at the share, going by the sample; without one the next scan only counts."""
+        if not len(self.sample):
+            return np.full(BINS, -np.inf)
+        margins = self.sample @ normal
+        order = np.argsort(margins, kind="stable")
+        reached, part = np.cumsum(self.weights[order]), self.share / self.rows
+        low, high = (margins[order[min(int(np.searchsorted(reached, f * part)), len(order) - 1)]] for f in (0.7, 1.3))
+        pad = 0.5 * (high - low) + 1e-3 * self.limit(normal)
+        return np.linspace(low - pad, high + pad, BINS)
+
+    def cut(self, normal, edges, counts, sums):
+        """(corner, bound below all products with the normal) of the rows with the lowest margins; None in a wrong window."""
+        reached = np.cumsum(counts)
+        at = int(np.searchsorted(reached, self.share * (1.0 - 1e-12)))
+        if at == 0 or at == BINS:
+            return None
+        need, low = self.share - reached[at - 1], sums[:at].sum(axis=0)
+        # no choice of rows in the bin that is cut can lie below its lower edge
+        return (low + sums[at] * (need / counts[at])) / self.share, (float(low @ normal) + need * edges[at - 1]) / self.share
+
+    def take(self, found: list) -> None:
+        """Use what a scan has found for each probe: counts and sums of its window, and counts of the whole range."""
+        if not self.corners:
+            self.corners.append(found[0][1][0] / found[0][0][0])
+            cuts = [self.cut(*probe, counts, sums) for probe, (counts, sums, _) in zip(self.probes[1:], found[1:])]
+            self.corners += [c[0] for c in cuts if c]
+        else:
+            (normal, edges), (counts, sums, fine) = self.probes[0], found[0]
+            cut = self.cut(normal, edges, counts, sums)
+            if cut is None:
+                self.probes = [(normal, self.counted_window(fine))]
+                return
+            norm = float(normal @ normal)
+            self.gap = max(0.0, norm - cut[1]) / max(norm, 1e-300)
+            self.done = self.gap <= TOLERANCE or norm <= 1e-18
+            self.corners.append(cut[0])
+        if not self.done:
+            self.point = least_norm(self.corners)
+            self.probes = [(self.point, self.window(self.point))]
+
+    def counted_window(self, fine) -> np.ndarray:
+        bound, reached = self.limit(self.point), np.cumsum(fine)
+        scale = 2.0 * bound / FINE
+        low = int(np.searchsorted(reached, 0.7 * self.share, "right"))
+        high = int(np.searchsorted(reached, min(float(self.rows), 1.3 * self.share), "left"))
+        edges = np.linspace(low * scale - bound, (min(high, FINE - 1) + 1) * scale - bound + 1e-9 * bound, BINS)
+        if low == 0:
+            edges[0] = -2.0 * bound
+        return edges
+
+
+def scan_margins(rows: DataFrame, features, bounds, searches) -> None:
+    """One pass over the rows for all searches that go on; each takes its sums."""
+    probes = [(i, k, normal, edges) for i, s in enumerate(searches) if not s.done for k, (normal, edges) in enumerate(s.probes)]
+    limits = [HullSearch.limit(normal) for _, _, normal, _ in probes]
+    components = len(probes[0][2])
+
+    def scan(batches):
+        fine = np.zeros((len(probes), FINE), np.int64)
+        sums = np.zeros((len(probes), BINS, components), np.int64)
+        counts = np.zeros((len(probes), BINS), np.int64)
+        for batch in batches:
+            table = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            for start in range(0, len(table), CHUNK):
+                chunk, mapped = table[start:start + CHUNK], {}
+                for at, (i, _, normal, edges) in enumerate(probes):
+                    key = (tuple(bounds[i].columns), bounds[i].gamma)
+                    if key not in mapped:
+                        mapped[key] = bounds[i].mapped(chunk)
+                    margins = mapped[key] @ normal
+                    spot = ((margins + limits[at]) * (FINE / (2.0 * limits[at]))).astype(np.int64).clip(0, FINE - 1)
+                    fine[at] += np.bincount(spot, minlength=FINE)
+                    bins = np.searchsorted(edges, margins, "right")
+                    low = np.flatnonzero(bins < BINS)
+                    if len(low):
+                        low = low[np.argsort(bins[low], kind="stable")]
+                        seen, first = np.unique(bins[low], return_index=True)
+                        whole = np.rint(mapped[key][low] * FIXED).astype(np.int64)
+                        sums[at][seen] += np.add.reduceat(whole, first, axis=0)
+                        counts[at] += np.bincount(bins[low], minlength=BINS)
+        for at in range(len(probes)):
+            used = np.flatnonzero(counts[at])
+            yield pa.record_batch([
+                pa.array([at] * (len(used) + 1), pa.int32()), pa.array([-1, *used], pa.int32()), pa.array([0, *counts[at][used]], pa.int64()),
+                pa.array([fine[at].tolist(), *sums[at][used].tolist()], pa.list_(pa.int64()))], names=["probe", "bin", "n", "sums"])
+
+    parts = rows.select(*features).mapInArrow(scan, "probe int, bin int, n long, sums array<long>")
+    added = parts.select("probe", "bin", "n", F.posexplode("sums").alias("i", "v")).groupBy("probe", "bin", "i").agg(
+        F.sum("n").alias("n"), F.sum("v").alias("v")).toArrow().to_pandas()  # probes x (bins x components + fine bins) numbers
+    found = {}
+    for at, (i, _, _, _) in enumerate(probes):
+        mine = added[added["probe"] == at]
+        fine, sums, counts = np.zeros(FINE), np.zeros((BINS, components)), np.zeros(BINS)
+        part = mine[mine["bin"] < 0]
+        fine[part["i"]] = part["v"]
+        part = mine[mine["bin"] >= 0]
+        sums[part["bin"], part["i"]] = part["v"] / FIXED
+        counts[part["bin"]] = part["n"]
+        found.setdefault(i, []).append((counts, sums, fine))
+    for i, results in found.items():
+        searches[i].take(results)
+
+
 def fit_boundaries(df: DataFrame, features, grid, max_rows: int | None = MAX_TRAIN_ROWS, seed: int = 42,
                    components: int = COMPONENTS) -> list:
-    """One boundary per entry of ``grid`` (parameters, optionally a ``features`` subset); offsets stay 0."""
+    """One boundary per entry of ``grid`` (parameters, optionally a ``features`` subset); offsets stay 0.
+
+    The result is the solution of one problem over all rows, up to the duality gap that it carries; neither partitions
+    nor the order of rows change it. ``max_rows`` fits on about so many rows, chosen by a hash of their features.
+    """
     features = list(features)
     grid = [merged(g, DEFAULTS) for g in grid]
     rows = df.select(*[F.col(f).cast("double").alias(f) for f in features])
+    if max_rows is not None:
+        total = df.count()
+        if total > max_rows:
+            share = int(max_rows / total * (1 << 52))
+            rows = rows.where(F.pmod(F.xxhash64(F.lit(seed + 1), *features), F.lit(1 << 52)) < share)
+    rows = checkpointed(rows)  # read in every scan
     sums = rows.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(f).alias(f"s_{f}") for f in features], *[F.sum(F.col(f) * F.col(f)).alias(f"q_{f}") for f in features],
@@ -111,33 +319,24 @@ def fit_boundaries(df: DataFrame, features, grid, max_rows: int | None = MAX_TRA
 
     bounds = []
     for g, names in zip(grid, subsets):
-        gamma = gamma_value(g["gamma"], len(names), variance(names))
+        gamma = float(f"{gamma_value(g['gamma'], len(names), variance(names)):.12g}")  # sums differ in their last digits
         bounds.append(Boundary(features, g, [features.index(f) for f in names], gamma, seed, np.zeros(components)))
-
-    placed = rows.withColumn("_place", F.monotonically_increasing_id())
-    used = total
-    if max_rows is not None and total > max_rows:
-        share = int(max_rows / total * (1 << 52))
-        placed = placed.where(F.pmod(F.xxhash64("_place", F.lit(seed + 1)), F.lit(1 << 52)) < share)
-        used = max_rows
-    shards = max(1, math.ceil(used / SHARD_ROWS))
-    sharded = placed.select(
-        *features, F.pmod(F.xxhash64("_place", F.lit(seed)), F.lit(shards)).alias("shard"),
-        F.explode(F.array(*[F.lit(i) for i in range(len(grid))])).alias("entry"),
-    )
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        bound = bounds[int(pdf["entry"].iloc[0])]
-        points = bound.mapped(pdf[features].to_numpy(dtype=float))
-        normal = least_norm_point(points, float(bound.params["nu"]))
-        return pd.DataFrame({"entry": [int(pdf["entry"].iloc[0])], "n": [len(pdf)], "normal": [normal.tolist()]})
-
-    dealt = sharded.repartition(tasks_for(df.sparkSession, shards * len(grid)), "entry", "shard")
-    solved = dealt.groupBy("entry", "shard").applyInPandas(solve, "entry int, n long, normal array<double>")
-    parts = solved.select("entry", "n", F.posexplode("normal").alias("i", "v"))
-    means = parts.groupBy("entry", "i").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v"))
-    for row in means.collect():  # grid size * components numbers
-        bounds[row["entry"]].normal[row["i"]] = row["v"]
+    # distinct rows by a hash, with their numbers: at most about SAMPLE of them
+    chosen = rows.where(F.pmod(F.xxhash64(F.lit(seed), *features), F.lit(1 << 52)) < int(min(1.0, SAMPLE / total) * (1 << 52)))
+    sample = chosen.groupBy(*features).agg(F.count(F.lit(1)).alias("_n")).orderBy(*features).toArrow().to_pandas()
+    table, weights = sample[features].to_numpy(dtype=float), sample["_n"].to_numpy(dtype=float)
+    searches = [HullSearch(float(b.params["nu"]), total, b.mapped(table), weights) for b in bounds]
+    for scan in range(1, MOST_SCANS + 1):
+        scan_margins(rows, features, bounds, searches)
+        for bound, search in zip(bounds, searches):
+            if search.done and not bound.scans:
+                bound.scans = scan
+        if all(s.done for s in searches):
+            break
+    for bound, search in zip(bounds, searches):
+        bound.normal, bound.gap = search.point, search.gap
+        if not search.done:
+            warnings.warn(f"the boundary of {bound.params} stopped at a relative gap of {search.gap:.2e}")
     return bounds
 
 
