@@ -68,7 +68,15 @@ def stored(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     scopes = _SCOPES[:-1] if outer else _SCOPES
     if scopes:
         scopes[-1].append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    read = df.sparkSession.read.schema(df.schema).parquet(path)
+    read.scratch = path
+    return read
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove tables that ``stored`` wrote; their results must be stored by now."""
+    for df in frames:
+        remove_path(df.sparkSession, df.scratch)
 
 
 def words_of(text) -> F.Column:

@@ -14,10 +14,15 @@ trees are built in blocks that lose no link:
   the same shingles in both: documents with the same content of a group form a block. The number of groups leaves room
   for groups that are empty, for every size that uses the band; a document that still has no more full groups than a
   partner may differ in also joins a block of such documents.
-- Blocks with the same members are one. A large block is cut into parts, and every member is searched in each part.
-- In a block the members are packed into an R-tree by their counts (sort-tile, largest spread first). A first round
-  asks for the smallest member that the bound admits, verifies it exactly and forms classes; a second one asks for all
-  members of other classes. Cliques of near copies thus cost one link per member, and no link is lost.
+- Blocks with the same members are one.
+- In a block the members are packed into an R-tree by their counts (sort-tile, largest spread first). Gathering rounds
+  come first: each document goes to its largest block only and asks for the smallest member that the bound admits; links
+  are verified exactly and form classes; then one member of each class in a block asks in the same way, until that brings
+  no new link. A block is cut into parts of bounded size there, and parts grow together through their classes. So a clique
+  of near copies costs about one candidate per member.
+- What gathering has not joined is decided by a last round in the blocks that still hold several classes: every member
+  outside the largest class of its block asks in all parts for all members of other classes; their shingle codes tell
+  at once whether the pair is similar, and one link to each class is enough. No link between classes is lost.
 
 Copies of one text that a task meets are represented by the first of them, so a large group of copies is thinned out
 before the shuffle. Shingles are compared by 64-bit codes. Rows are told apart by doc_id (repeated ids are united by
@@ -31,10 +36,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from palisade.llm.common import WORD, WordCodes, mix, query, stored, table
+from palisade.llm.common import WORD, WordCodes, discard, free_name, mix, query, stored, table
 from palisade.llm.components import components
 
 WIDTH, PERCENT, LEAF, PART_ROWS = 4, 85, 32, 2_000
+MOST_TURNS = 8  # gathering rounds; what they leave is for the last round
 FEWEST, MOST, PER_GROUP = 64, 8192, 4  # groups of a point, and shingles per group between the two
 _CODES = WordCodes()
 
@@ -135,7 +141,7 @@ def block_keys(row: np.ndarray, code: np.ndarray, n: np.ndarray, bands: Bands, b
 
 
 def keyed(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """key, doc, n, rep: one row of kind rep for each document (rep: first copy that the task met), others for blocks."""
+    """key, doc, n, rep: one row with n and rep (first copy that the task met) for each document, (key, doc) for blocks."""
 
     def run(batches):
         bands, seen = Bands(percent), {}
@@ -156,29 +162,30 @@ def keyed(docs: DataFrame, width: int, percent: int) -> DataFrame:
             above = np.where(fresh & (100 * n >= percent * bands.low[own + 1]), own + 1, -1)
             rows, keys = zip(*(block_keys(row, code, n, bands, b) for b in (own, above)))
             rows, keys = np.concatenate(rows), np.concatenate(keys)
+            listed = np.arange(len(ids) + len(rows)) < len(ids)
             yield pa.record_batch([
-                pa.array(np.concatenate([mix(ids.astype(np.uint64)), keys]).view(np.int64)), pa.array(np.concatenate([ids, ids[rows]])),
-                pa.array(np.concatenate([n, n[rows]])),
-                pa.array(np.concatenate([rep, np.zeros(len(rows), np.int64)]), mask=np.arange(len(ids) + len(rows)) >= len(ids))],
-                names=["key", "doc", "n", "rep"])
+                pa.array(np.concatenate([np.zeros(len(ids), np.uint64), keys]).view(np.int64), mask=listed),
+                pa.array(np.concatenate([ids, ids[rows]])),
+                pa.array(np.concatenate([n, np.zeros(len(rows), np.int64)]), mask=~listed),
+                pa.array(np.concatenate([rep, np.zeros(len(rows), np.int64)]), mask=~listed)], names=["key", "doc", "n", "rep"])
 
     return docs.mapInArrow(run, "key long, doc long, n long, rep long")
 
 
 def blocks(rows: DataFrame) -> DataFrame:
-    """The document rows, and the rows of blocks with two members or more, under a name of the member set.
+    """The document rows, and (key, doc) of blocks with two members or more, the key being a name of the member set.
 
     ``rows`` are read twice. Names are aggregates of hashes of the members, added up before they are shuffled, and are
     joined back to the rows: no task needs a whole block, and a join can split a key that many documents share.
     """
-    keys = rows.where("rep IS NULL")
+    keys = rows.where("rep IS NULL").select("key", "doc")
     code = F.xxhash64("doc")
     names = keys.groupBy("key").agg(
         F.min("doc").alias("low"), F.max("doc").alias("high"), F.bit_xor(code).alias("x"),
         F.sum(F.shiftright(code, 32)).alias("s")).where("low < high")
     names = names.select(F.col("key").alias("_key"), F.xxhash64("low", "high", "x", "s").alias("name"))
-    named = keys.join(names, keys["key"] == names["_key"]).select(F.col("name").alias("key"), "doc", "n", "rep")
-    return rows.where("rep IS NOT NULL").unionByName(named)
+    named = keys.join(names, keys["key"] == names["_key"]).select(F.col("name").alias("key"), "doc").distinct()
+    return rows.where("rep IS NOT NULL").unionByName(named, allowMissingColumns=True)
 
 
 class RTree:
@@ -229,18 +236,35 @@ class RTree:
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
+def shingle_codes(texts: DataFrame, width: int) -> DataFrame:
+    """doc, codes: sorted 32-bit codes of the distinct shingles; equal shingles have equal codes."""
+
+    def run(batches):
+        for batch in batches:
+            row, code = shingle_sets(batch.column(1).to_pylist(), width)
+            ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            codes = [np.unique((code[a:b] >> np.uint64(32)).astype("<u4")).tobytes() for a, b in zip(ends, ends[1:])]
+            yield pa.record_batch([batch.column(0), pa.array(codes, pa.binary())], names=["doc", "codes"])
+
+    return texts.mapInArrow(run, "doc long, codes binary")
+
+
 def candidate_pairs(members: DataFrame, points: DataFrame, percent: int, smallest: bool) -> DataFrame:
-    """Distinct (a, b), a < b, that the trees of the blocks admit.
+    """Distinct (a, b), a < b, of different classes that the trees of the blocks admit.
 
-    ``members``: key, doc, n, class. ``smallest``: each member with the smallest member it may link to; otherwise with
-    all members of other classes.
+    ``members``: key, doc, class, c (members of the block) and asks. With ``smallest`` each asks in its own part for the
+    smallest member that it may link to; otherwise each that asks does so in all parts, for all members, and of each
+    class the first one is given whose ``codes`` (a column of ``points`` then) are similar enough.
     """
-    # large blocks are cut into parts: a member is stored in one part and searched in all
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-    sizes = stored(sizes.withColumn("parts", F.ceil(F.col("c") / PART_ROWS).cast("int")), "sizes")
-    dealt = members.join(sizes, "key").withColumn("home", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
-    dealt = dealt.select("key", "doc", "n", "class", "home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    rows = dealt.join(points, "doc").select("key", "part", "doc", "n", "class", (F.col("home") == F.col("part")).alias("kept"), "point")
+    dealt = members.withColumn("parts", F.ceil(F.col("c") / PART_ROWS).cast("int"))
+    dealt = dealt.withColumn("home", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    if smallest:
+        dealt = dealt.select("key", "doc", "class", "asks", F.col("home").alias("part"), F.lit(True).alias("kept"))
+    else:
+        at = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("home"))
+        dealt = dealt.select("key", "doc", "class", "asks", "home", F.explode(at).alias("part"))
+        dealt = dealt.withColumn("kept", F.col("home") == F.col("part")).drop("home")
+    rows = dealt.join(points, "doc").select("key", "part", "doc", "n", "class", "asks", "kept", "point", *([] if smallest else ["codes"]))
     spark = members.sparkSession
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "part").sortWithinPartitions("key", "part", "doc")
 
@@ -256,25 +280,41 @@ def candidate_pairs(members: DataFrame, points: DataFrame, percent: int, smalles
         if held is not None and held.num_rows:
             yield from block(held)
 
+    codes: dict = {}
+
+    def set_of(column, k):
+        if k not in codes:
+            codes[k] = np.frombuffer(column[int(k)].as_py(), "<u4")
+        return codes[k]
+
+    def similar(column, k, hits, cls, n):
+        """The first member of each class whose codes overlap enough (codes that two shingles share count for both)."""
+        mine, found = set_of(column, k), {}
+        for h in hits:
+            if cls[h] not in found:
+                other = set_of(column, h)
+                same = len(np.intersect1d(mine, other, assume_unique=True)) + max(int(n[k]) - len(mine), 0)
+                if (100 + percent) * same >= percent * int(n[k] + n[h]):
+                    found[cls[h]] = h
+        return np.array(list(found.values()), np.int64)
+
     def block(part):
         doc, n, cls = (part[c].to_numpy() for c in ("doc", "n", "class"))
-        kept = part["kept"].to_numpy().astype(bool)
-        if not kept.any() or (cls == cls[0]).all():
+        kept, asks = (part[c].to_numpy().astype(bool) for c in ("kept", "asks"))
+        if not kept.any() or not asks.any() or (cls == cls[0]).all():
             return
         points = folded(part["point"].to_pylist())
         home = np.nonzero(kept)[0]
         tree = RTree(points[home], n[home], doc[home], percent)
         a, b = [], []
-        # members of the largest class need not ask: the others find them
-        values, counts = np.unique(cls, return_counts=True)
-        largest = values[np.argmax(counts)]
-        for k in range(len(doc)):
-            if not smallest and cls[k] == largest and len(home) == len(doc):
-                continue
+        for k in np.nonzero(asks)[0]:
             hits = home[tree.search(points[k], int(n[k]), smallest)]
             hits = hits[cls[hits] != cls[k]]
+            if not smallest and len(hits):
+                hits = similar(part["codes"], k, hits, cls, n)
             a += [int(doc[k])] * len(hits)
             b += doc[hits].tolist()
+        codes.clear()
         if a:
             x, y = np.array(a), np.array(b)
             yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
@@ -295,12 +335,13 @@ def folded(points: list[bytes]) -> np.ndarray:
 
 
 def count_points(texts: DataFrame, width: int) -> DataFrame:
-    """doc, point: counts of the shingles of each group, as 16-bit numbers; larger sets have more groups."""
+    """doc, n, point: counts of the shingles of each group, as 16-bit numbers; larger sets have more groups."""
 
     def run(batches):
         for batch in batches:
             row, code = shingle_sets(batch.column(1).to_pylist(), width)
-            groups = groups_for(np.bincount(row, minlength=batch.num_rows))
+            n = np.bincount(row, minlength=batch.num_rows)
+            groups = groups_for(n)
             ends = np.concatenate([[0], np.cumsum(groups)])
             slot = ends[row] + (mix(code ^ np.uint64(0x3C3C3C3C)) % groups[row].astype(np.uint64)).astype(np.int64)
             counts = np.bincount(slot, minlength=int(ends[-1]))
@@ -308,13 +349,19 @@ def count_points(texts: DataFrame, width: int) -> DataFrame:
                 raise ValueError("a text has more shingles than a point can count")
             packed = counts.astype("<u2")
             points = [packed[ends[k]:ends[k + 1]].tobytes() for k in range(batch.num_rows)]
-            yield pa.record_batch([batch.column(0), pa.array(points, pa.binary())], names=["doc", "point"])
+            yield pa.record_batch([batch.column(0), pa.array(n), pa.array(points, pa.binary())], names=["doc", "n", "point"])
+
+    return texts.mapInArrow(run, "doc long, n long, point binary")
 
-    return texts.mapInArrow(run, "doc long, point binary")
 
+def texts_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc, t) of some documents, repeated rows once."""
+    return rows.join(docs, "doc", "left_semi").dropDuplicates(["doc", "t"])
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+
+def verified(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose sets are similar enough."""
+    texts = texts_of(rows, pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
     left = texts.select(F.col("doc").alias("a"), F.col("t").alias("ta"))
     right = texts.select(F.col("doc").alias("b"), F.col("t").alias("tb"))
     # joined by a last, so that the pairs of one a lie together and its set is made once in a batch
@@ -338,28 +385,63 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return both.mapInArrow(run, "a long, b long")
 
 
+def with_classes(members: DataFrame, known: DataFrame) -> DataFrame:
+    """key, doc, class of the blocks that hold several classes."""
+    named = members.join(known, members.doc == known.node, "left").select("key", "doc", F.coalesce("component", "doc").alias("class"))
+    several = named.groupBy("key").agg(F.min("class").alias("l"), F.max("class").alias("h")).where("l <> h").select("key")
+    return named.join(several, "key", "left_semi")
+
+
+def gathered(members: DataFrame, points: DataFrame, rows: DataFrame, copies: DataFrame, width: int, percent: int) -> DataFrame:
+    """node, component: classes from copies and from links between the smallest members that the trees admit."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    largest = members.join(sizes, "key").groupBy("doc").agg(F.max(F.struct("c", "key")).alias("m"))
+    asked = largest.select("m.key", "doc", F.col("doc").alias("class"), F.col("m.c").alias("c"), F.lit(True).alias("asks"))
+    links, known = copies, None
+    for turn in range(MOST_TURNS):
+        pairs = stored(candidate_pairs(asked, points, percent, True), f"pairs{turn}")
+        fresh = stored(verified(pairs, rows, width, percent), f"links{turn}")
+        discard(pairs)
+        merged = stored(components(links.unionByName(fresh)), f"known{turn}")
+        empty = fresh.isEmpty()
+        discard(fresh)
+        if known is not None:
+            discard(known)
+        known, links = merged, merged.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        if empty:
+            break
+        # one member of each class in a block
+        few = with_classes(members, known).groupBy("key", "class").agg(F.min("doc").alias("doc"))
+        few = stored(few, f"few{turn}")
+        counts = few.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+        asked = few.join(counts, "key").select("key", "doc", "class", "c", F.lit(True).alias("asks"))
+    return known
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row with an id."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     rows = rows.where("doc IS NOT NULL")
-    found = stored(blocks(stored(keyed(rows, width, percent), "keyed")), "blocks")
-    listed = found.where("rep IS NOT NULL").select("doc", "n", "rep")
-    members = stored(found.where("rep IS NULL").groupBy("key", "doc").agg(F.max("n").alias("n")), "members")
-    near = members.select("doc").distinct()
-    texts = stored(rows.join(near, "doc").dropDuplicates(["doc", "t"]), "texts")
-    points = stored(count_points(texts, width), "points")
+    found = stored(keyed(rows, width, percent), "keyed")
+    made = blocks(found)
+    listed = stored(made.where("rep IS NOT NULL").select("doc", "n", "rep"), "listed")
+    members = stored(made.where("rep IS NULL").select("key", "doc"), "members")
+    discard(found)
+    points = stored(count_points(texts_of(rows, members.select("doc").distinct()), width), "points")
 
     copies = listed.select(F.col("rep").alias("a"), F.col("doc").alias("b"))
-    first = stored(candidate_pairs(members.withColumn("class", F.col("doc")), points, percent, True), "pairs")
-    links = stored(verified(first, texts, width, percent), "links")
-    known = stored(components(links.unionByName(copies)), "known")
-    named = members.join(known, members.doc == known.node, "left").select(
-        "key", "doc", "n", F.coalesce("component", "doc").alias("class"))
-    named = stored(named, "named")
-    open_keys = stored(named.groupBy("key").agg(F.min("class").alias("l"), F.max("class").alias("h")).where("l <> h").select("key"), "open")
-    rest = candidate_pairs(named.join(open_keys, "key"), points, percent, False)
-    rest = stored(rest.join(first, ["a", "b"], "left_anti"), "rest")
-    more = verified(rest, texts, width, percent)
+    known = gathered(members, points, rows, copies, width, percent)
+    # what is left: blocks with several classes, in which all but the largest class ask for everything
+    left = stored(with_classes(members, known), "left")
+    discard(members)
+    per_class = left.groupBy("key", "class").agg(F.count(F.lit(1)).alias("m"))
+    most = per_class.groupBy("key").agg(F.sum("m").alias("c"), F.max(F.struct("m", "class")).alias("top"))
+    asked = left.join(most, "key").select("key", "doc", "class", "c", (F.col("class") != F.col("top.class")).alias("asks"))
+    codes = stored(shingle_codes(texts_of(rows, left.select("doc").distinct()), width), "codes")
+    rest = stored(candidate_pairs(asked, points.join(codes, "doc"), percent, False), "rest")
+    discard(codes)
+    discard(points, left)
+    more = verified(rest, rows, width, percent)
     # classes found so far are stars on their smallest member
     star = known.select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = stored(components(star.unionByName(more)), "final")
@@ -370,8 +452,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each class: the row whose id is the class. Rows without an id stay."""
     found = classes(docs, doc_id, text, width, percent)
-    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col(f"`{doc_id}`") == F.col("_gone"), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(gone, F.col(f"`{doc_id}`") == F.col(f"`{name}`"), "left_anti")
 
 
 ORACLE = f"""
