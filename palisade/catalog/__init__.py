@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["logs", "tables", "datasets", "evaluation", "dashboards", "detection", "streams"]
+_MODULES = ["logs", "tables", "datasets", "evaluation", "dashboards", "detection", "models", "streams"]
 
 
 def load():

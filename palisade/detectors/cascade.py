@@ -86,18 +86,24 @@ class Cascade:
     def tau_high(self) -> float:
         return self.threshold
 
-    def stage_scores(self, df: DataFrame) -> DataFrame:
-        """Add ``_stages``: both stages in one pass over Arrow batches; stage 2 runs on the gated rows only."""
+    def stage_scores(self, df: DataFrame, everything: bool = False) -> DataFrame:
+        """Add ``_stages``: both stages in one pass over Arrow batches; stage 2 runs on the gated rows only.
+
+        With ``everything`` it runs on all rows, whose margins are added; scores and ranks stay the same.
+        """
         shared = df.sparkSession.sparkContext.broadcast(self)  # bounded by the node count of the forest
 
-        @F.pandas_udf(DETAILS)
+        @F.pandas_udf(DETAILS + (", margin double" if everything else ""))
         def stages(*columns: pd.Series) -> pd.DataFrame:
             model = shared.value
             rows = np.column_stack([c.to_numpy(dtype=float) for c in columns])
             first = model.forest.anomaly(rows) + model.forest.offset
             gated = first >= model.gate_threshold
-            second = np.full(len(rows), np.nan)
-            if gated.any():
+            second, margin = np.full(len(rows), np.nan), None
+            if everything:
+                margin = model.boundary.margin(rows)
+                second[gated] = model.boundary.offset - margin[gated]
+            elif gated.any():
                 second[gated] = model.boundary.offset - model.boundary.margin(rows[gated])
             q1, q2 = model.forest_quantiles, model.boundary_quantiles
             low2 = q2[0] if q2 else 0.0
@@ -106,20 +112,23 @@ class Cascade:
                 "stage2_score": pd.Series(second).where(gated, None),
                 "norm1": empirical_rank(first, q1, q1[0], q1[-1]),
                 "norm2": empirical_rank(np.where(gated, second, low2), q2, low2, q2[-1] if q2 else 1.0),
+                **({"margin": margin} if everything else {}),
             })
 
         return df.withColumn("_stages", stages(*[F.col(f).cast("double") for f in self.features]))
 
     def predict_detailed(self, df: DataFrame) -> DataFrame:
         """All input columns plus stage scores, fused score, margin, status and label."""
-        scored = self.stage_scores(df)
+        return self.detailed(self.stage_scores(df)).drop("_stages")
+
+    def detailed(self, scored: DataFrame) -> DataFrame:
         first, second = F.col("_stages.stage1_score"), F.col("_stages.stage2_score")
         fused = fused_score(first >= self.gate_threshold, F.col("_stages.norm1"), F.col("_stages.norm2"), self.w_stage1)
         out = scored.withColumns({
             "stage1_score": first,
             "stage2_score": F.when(F.isnan(second), None).otherwise(second),
             "anomaly_score": fused,
-        }).drop("_stages")
+        })
         label = decision_label(F.col("anomaly_score"), self.tau_low, self.tau_high)
         return out.withColumns({
             "confidence_margin": F.abs(F.col("anomaly_score") - self.threshold),
@@ -202,6 +211,16 @@ def fit_cascade(train: DataFrame, features=None, label: str | None = None, valid
     rows = checkpointed(rows.select(*[F.col(f).cast("double").alias(f) for f in features]))  # read many times
     forest = grow_forests(rows, features, [iforest or {}])[0]
     boundary = fit_boundaries(rows, features, [ocsvm or {}], max_rows)[0]
+    return calibrated(forest, boundary, rows, label, validation, gate_rate, w_stage1, criterion, max_fpr, uncertainty_margin,
+                      model_version, convention)
+
+
+def calibrated(forest: Forest, boundary: Boundary, rows: DataFrame, label: str | None = None, validation: DataFrame | None = None,
+               gate_rate: float = GATE_RATE, w_stage1: float = W_STAGE1, criterion: str = "fpr_budget", max_fpr: float = 0.02,
+               uncertainty_margin: float = UNCERTAINTY_MARGIN, model_version: str = S.DEFAULT_MODEL_VERSION,
+               convention: str = "text") -> Cascade:
+    """A cascade of two grown stages: offsets, gate and ranks from the training rows, the threshold from labels or rows."""
+    features = forest.features
     scored = checkpointed(raw_scores(rows, [forest], [boundary], features).select("f0", "b0"))
     level = gate_level(gate_rate)
     extra = [1.0 - forest.params["contamination"], 1.0 - boundary.params["nu"], level, max(0.01, level - 0.2)]

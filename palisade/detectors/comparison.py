@@ -4,8 +4,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from palisade import schema as S
 from palisade.detectors.cascade import fit_cascade
-from palisade.detectors.iforest import score_iforest
-from palisade.detectors.ocsvm import score_ocsvm
 from palisade.operators import metrics as M
 from palisade.operators.cleaning import benign_rows
 from palisade.operators.ordering import quantile_table
@@ -17,14 +15,20 @@ SCORES = {"iforest_only": "iforest_anomaly", "ocsvm_only": "ocsvm_anomaly", "cas
 
 
 def all_scores(df: DataFrame, model) -> DataFrame:
-    """Scores and labels of the cascade and of both of its stages on their own, over all rows."""
-    return score_ocsvm(score_iforest(model.predict_detailed(df), model.forest), model.boundary)
+    """Scores and labels of the cascade and of both of its stages on their own; every row is scored once."""
+    scored = model.detailed(model.stage_scores(df, everything=True))
+    first, outside = F.col("stage1_score"), F.lit(model.boundary.offset) - F.col("_stages.margin")
+    return scored.withColumns({
+        "iforest_score": model.forest.offset - first, "iforest_decision": -first, "iforest_anomaly": first,
+        "iforest_label": F.when(first > 0, -1).otherwise(1),
+        "ocsvm_score": -outside, "ocsvm_anomaly": outside, "ocsvm_label": F.when(outside > 0, -1).otherwise(1),
+    }).drop("_stages")
 
 
-def detector_metrics(long: DataFrame, label: str) -> DataFrame:
+def detector_metrics(long: DataFrame, label: str, align_polarity: bool = True) -> DataFrame:
     """Classic metrics for each ``detector`` of (detector, label, score, prediction) rows."""
     rates = M.basic_metrics(long, label, "prediction", ["detector"])
-    ranked = M.ranking_metrics(long, label, "score", align_polarity=True, by=["detector"]).select(
+    ranked = M.ranking_metrics(long, label, "score", align_polarity=align_polarity, by=["detector"]).select(
         "detector", "roc_auc", "pr_auc")
     missed = F.col("fn").cast("double") / F.greatest(F.col("fn") + F.col("tp"), F.lit(1))
     joined = rates.join(ranked, "detector").withColumn("fnr", missed)
