@@ -40,7 +40,7 @@ from palisade.llm.common import WORD, WordCodes, discard, free_name, mix, query,
 from palisade.llm.components import components
 
 WIDTH, PERCENT, LEAF, PART_ROWS = 4, 85, 32, 2_000
-MOST_TURNS = 8  # gathering rounds; what they leave is for the last round
+MOST_TURNS = 3  # gathering rounds; what they leave is for the last round
 FEWEST, MOST, PER_GROUP = 64, 8192, 4  # groups of a point, and shingles per group between the two
 _CODES = WordCodes()
 
@@ -354,14 +354,8 @@ def count_points(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "doc long, n long, point binary")
 
 
-def texts_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc, t) of some documents, repeated rows once."""
-    return rows.join(docs, "doc", "left_semi").dropDuplicates(["doc", "t"])
-
-
-def verified(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose sets are similar enough."""
-    texts = texts_of(rows, pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
     left = texts.select(F.col("doc").alias("a"), F.col("t").alias("ta"))
     right = texts.select(F.col("doc").alias("b"), F.col("t").alias("tb"))
     # joined by a last, so that the pairs of one a lie together and its set is made once in a batch
@@ -392,7 +386,7 @@ def with_classes(members: DataFrame, known: DataFrame) -> DataFrame:
     return named.join(several, "key", "left_semi")
 
 
-def gathered(members: DataFrame, points: DataFrame, rows: DataFrame, copies: DataFrame, width: int, percent: int) -> DataFrame:
+def gathered(members: DataFrame, points: DataFrame, texts: DataFrame, copies: DataFrame, width: int, percent: int) -> DataFrame:
     """node, component: classes from copies and from links between the smallest members that the trees admit."""
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
     largest = members.join(sizes, "key").groupBy("doc").agg(F.max(F.struct("c", "key")).alias("m"))
@@ -400,7 +394,7 @@ def gathered(members: DataFrame, points: DataFrame, rows: DataFrame, copies: Dat
     links, known = copies, None
     for turn in range(MOST_TURNS):
         pairs = stored(candidate_pairs(asked, points, percent, True), f"pairs{turn}")
-        fresh = stored(verified(pairs, rows, width, percent), f"links{turn}")
+        fresh = stored(verified(pairs, texts, width, percent), f"links{turn}")
         discard(pairs)
         merged = stored(components(links.unionByName(fresh)), f"known{turn}")
         empty = fresh.isEmpty()
@@ -427,21 +421,24 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     listed = stored(made.where("rep IS NOT NULL").select("doc", "n", "rep"), "listed")
     members = stored(made.where("rep IS NULL").select("key", "doc"), "members")
     discard(found)
-    points = stored(count_points(texts_of(rows, members.select("doc").distinct()), width), "points")
+    near = members.select("doc").distinct()
+    texts = stored(rows.join(near, "doc", "left_semi").dropDuplicates(["doc", "t"]), "texts")
+    points = stored(count_points(texts, width), "points")
 
     copies = listed.select(F.col("rep").alias("a"), F.col("doc").alias("b"))
-    known = gathered(members, points, rows, copies, width, percent)
+    known = gathered(members, points, texts, copies, width, percent)
     # what is left: blocks with several classes, in which all but the largest class ask for everything
     left = stored(with_classes(members, known), "left")
     discard(members)
     per_class = left.groupBy("key", "class").agg(F.count(F.lit(1)).alias("m"))
     most = per_class.groupBy("key").agg(F.sum("m").alias("c"), F.max(F.struct("m", "class")).alias("top"))
     asked = left.join(most, "key").select("key", "doc", "class", "c", (F.col("class") != F.col("top.class")).alias("asks"))
-    codes = stored(shingle_codes(texts_of(rows, left.select("doc").distinct()), width), "codes")
+    codes = stored(shingle_codes(texts.join(left.select("doc").distinct(), "doc", "left_semi"), width), "codes")
     rest = stored(candidate_pairs(asked, points.join(codes, "doc"), percent, False), "rest")
     discard(codes)
     discard(points, left)
-    more = verified(rest, rows, width, percent)
+    more = stored(verified(rest, texts, width, percent), "more")
+    discard(texts, rest)
     # classes found so far are stars on their smallest member
     star = known.select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = stored(components(star.unionByName(more)), "final")

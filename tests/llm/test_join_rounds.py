@@ -59,7 +59,7 @@ def test_chains_of_classes(llm, monkeypatch):
         w = list(w)
         w[(7 * k) % 90] = f"new{k}"
     want = brute_classes(rows, 4, 85)
-    for turns in (1,):
+    for turns in (2,):
         monkeypatch.setattr(jaccard, "MOST_TURNS", turns)
         done = jaccard.classes(frame(llm, rows)).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in done} == want
