@@ -221,30 +221,71 @@ def report_tables(spark, sf_dir):
     return spark.read.option("header", True).csv(f"{folder}/table_topk").select("detector")
 
 
-@query("A16_paired_t_test", with_inputs(f"""SELECT 'score vs other_score' AS pair, count(*) AS n,
-  {r('avg(d) / (stddev_samp(d) / sqrt(count(*)))', 't_statistic')} FROM (SELECT score - other_score AS d FROM scored)""", "scored"))
+def tail_sql(z, density):
+    """1 - 2 * integral of a symmetric density from 0 to |z|, by Simpson's rule; beyond 40 nothing is left."""
+    steps = 4000
+    weight = f"CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    area = f"list_sum(list_transform(range({steps + 1}), lambda i: {weight} * {density(f'(i * least(abs({z}), 40) / {steps}.0)')})) * least(abs({z}), 40) / {steps}.0 / 3"
+    return f"greatest(1 - 2 * ({area}), 0)"
+
+
+def normal_density(x):
+    return f"exp(-{x} * {x} / 2) / sqrt(2 * pi())"
+
+
+def t_density(freedom):
+    return lambda x: f"exp(lgamma(({freedom} + 1) / 2.0) - lgamma({freedom} / 2.0) - ({freedom} + 1) / 2.0 * ln(1 + {x} * {x} / {freedom})) / sqrt({freedom} * pi())"
+
+
+@query("A16_paired_t_test", with_inputs(f"""SELECT pair, n, {r('t', 't_statistic')}, {r(tail_sql('t', t_density('f')), 'p_value')}, {tail_sql('t', t_density('f'))} < 0.05 AS significant
+  FROM (SELECT 'score vs other_score' AS pair, count(*) AS n, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t, CAST(count(*) - 1 AS DOUBLE) AS f
+  FROM (SELECT score - other_score AS d FROM scored))""", "scored"))
 def paired_t_test(spark, sf_dir):
-    return G.paired_t_tests(I.scored(spark, sf_dir), [("score", "other_score")]).select("pair", "n", "t_statistic")
+    return G.paired_t_tests(I.scored(spark, sf_dir), [("score", "other_score")]).select("pair", "n", "t_statistic", "p_value", "significant")
 
 
 def _signed(a, b):
-    return f"""SELECT '{a} vs {b}' AS pair, count(*) AS n, least(coalesce(sum(rk) FILTER (d > 0), 0), coalesce(sum(rk) FILTER (d < 0), 0)) AS statistic FROM (
-  SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS rk FROM (SELECT {a} - {b} AS d FROM three) WHERE d <> 0)"""
+    ranks = f"""(SELECT d, abs(d) AS size, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS rk
+      FROM (SELECT {a} - {b} AS d FROM three) WHERE d <> 0)"""
+    z = "((w - n * (n + 1) / 4.0) / sqrt((n * (n + 1.0) * (2.0 * n + 1) - 0.5 * ties) / 24.0))"
+    return f"""SELECT pair, n, w AS statistic, {tail_sql(z, normal_density)} AS p FROM (
+      SELECT '{a} vs {b}' AS pair, count(*) AS n, least(coalesce(sum(rk) FILTER (d > 0), 0), coalesce(sum(rk) FILTER (d < 0), 0)) AS w FROM {ranks}),
+      (SELECT sum(c * c * c - c) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS c FROM {ranks} GROUP BY size))"""
 
 
 _THREE = "WITH three AS (SELECT score, other_score, CAST(row_id % 100 AS DOUBLE) / 100 AS third FROM scored) "
+_TESTED = f"SELECT pair, n, {r('statistic', 'statistic', 1)}, {r('p', 'p_value')}, p < 0.05 AS significant FROM"
 
 
-@query("A17_signed_rank", with_inputs(f"{_THREE} SELECT pair, n, {r('statistic', 'statistic', 1)} FROM ({_signed('score', 'other_score')})", "scored"), digits=1)
+@query("A17_signed_rank", with_inputs(f"{_THREE} {_TESTED} ({_signed('score', 'other_score')})", "scored"))
 def signed_rank(spark, sf_dir):
-    return G.wilcoxon_tests(I.scored(spark, sf_dir), [("score", "other_score")]).select("pair", "n", "statistic")
-
-
-@query("A18_compare_detectors", with_inputs(f"""{_THREE} SELECT pair, n, {r('statistic', 'statistic', 1)} FROM ({_signed('score', 'other_score')}
-  UNION ALL {_signed('score', 'third')} UNION ALL {_signed('other_score', 'third')})""", "scored"), digits=1)
+    made = G.wilcoxon_tests(I.scored(spark, sf_dir), [("score", "other_score")], method="normal")
+    return made.withColumn("statistic", F.round("statistic", 1))
+
+
+@query("A17_exact_signed_rank", with_inputs(f"""WITH RECURSIVE cells AS (
+  SELECT row_number() OVER (ORDER BY y, attack_category) AS place, d FROM (
+    SELECT year(timestamp) AS y, attack_category, round(avg(score) - avg(other_score), 2) AS d FROM scored GROUP BY ALL)),
+ranked AS (SELECT place, d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS rk FROM cells WHERE d <> 0),
+listed AS (SELECT CAST(round(2 * rk) AS BIGINT) AS step, row_number() OVER (ORDER BY rk, place) AS k FROM ranked),
+ways(k, total, n) AS (
+  SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(1 AS DOUBLE)
+  UNION ALL SELECT k, total, sum(n) FROM (
+    SELECT w.k + 1 AS k, w.total + CASE WHEN up THEN l.step ELSE 0 END AS total, w.n / 2 AS n FROM ways w JOIN listed l ON l.k = w.k + 1, (VALUES (true), (false)) s(up)) GROUP BY k, total),
+sums AS (SELECT count(*) AS n, least(coalesce(sum(rk) FILTER (d > 0), 0), coalesce(sum(rk) FILTER (d < 0), 0)) AS w FROM ranked)
+SELECT 'a vs b' AS pair, s.n, {r('w', 'statistic', 1)}, {r('least(1, 2 * (SELECT sum(n) FROM ways WHERE k = s.n AND total <= round(2 * s.w)))', 'p_value')} FROM sums s""", "scored"))
+def exact_signed_rank(spark, sf_dir):
+    """Exact tail with ties: the mean difference per year and attack category, to two digits."""
+    cells = I.scored(spark, sf_dir).groupBy(F.year("timestamp"), "attack_category").agg(F.round(F.avg("score") - F.avg("other_score"), 2).alias("a"))
+    return G.wilcoxon_tests(cells.withColumn("b", F.lit(0.0)), [("a", "b")], method="exact").select("pair", "n", F.round("statistic", 1).alias("statistic"), "p_value")
+
+
+@query("A18_compare_detectors", with_inputs(f"""{_THREE} {_TESTED} ({_signed('score', 'other_score')}
+  UNION ALL {_signed('score', 'third')} UNION ALL {_signed('other_score', 'third')})""", "scored"))
 def compare_detectors(spark, sf_dir):
     three = I.scored(spark, sf_dir).withColumn("third", (F.col("row_id") % 100).cast("double") / 100)
-    return G.compare_detectors(three, ["score", "other_score", "third"]).select("pair", "n", "statistic")
+    made = G.compare_detectors(three, ["score", "other_score", "third"], lambda df, pairs: G.wilcoxon_tests(df, pairs, "normal"))
+    return made.withColumn("statistic", F.round("statistic", 1))
 
 
 @query("J12_paired_scores", with_inputs(f"SELECT row_id, {r('score', 'score_a')}, {r('other_score', 'score_b')} FROM scored", "scored"))

@@ -343,6 +343,8 @@ def with_inputs(sql: str, *names: str) -> str:
     """Prefix a statement with the input tables it reads."""
     heads = ", ".join(f"{n} AS ({SQL[n]})" for n in names)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {heads}, {body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {heads}, {body[5:]}"
     return f"WITH {heads} {body}"

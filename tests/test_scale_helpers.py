@@ -223,3 +223,47 @@ def test_quantiles_of_equal_and_few_values(spark):
     assert quantile_table(same, ["v", "w"], [0.1, 0.5, 0.9]) == {"v": [3.0] * 3, "w": [0.0, 0.5, 1.0]}
     assert quantile_table(same.limit(1), ["v"], [0.3]) == {"v": [3.0]}
     assert quantile_table(same.limit(0), ["v"], [0.3]) == {"v": [None]}
+
+
+def all_signs(differences):
+    """Two-sided exact tail of the signed-rank test by going through all sign patterns."""
+    import itertools
+
+    d = np.array([x for x in differences if x != 0])
+    size = np.abs(d)
+    ranks = np.array([(size < s).sum() + ((size == s).sum() + 1) / 2 for s in size])
+    sums = np.array([ranks[list(np.flatnonzero(signs))].sum() for signs in itertools.product([0, 1], repeat=len(d))])
+    w = min(ranks[d > 0].sum(), ranks[d < 0].sum())
+    return w, min(1.0, 2 * (sums <= w + 1e-9).mean())
+
+
+@pytest.mark.parametrize("values", [[1.0, -2.0, 3.0, 4.0, -5.5], [1.0, 1.0, -1.0, 2.0, 2.0, -2.0, 0.0, 3.0, 0.0], [0.5] * 8, [0.0, 0.0], [2.0]])
+def test_exact_signed_ranks_with_ties_and_zeros(spark, values):
+    df = spark.createDataFrame([(v, 0.0) for v in values], "a double, b double")
+    got = G.wilcoxon_tests(df, [("a", "b")], method="exact").first()
+    if any(values):
+        w, p = all_signs(values)
+        assert got["statistic"] == w and got["p_value"] == pytest.approx(p)
+    else:
+        assert got["p_value"] == 1.0
+
+
+def test_the_caller_chooses_the_tail(spark):
+    import math
+
+    rng = np.random.default_rng(3)
+    for n in (50, 51):  # both sides of the automatic choice
+        df = spark.createDataFrame([(float(v), 0.0) for v in rng.normal(0.2, 1, n)], "a double, b double")
+        rows = {m: G.wilcoxon_tests(df, [("a", "b")], method=m, few=60).first() for m in ("auto", "exact", "normal")}
+        assert rows["auto"] == rows["exact"]  # the bound is the caller's
+        assert rows["exact"]["p_value"] == pytest.approx(rows["normal"]["p_value"], abs=0.02)
+        usual = G.wilcoxon_tests(df, [("a", "b")]).first()
+        assert usual["p_value"] == pytest.approx(rows["exact" if n == 50 else "normal"]["p_value"])
+    with pytest.raises(Exception, match="at most 50"):
+        G.wilcoxon_tests(df, [("a", "b")], method="exact").collect()
+    with pytest.raises(ValueError):
+        G.wilcoxon_tests(df, [("a", "b")], method="other")
+    grid = [0.0, 1e-9, 0.3, 1.96, 4.2, 4.25, 6.0, 9.0, 30.0, 45.0]
+    frame = spark.createDataFrame([(z,) for z in grid], "z double").select("z", G.normal_tail(F.col("z")).alias("p"))
+    for z, p in frame.collect():
+        assert p == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-9, abs=1e-300)
