@@ -190,13 +190,14 @@ def entity_overlap(spark, sf_dir):
 
 
 @query("S19_checked_splits", with_inputs(f"""{_PURGED}
-SELECT split, count(*) AS rows FROM purged WHERE split <> 'train' OR lower(trim(label)) = 'benign' GROUP BY 1""", "vectors"))
+SELECT row_id, entity_id, split, label FROM purged WHERE split <> 'train' OR lower(trim(label)) = 'benign'""", "vectors"))
 def checked_splits(spark, sf_dir):
     """The split contract holds for entity-disjoint parts with a benign training part."""
     split = P.temporal_split(_spread(spark, sf_dir), entity_disjoint=True)
     kept = split.where((F.col("split") != P.TRAIN) | (F.lower(F.trim("label")) == "benign"))
     counts = P.check_splits(kept, {})
-    return spark.createDataFrame(sorted(counts.items()), "split string, rows long")
+    assert counts == {r["split"]: r["count"] for r in kept.groupBy("split").count().collect()}
+    return kept.select("row_id", "entity_id", "split", "label")
 
 
 @query("A21_split_summary", with_inputs(f"""WITH {cuts_sql('vectors', '1')}
@@ -214,15 +215,14 @@ def split_labels(spark, sf_dir):
 
 
 @query("K11_saved_splits", with_inputs(f"""WITH {cuts_sql('scored', '1')}
-SELECT split, count(*) AS rows FROM (SELECT split FROM split_ UNION ALL SELECT 'train_benign' AS split FROM split_ WHERE split = 'train' AND label = 'Normal')
-GROUP BY 1""", "scored"))
+SELECT row_id, split, label, {r('score', 'score')}, timestamp, src_ip FROM split_
+UNION ALL SELECT row_id, 'train_benign' AS split, label, {r('score', 'score')}, timestamp, src_ip FROM split_ WHERE split = 'train' AND label = 'Normal'""", "scored"))
 def saved_splits(spark, sf_dir):
     folder = scratch_path(spark, "splits")
     manifest = O.save_splits(P.temporal_split(I.scored(spark, sf_dir)), folder)
-    stored = O.load_splits(spark, folder).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
     saved = O.read_json(spark, f"{folder}/split_manifest")["saved_counts"]
     assert saved == manifest["saved_counts"]
-    return stored
+    return O.load_splits(spark, folder).select("row_id", "split", "label", "score", "timestamp", "src_ip")
 
 
 @query("W08_ratio_split", with_inputs("""
@@ -322,10 +322,10 @@ def login_dataset(spark, sf_dir):
 
 
 @query("M24_unified_dataset", with_inputs(f"""WITH {_FLOW_ROWS}, {LOGIN_LABELS},
-  merged AS (SELECT DISTINCT 'cicids2017' AS dataset_source, source_file, timestamp, {', '.join(f'round({f}, 9) AS {f}' for f in S.FEATURES)} FROM flow_rows
+  merged AS (SELECT DISTINCT 'cicids2017' AS dataset_source, source_file, timestamp, {', '.join(S.FEATURES)} FROM flow_rows
     UNION ALL SELECT DISTINCT 'loghub' AS dataset_source, source_file, timestamp, {', '.join(f if f in _LOGIN_OUT else f'0.0 AS {f}' for f in S.FEATURES)} FROM labelled)
-SELECT dataset_source, source_file, count(*) AS rows FROM merged GROUP BY 1, 2""", "flows", "logins"))
+SELECT dataset_source, source_file, timestamp, {rounded(S.FEATURES, 9)} FROM merged""", "flows", "logins"), digits=9)
 def unified_dataset(spark, sf_dir):
     merged = prepare.unified_dataset(
         _prepared_flows(spark, sf_dir), prepare.login_dataset(I.logins(spark, sf_dir), _attackers(spark, sf_dir)))
-    return merged.groupBy("dataset_source", "source_file").agg(F.count(F.lit(1)).alias("rows"))
+    return merged.select("dataset_source", "source_file", "timestamp", *S.FEATURES)

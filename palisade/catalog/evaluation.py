@@ -210,7 +210,14 @@ def baseline_table(spark, sf_dir):
     return M.comparison_tables(_two_reports(spark, sf_dir))["baselines"].select("detector", "precision", "recall")
 
 
-@query("K17_report_tables", with_inputs("SELECT 'cascade' AS detector UNION ALL SELECT 'rule_only'", "scored"))
+def _top_sql(name, score):
+    hits = lambda k: f"CAST(count(*) FILTER (k <= {k} AND label = 'Anomaly') AS DOUBLE)"
+    columns = ", ".join(f"{r(f'{hits(k)} / max(p)', f'recall_at_{k}')}, {r(f'{hits(k)} / {k}', f'precision_at_{k}')}" for k in M.TOP_K)
+    return f"""SELECT '{name}' AS detector, {columns} FROM (SELECT label, row_number() OVER (ORDER BY {score} DESC, row_id) AS k,
+      count(*) FILTER (label = 'Anomaly') OVER () AS p FROM scored WHERE label IS NOT NULL)"""
+
+
+@query("K17_report_tables", with_inputs(f"{_top_sql('cascade', 'score')} UNION ALL {_top_sql('rule_only', 'other_score')}", "scored"))
 def report_tables(spark, sf_dir):
     """Tables are written as CSV and read back."""
     from palisade.session import scratch_path
@@ -218,7 +225,8 @@ def report_tables(spark, sf_dir):
 
     folder = scratch_path(spark, "reports")
     write_report_tables(M.comparison_tables(_two_reports(spark, sf_dir)), folder)
-    return spark.read.option("header", True).csv(f"{folder}/table_topk").select("detector")
+    read = spark.read.option("header", True).option("inferSchema", True).csv(f"{folder}/table_topk")
+    return read.select("detector", *[F.col(f"{m}_at_{k}").cast("double") for k in M.TOP_K for m in ("recall", "precision")])
 
 
 def tail_sql(z, density):

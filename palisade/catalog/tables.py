@@ -12,7 +12,7 @@ from palisade.functions import alerts as A, labels as L, risk as K
 from palisade.operators import cleaning as C, dashboards as D, flows as W, joins as J
 from palisade.operators.features import extract_features
 from palisade.plans import serve as V
-from palisade.session import scratch_path
+from palisade.session import scratch_path, write_text
 from palisade.sinks import datasets as O, results as U, retention as N, upsert as M
 from palisade.sinks.merge import MergeTable
 from palisade.sources import files as R, tables as T
@@ -47,18 +47,17 @@ def read_table(spark, sf_dir):
     return T.read_table(spark, root, "anomaly_result").select("id", "window_start", "src_ip", "anomaly_score", "predicted_label")
 
 
-@query("S03_train_test", with_inputs("""
-SELECT CASE WHEN window_start < TIMESTAMP '1999-01-01' THEN 'train' ELSE 'test' END AS part, count(*) AS rows,
-  round(sum(bytes_sent_mean), 6) + 0.0 AS total_bytes FROM vectors GROUP BY 1""", "vectors"))
+@query("S03_train_test", with_inputs(f"""
+SELECT CASE WHEN window_start < TIMESTAMP '1999-01-01' THEN 'train' ELSE 'test' END AS part, id, window_start, {FEATURES_SQL} FROM vectors""", "vectors"))
 def train_test(spark, sf_dir):
+    """Both files, row by row."""
     root = scratch_path(spark, "two")
     table = I.vectors(spark, sf_dir).select("id", "window_start", *S.FEATURES)
     early = F.col("window_start") < F.lit(datetime(1999, 1, 1))
     table.where(early).write.option("header", True).csv(f"{root}/train")
     table.where(~early).write.option("header", True).csv(f"{root}/test")
     train, test = R.read_train_test(spark, f"{root}/train", f"{root}/test", table.schema)
-    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
-    return both.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes_sent_mean").alias("total_bytes"))
+    return train.select(F.lit("train").alias("part"), "*").unionByName(test.select(F.lit("test").alias("part"), "*"))
 
 
 @query("S04_features_between", with_inputs(f"""SELECT id, window_start, src_ip, {FEATURES_SQL} FROM vectors
@@ -149,6 +148,21 @@ def capture_rank(spark, sf_dir):
     return names.groupBy("name", W.capture_rank(F.col("name")).alias("rank")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("S12_discovered_files", f"""SELECT name AS file_name, CASE WHEN n % 2 = 0 THEN 0 ELSE 1 END AS priority, CASE WHEN name LIKE 'Monday%' THEN 0
+  WHEN name LIKE 'wednesday%' THEN 2 WHEN name LIKE 'Thursday%' THEN 3 WHEN name LIKE 'Friday-WorkingHours-M%' THEN 6 WHEN name LIKE 'Friday%' THEN 8 ELSE 10 END AS rank
+FROM (SELECT {_NAMES} AS name, count(*) AS n FROM lineitem GROUP BY 1)""")
+def discovered_files(spark, sf_dir):
+    """Capture files by name in two folders and one that is not there; names with an even number of rows are in the first one, too."""
+    root = scratch_path(spark, "captures")
+    names = I.table(spark, sf_dir, "lineitem").selectExpr(f"{_NAMES} AS name").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    for name, n in names.collect():  # one row per capture file
+        for folder in (["first", "second"] if n % 2 == 0 else ["second"]):
+            write_text(spark, f"rows\n{n}\n", f"{root}/{folder}/{name}")
+    write_text(spark, "x", f"{root}/second/notes.txt")
+    return R.discover_files(spark, [f"{root}/first", f"{root}/nowhere", f"{root}/second"]).select(
+        "file_name", F.least("priority", F.lit(1)).alias("priority"), "rank")
+
+
 @query("S14_log_lines", with_inputs("SELECT trim(line) AS line FROM logins", "logins"))
 def log_lines(spark, sf_dir):
     path = scratch_path(spark, "lines")

@@ -66,6 +66,16 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in store.listStatus(target)) if store.exists(target) else []
 
 
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One small file of a given name, in any store that Spark can write."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder with all it holds."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
