@@ -112,8 +112,9 @@ def judged(pages: DataFrame, policy=POLICY, url: str = "url", html: str = "html"
     # stored, so that its size is known: sent to the tasks if small, else a join whose large partitions can be split
     ranks = stored(propagated(seeds, host_edges(read, found, h, html), rounds, damping), "ranks")
     # hosts of the graph that have no page need no verdict
-    known = ranks.withColumnsRenamed({"host": "_host", "trust": name["trust"], "distrust": name["distrust"]})
-    done = read.join(known, F.col(h) == F.col("_host"), "left").drop("_host")
+    own = free_name(read, "_host")
+    known = ranks.withColumnsRenamed({"host": own, "trust": name["trust"], "distrust": name["distrust"]})
+    done = read.join(known, F.col(h) == F.col(own), "left").drop(own)
     trust, distrust = (F.coalesce(F.col(name[c]), F.lit(0.0)) for c in ("trust", "distrust"))
     by_host = F.when(distrust > F.lit(ratio) * trust, "block").otherwise("allow")
     return done.withColumns({

@@ -72,3 +72,23 @@ def test_clashing_names_of_the_representatives(llm):
     kept = jaccard.representatives(docs)
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "None"]
     assert kept.where(F.col("_gone") == "_gone").count() == 3
+
+
+def test_clashing_names_of_line_dedup(llm):
+    from palisade.llm import lines
+
+    extra = ("_lost", "_lost_d", "_lost_x", "_x", "_t", "d", "x")
+    docs = frame(llm, [(1, "same line here\nown one"), (2, "same line here\nother"), (3, None)], extra)
+    done = {r.doc_id: r for r in lines.deduplicated(docs).collect()}
+    assert (done[1].kept_text, done[2].kept_text, done[2].n_removed) == ("same line here\nown one", "other", 1)
+    assert all(r[c] == c for r in done.values() for c in extra)
+
+
+def test_clashing_names_of_the_url_filter(llm):
+    from palisade.llm import hosts
+
+    rows = [(1, "http://a.org/x", "<a>", "h", "s", "t"), (2, "http://example.org/es/1", None, "h", "s", "t"), (3, None, "", "h", "s", "t")]
+    pages = llm.createDataFrame(rows, "page_id long, url string, html string, _host string, host_ string, trust string")
+    done = {r.page_id: r for r in hosts.judged(pages).collect()}
+    assert [done[k].verdict for k in (1, 2, 3)] == ["allow", "block", "allow"]
+    assert all((r._host, r.host_, r.trust) == ("h", "s", "t") for r in done.values())
