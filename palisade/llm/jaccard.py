@@ -16,13 +16,11 @@ trees are built in blocks that lose no link:
   partner may differ in also joins a block of such documents.
 - Blocks with the same members are one.
 - In a block the members are packed into an R-tree by their counts (sort-tile, largest spread first). Gathering rounds
-  come first: each document goes to its largest block only and asks for the smallest member that the bound admits; links
-  are verified exactly and form classes; then one member of each class in a block asks in the same way, until that brings
-  no new link. A block is cut into parts of bounded size there, and parts grow together through their classes. So a clique
+  come first: each member asks for the smallest member of its block that the bound admits; links are verified exactly
+  and form classes; then one member of each class in a block asks in the same way. A block is cut into parts of bounded size there, and parts grow together through their classes. So a clique
   of near copies costs about one candidate per member.
 - What gathering has not joined is decided by a last round in the blocks that still hold several classes: every member
-  outside the largest class of its block asks in all parts for all members of other classes; their shingle codes tell
-  at once whether the pair is similar, and one link to each class is enough. No link between classes is lost.
+  outside the largest class of its block asks in all parts for all members of other classes. No link is lost.
 
 Copies of one text that a task meets are represented by the first of them, so a large group of copies is thinned out
 before the shuffle. Shingles are compared by 64-bit codes. Rows are told apart by doc_id (repeated ids are united by
@@ -41,7 +39,7 @@ from palisade.llm.components import components
 
 WIDTH, PERCENT, LEAF, PART_ROWS = 4, 85, 32, 2_000
 MOST_TURNS = 3  # gathering rounds; what they leave is for the last round
-FEWEST, MOST, PER_GROUP = 64, 8192, 4  # groups of a point, and shingles per group between the two
+FEWEST, MOST, PER_GROUP = 256, 8192, 2  # groups of a point, and shingles per group between the two
 _CODES = WordCodes()
 
 
@@ -236,25 +234,11 @@ class RTree:
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def shingle_codes(texts: DataFrame, width: int) -> DataFrame:
-    """doc, codes: sorted 32-bit codes of the distinct shingles; equal shingles have equal codes."""
-
-    def run(batches):
-        for batch in batches:
-            row, code = shingle_sets(batch.column(1).to_pylist(), width)
-            ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            codes = [np.unique((code[a:b] >> np.uint64(32)).astype("<u4")).tobytes() for a, b in zip(ends, ends[1:])]
-            yield pa.record_batch([batch.column(0), pa.array(codes, pa.binary())], names=["doc", "codes"])
-
-    return texts.mapInArrow(run, "doc long, codes binary")
-
-
 def candidate_pairs(members: DataFrame, points: DataFrame, percent: int, smallest: bool) -> DataFrame:
     """Distinct (a, b), a < b, of different classes that the trees of the blocks admit.
 
     ``members``: key, doc, class, c (members of the block) and asks. With ``smallest`` each asks in its own part for the
-    smallest member that it may link to; otherwise each that asks does so in all parts, for all members, and of each
-    class the first one is given whose ``codes`` (a column of ``points`` then) are similar enough.
+    smallest member that it may link to; otherwise each that asks does so in all parts, for all members.
     """
     dealt = members.withColumn("parts", F.ceil(F.col("c") / PART_ROWS).cast("int"))
     dealt = dealt.withColumn("home", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
@@ -264,7 +248,7 @@ def candidate_pairs(members: DataFrame, points: DataFrame, percent: int, smalles
         at = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("home"))
         dealt = dealt.select("key", "doc", "class", "asks", "home", F.explode(at).alias("part"))
         dealt = dealt.withColumn("kept", F.col("home") == F.col("part")).drop("home")
-    rows = dealt.join(points, "doc").select("key", "part", "doc", "n", "class", "asks", "kept", "point", *([] if smallest else ["codes"]))
+    rows = dealt.join(points, "doc").select("key", "part", "doc", "n", "class", "asks", "kept", "point")
     spark = members.sparkSession
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "part").sortWithinPartitions("key", "part", "doc")
 
@@ -280,24 +264,6 @@ def candidate_pairs(members: DataFrame, points: DataFrame, percent: int, smalles
         if held is not None and held.num_rows:
             yield from block(held)
 
-    codes: dict = {}
-
-    def set_of(column, k):
-        if k not in codes:
-            codes[k] = np.frombuffer(column[int(k)].as_py(), "<u4")
-        return codes[k]
-
-    def similar(column, k, hits, cls, n):
-        """The first member of each class whose codes overlap enough (codes that two shingles share count for both)."""
-        mine, found = set_of(column, k), {}
-        for h in hits:
-            if cls[h] not in found:
-                other = set_of(column, h)
-                same = len(np.intersect1d(mine, other, assume_unique=True)) + max(int(n[k]) - len(mine), 0)
-                if (100 + percent) * same >= percent * int(n[k] + n[h]):
-                    found[cls[h]] = h
-        return np.array(list(found.values()), np.int64)
-
     def block(part):
         doc, n, cls = (part[c].to_numpy() for c in ("doc", "n", "class"))
         kept, asks = (part[c].to_numpy().astype(bool) for c in ("kept", "asks"))
@@ -310,11 +276,8 @@ def candidate_pairs(members: DataFrame, points: DataFrame, percent: int, smalles
         for k in np.nonzero(asks)[0]:
             hits = home[tree.search(points[k], int(n[k]), smallest)]
             hits = hits[cls[hits] != cls[k]]
-            if not smallest and len(hits):
-                hits = similar(part["codes"], k, hits, cls, n)
             a += [int(doc[k])] * len(hits)
             b += doc[hits].tolist()
-        codes.clear()
         if a:
             x, y = np.array(a), np.array(b)
             yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
@@ -389,8 +352,7 @@ def with_classes(members: DataFrame, known: DataFrame) -> DataFrame:
 def gathered(members: DataFrame, points: DataFrame, texts: DataFrame, copies: DataFrame, width: int, percent: int) -> DataFrame:
     """node, component: classes from copies and from links between the smallest members that the trees admit."""
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-    largest = members.join(sizes, "key").groupBy("doc").agg(F.max(F.struct("c", "key")).alias("m"))
-    asked = largest.select("m.key", "doc", F.col("doc").alias("class"), F.col("m.c").alias("c"), F.lit(True).alias("asks"))
+    asked = members.join(sizes, "key").select("key", "doc", F.col("doc").alias("class"), "c", F.lit(True).alias("asks"))
     links, known = copies, None
     for turn in range(MOST_TURNS):
         pairs = stored(candidate_pairs(asked, points, percent, True), f"pairs{turn}")
@@ -433,9 +395,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     per_class = left.groupBy("key", "class").agg(F.count(F.lit(1)).alias("m"))
     most = per_class.groupBy("key").agg(F.sum("m").alias("c"), F.max(F.struct("m", "class")).alias("top"))
     asked = left.join(most, "key").select("key", "doc", "class", "c", (F.col("class") != F.col("top.class")).alias("asks"))
-    codes = stored(shingle_codes(texts.join(left.select("doc").distinct(), "doc", "left_semi"), width), "codes")
-    rest = stored(candidate_pairs(asked, points.join(codes, "doc"), percent, False), "rest")
-    discard(codes)
+    rest = stored(candidate_pairs(asked, points, percent, False), "rest")
     discard(points, left)
     more = stored(verified(rest, texts, width, percent), "more")
     discard(texts, rest)
