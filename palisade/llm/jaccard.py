@@ -38,8 +38,8 @@ from palisade.llm.common import WORD, WordCodes, discard, free_name, mix, query,
 from palisade.llm.components import components
 
 WIDTH, PERCENT, LEAF, PART_ROWS = 4, 85, 32, 2_000
-MOST_TURNS = 3  # gathering rounds; what they leave is for the last round
-FEWEST, MOST, PER_GROUP = 256, 8192, 2  # groups of a point, and shingles per group between the two
+MOST_TURNS = 2  # gathering rounds; what they leave is for the last round
+FEWEST, MOST, PER_GROUP = 64, 8192, 4  # groups of a point, and shingles per group between the two
 _CODES = WordCodes()
 
 
@@ -319,8 +319,10 @@ def count_points(texts: DataFrame, width: int) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose sets are similar enough."""
-    left = texts.select(F.col("doc").alias("a"), F.col("t").alias("ta"))
-    right = texts.select(F.col("doc").alias("b"), F.col("t").alias("tb"))
+    # only texts that some pair needs are moved
+    asked = lambda side: pairs.select(F.col(side).alias("doc")).distinct()
+    left = texts.join(asked("a"), "doc", "left_semi").select(F.col("doc").alias("a"), F.col("t").alias("ta"))
+    right = texts.join(asked("b"), "doc", "left_semi").select(F.col("doc").alias("b"), F.col("t").alias("tb"))
     # joined by a last, so that the pairs of one a lie together and its set is made once in a batch
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
 
