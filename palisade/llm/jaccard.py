@@ -29,6 +29,7 @@ and get no class. Empty tables give empty results. Extra columns stay; clashing
 """
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -293,12 +294,13 @@ def groups_for(n: np.ndarray) -> np.ndarray:
 
 def folded(points: list[bytes]) -> np.ndarray:
     """The points of a block with as many groups as the coarsest has."""
+    points = [zlib.decompress(p) for p in points]
     size = min(map(len, points)) // 2
     return np.stack([np.frombuffer(p, "<u2").reshape(-1, size).sum(axis=0, dtype=np.int32) for p in points])
 
 
 def count_points(texts: DataFrame, width: int) -> DataFrame:
-    """doc, n, point: counts of the shingles of each group, as 16-bit numbers; larger sets have more groups."""
+    """doc, n, point: counts of the shingles of each group, as packed 16-bit numbers; larger sets have more groups."""
 
     def run(batches):
         for batch in batches:
@@ -311,7 +313,7 @@ def count_points(texts: DataFrame, width: int) -> DataFrame:
             if counts.max(initial=0) > 65535:
                 raise ValueError("a text has more shingles than a point can count")
             packed = counts.astype("<u2")
-            points = [packed[ends[k]:ends[k + 1]].tobytes() for k in range(batch.num_rows)]
+            points = [zlib.compress(packed[ends[k]:ends[k + 1]].tobytes()) for k in range(batch.num_rows)]
             yield pa.record_batch([batch.column(0), pa.array(n), pa.array(points, pa.binary())], names=["doc", "n", "point"])
 
     return texts.mapInArrow(run, "doc long, n long, point binary")
