@@ -31,7 +31,9 @@ SAMPLE, MOST_PROBES = 4096, 24  # rows of the sample that steers the search, nor
 MOST_SCANS = 100  # a search that needs more ends with a warning and the gap it has reached
 BINS, FINE = 32, 1024  # margin bins whose rows are summed, bins of the whole range that are only counted
 FIXED = float(1 << 24)  # sums of mapped rows are whole numbers of this fraction, so that their order does not matter
-CHUNK = 4096
+CHUNK = 1024
+MAPPED = 64  # rows mapped at a time, so that their components stay in the cache
+SINGLE = float(np.finfo(np.float32).eps)
 
 
 def fourier_basis(columns: int, gamma: float, components: int, seed: int):
@@ -40,6 +42,42 @@ def fourier_basis(columns: int, gamma: float, components: int, seed: int):
     return directions, rng.uniform(0.0, 2.0 * math.pi, components)
 
 
+def mapped_by(rows: np.ndarray, directions: np.ndarray, phases: np.ndarray) -> np.ndarray:
+    """Cosine features of the rows, in the precision of the basis."""
+    out = np.empty((len(rows), len(phases)), directions.dtype)
+    for start in range(0, len(rows), MAPPED):
+        part = out[start:start + MAPPED]
+        np.matmul(rows[start:start + MAPPED], directions, out=part)
+        part += phases
+        np.cos(part, out=part)
+        part *= directions.dtype.type(math.sqrt(2.0 / len(phases)))
+    return out
+
+
+class Bounds:
+    """Margins in single precision with a bound on their error, to tell which rows can lie in a window.
+
+    A product of n terms is off by at most n roundings of the sum of its terms' sizes, a cosine by the error of its
+    argument and a few roundings; the bound takes twice that. Rows that overflow or have no number are never ruled out.
+    """
+
+    def __init__(self, directions: np.ndarray, phases: np.ndarray, normals):
+        self.basis = directions.astype(np.float32), phases.astype(np.float32)
+        self.normals = np.column_stack(normals).astype(np.float32)
+        self.norms = np.array([float(np.linalg.norm(n)) for n in normals])
+        self.longest = float(np.linalg.norm(directions, axis=0).max())
+        self.terms = directions.shape
+
+    def lowest(self, rows: np.ndarray):
+        """(rows, normals): no margin of the row is below this."""
+        columns, components = self.terms
+        with np.errstate(all="ignore"):
+            margins = mapped_by(rows.astype(np.float32), *self.basis) @ self.normals
+            argument = (columns + 2) * SINGLE * (np.linalg.norm(rows, axis=1) * self.longest + 2.0 * math.pi)
+            off = 2.0 * math.sqrt(2.0) * (argument + 4.0 * SINGLE + (components + 2) * SINGLE)
+            return margins - off[:, None] * self.norms
+
+
 @dataclass
 class Boundary:
     features: list
@@ -53,12 +91,17 @@ class Boundary:
     scans: int = 0
 
     def mapped(self, rows: np.ndarray) -> np.ndarray:
-        directions, phases = fourier_basis(len(self.columns), self.gamma, len(self.normal), self.seed)
-        return np.cos(rows[:, self.columns] @ directions + phases) * math.sqrt(2.0 / len(self.normal))
+        return mapped_by(rows[:, self.columns], *self.basis())
+
+    def basis(self):
+        return fourier_basis(len(self.columns), self.gamma, len(self.normal), self.seed)
 
     def margin(self, rows: np.ndarray) -> np.ndarray:
         """Projection on the normal; lower is more anomalous."""
-        return self.mapped(rows) @ self.normal
+        basis, narrow, out = self.basis(), rows[:, self.columns], np.empty(len(rows))
+        for start in range(0, len(rows), MAPPED):
+            out[start:start + MAPPED] = mapped_by(narrow[start:start + MAPPED], *basis) @ self.normal
+        return out
 
     def info(self) -> dict:
         return {"features": self.features, "params": self.params, "columns": self.columns, "gamma": self.gamma,
@@ -160,7 +203,7 @@ class HullSearch:
         self.rows, self.share = rows, min(max(nu * rows, 1.0), float(rows))
         self.sample, self.weights = points, weights / max(weights.sum(), 1)
         self.corners, self.point = [], np.zeros(points.shape[1])
-        self.gap, self.done = math.inf, False
+        self.gap, self.done, self.found = math.inf, False, []
         # the first scan sums all rows, and tries the normals that the sample came by
         self.probes = [(self.point, np.full(BINS, np.inf))]
         self.probes += [(normal, self.window(normal)) for normal in self.sample_normals()]
@@ -224,6 +267,10 @@ class HullSearch:
             self.point = least_norm(self.corners)
             self.probes = [(self.point, self.window(self.point))]
 
+    def needs_counts(self, found: list) -> bool:
+        """Whether the one probe of this scan had a wrong window, so that the counts of the whole range give the next one."""
+        return bool(self.corners) and self.cut(*self.probes[0], *found[0][:2]) is None
+
     def counted_window(self, fine) -> np.ndarray:
         bound, reached = self.limit(self.point), np.cumsum(fine)
         scale = 2.0 * bound / FINE
@@ -236,45 +283,77 @@ class HullSearch:
 
 
 def scan_margins(rows: DataFrame, features, bounds, searches) -> None:
-    """One pass over the rows for all searches that go on; each takes its sums."""
-    probes = [(i, k, normal, edges) for i, s in enumerate(searches) if not s.done for k, (normal, edges) in enumerate(s.probes)]
-    limits = [HullSearch.limit(normal) for _, _, normal, _ in probes]
-    components = len(probes[0][2])
+    """One pass over the rows for all searches that go on; each takes its sums.
+
+    Only a search whose window was wrong needs the counts of the whole range: they take a pass of their own.
+    """
+    live = [i for i, s in enumerate(searches) if not s.done]
+    for i, results in scanned(rows, features, bounds, searches, live).items():
+        searches[i].found = results
+    wrong = [i for i in live if searches[i].needs_counts(searches[i].found)]
+    if wrong:
+        for i, results in scanned(rows, features, bounds, searches, wrong, whole=True).items():
+            searches[i].found = results
+    for i in live:
+        searches[i].take(searches[i].found)
+
+
+def scanned(rows: DataFrame, features, bounds, searches, live, whole: bool = False) -> dict:
+    """search -> per probe the counts and sums of its window and, with ``whole``, counts of the whole range.
+
+    A window holds few rows. Single precision rules out those that surely lie above it; the others are mapped in full.
+    """
+    probes = [(i, normal, edges) for i in live for normal, edges in searches[i].probes]
+    components = len(probes[0][1])
+    groups = {}  # probes that share a map
+    for at, (i, _, _) in enumerate(probes):
+        groups.setdefault((tuple(bounds[i].columns), bounds[i].gamma), []).append(at)
 
     def scan(batches):
         fine = np.zeros((len(probes), FINE), np.int64)
         sums = np.zeros((len(probes), BINS, components), np.int64)
         counts = np.zeros((len(probes), BINS), np.int64)
+        plans = []
+        for (columns, _), members in groups.items():
+            basis = bounds[probes[members[0]][0]].basis()
+            normals, tops = [probes[at][1] for at in members], np.array([probes[at][2][-1] for at in members])
+            # a window without an upper end takes all rows, and a closed one (no sample) none
+            every = whole or np.isposinf(tops).any()
+            plans.append((list(columns), basis, members, np.column_stack(normals), tops, None if every else Bounds(*basis, normals)))
         for batch in batches:
             table = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             for start in range(0, len(table), CHUNK):
-                chunk, mapped = table[start:start + CHUNK], {}
-                for at, (i, _, normal, edges) in enumerate(probes):
-                    key = (tuple(bounds[i].columns), bounds[i].gamma)
-                    if key not in mapped:
-                        mapped[key] = bounds[i].mapped(chunk)
-                    margins = mapped[key] @ normal
-                    spot = ((margins + limits[at]) * (FINE / (2.0 * limits[at]))).astype(np.int64).clip(0, FINE - 1)
-                    fine[at] += np.bincount(spot, minlength=FINE)
-                    bins = np.searchsorted(edges, margins, "right")
-                    low = np.flatnonzero(bins < BINS)
-                    if len(low):
-                        low = low[np.argsort(bins[low], kind="stable")]
-                        seen, first = np.unique(bins[low], return_index=True)
-                        whole = np.rint(mapped[key][low] * FIXED).astype(np.int64)
-                        sums[at][seen] += np.add.reduceat(whole, first, axis=0)
-                        counts[at] += np.bincount(bins[low], minlength=BINS)
+                for columns, basis, members, normals, tops, bound in plans:
+                    chunk = table[start:start + CHUNK][:, columns]
+                    if bound is not None:
+                        chunk = chunk[~(bound.lowest(chunk) >= tops).all(axis=1)]
+                    mapped = mapped_by(chunk, *basis)
+                    products = mapped @ normals
+                    for at, margins in zip(members, products.T):
+                        _, normal, edges = probes[at]
+                        if whole:
+                            limit = HullSearch.limit(normal)
+                            spot = ((margins + limit) * (FINE / (2.0 * limit))).astype(np.int64).clip(0, FINE - 1)
+                            fine[at] += np.bincount(spot, minlength=FINE)
+                        low = np.flatnonzero(margins < edges[-1])
+                        if len(low):
+                            bins = np.searchsorted(edges, margins[low], "right")
+                            order = np.argsort(bins, kind="stable")
+                            seen, first = np.unique(bins[order], return_index=True)
+                            fixed = np.rint(mapped[low[order]] * FIXED).astype(np.int64)
+                            sums[at][seen] += np.add.reduceat(fixed, first, axis=0)
+                            counts[at] += np.bincount(bins, minlength=BINS)
         for at in range(len(probes)):
             used = np.flatnonzero(counts[at])
             yield pa.record_batch([
                 pa.array([at] * (len(used) + 1), pa.int32()), pa.array([-1, *used], pa.int32()), pa.array([0, *counts[at][used]], pa.int64()),
-                pa.array([fine[at].tolist(), *sums[at][used].tolist()], pa.list_(pa.int64()))], names=["probe", "bin", "n", "sums"])
+                pa.array([fine[at].tolist() if whole else [], *sums[at][used].tolist()], pa.list_(pa.int64()))], names=["probe", "bin", "n", "sums"])
 
     parts = rows.select(*features).mapInArrow(scan, "probe int, bin int, n long, sums array<long>")
     added = parts.select("probe", "bin", "n", F.posexplode("sums").alias("i", "v")).groupBy("probe", "bin", "i").agg(
         F.sum("n").alias("n"), F.sum("v").alias("v")).toArrow().to_pandas()  # probes x (bins x components + fine bins) numbers
     found = {}
-    for at, (i, _, _, _) in enumerate(probes):
+    for at, (i, _, _) in enumerate(probes):
         mine = added[added["probe"] == at]
         fine, sums, counts = np.zeros(FINE), np.zeros((BINS, components)), np.zeros(BINS)
         part = mine[mine["bin"] < 0]
@@ -283,8 +362,7 @@ def scan_margins(rows: DataFrame, features, bounds, searches) -> None:
         sums[part["bin"], part["i"]] = part["v"] / FIXED
         counts[part["bin"]] = part["n"]
         found.setdefault(i, []).append((counts, sums, fine))
-    for i, results in found.items():
-        searches[i].take(results)
+    return found
 
 
 def fit_boundaries(df: DataFrame, features, grid, max_rows: int | None = MAX_TRAIN_ROWS, seed: int = 42,
