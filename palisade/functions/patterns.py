@@ -4,7 +4,6 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palisade.functions.text import extract
 
 # --- fixed values: line formats; the named groups become columns ------------------------
 FORMATS = {
@@ -55,13 +54,34 @@ def numbered_groups(pattern: str) -> tuple[str, dict]:
     return _NAMED.sub("(", pattern), names
 
 
+CUT, MARK = "\u0002", "\u0001"  # around a match and between its groups
+
+
 def parse_pattern(df: DataFrame, column: str, pattern: str) -> DataFrame:
-    """Add one text column per named group and ``matched``; groups of lines without a match are NULL."""
+    """Add one text column per named group and ``matched``; groups of lines without a match are NULL.
+
+    The pattern runs once a line: the match is replaced by its groups with marks between them. Lines that hold such marks
+    themselves are read group by group.
+    """
     plain, names = numbered_groups(pattern)
     line = F.col(column)
-    return df.withColumns({
-        **{name: extract(line, plain, group) for name, group in names.items()}, "matched": line.rlike(plain),
-    })
+    found, groups, dirty = (_unused(df, c) for c in ("_found", "_groups", "_dirty"))
+    marked = CUT + MARK.join(f"${group}" for group in names.values()) + CUT
+    each = F.array(*[F.regexp_extract(line, plain, group) for group in names.values()])
+    listed = F.split(F.get(F.split(F.col(found), CUT), F.lit(1)), MARK)
+    read = df.withColumn(dirty, line.contains(CUT) | line.contains(MARK))
+    read = read.withColumn(found, F.when(~F.col(dirty), F.regexp_replace(line, F.lit(plain), F.lit(marked))))
+    read = read.withColumn(groups, F.when(F.col(dirty), each).otherwise(listed))
+    return read.withColumns({
+        **{name: F.nullif(F.get(F.col(groups), F.lit(i)), F.lit("")) for i, name in enumerate(names)},
+        "matched": F.when(F.col(dirty), line.rlike(plain)).otherwise(F.col(found).contains(CUT)),
+    }).drop(found, groups, dirty)
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def parse_format(df: DataFrame, column: str, name: str) -> DataFrame:
