@@ -7,11 +7,13 @@ deleted; every deleted line has an equal line before it that stays. By default o
 
 1. Line ids: equal lines get the same rank. A line that occurs once ends every run, so only repeated lines go on.
 2. Prefix doubling: the rank of 2n lines from a place on is the place of the pair (rank of n lines here, rank of n
-   lines n places on) in the sorted list of all distinct pairs. A round is one sort of distinct pairs and two joins;
-   nothing but ranks moves. It stops when runs of ``min_words`` words can be told apart.
-3. The suffixes that share a window of at least ``min_words`` words are an interval of that array. A maximal repeated
-   run is the union of its shortest such windows from each first line forwards and from each last line backwards, so
-   deleting every window that is not the first of its interval deletes exactly the copies.
+   lines n places on) in the sorted list of all distinct pairs. A round is one sort of distinct pairs and a join; nothing
+   but ranks moves. Runs that occur once are told apart and leave. It ends when no run is left that occurs twice,
+   whatever ``min_words`` is.
+3. A run of 2^k lines that is not the first of its rank is a copy. A copy of any length is the union of the two largest
+   such runs that it begins and ends with. Where these hold too few words, the shortest windows with ``min_words`` words
+   from each first line forwards and from each last line backwards, named by two ranks, find it.
+4. The lines below a copy are those that the furthest end of the copies begun so far lies behind.
 
 Rows that agree in doc_id and text count as one document and get the same result. NULL and empty texts have no lines to
 delete. Extra columns stay; result names that clash get a trailing underscore. Empty tables give empty tables.
@@ -44,21 +46,37 @@ def ranked(pairs: DataFrame, name: str) -> DataFrame:
 
 
 def repeated_lines(lines: DataFrame) -> DataFrame:
-    """Lines whose content occurs more than once: d, x, j, i, n and the rank r of the line."""
+    """Lines whose content occurs more than once: d, x, j, i, n, the rank r of the line, and whether it is a later one."""
     # documents that agree in id and text are one
     lines = lines.dropDuplicates(PLACE)
     lines = stored(lines, "lines")
-    counts = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a", "b")
-    return stored(lines.join(ranked(counts, "ids"), ["a", "b"]).select(*PLACE, "i", "n", "r"), "repeated")
+    return stored(with_ranks(lines, "ids").select(*PLACE, "i", "n", "r", "later"), "repeated")
+
+
+def with_ranks(pairs: DataFrame, name: str) -> DataFrame:
+    """Rows whose (a, b) occurs more than once, with its rank r, and whether the row is not its first place."""
+    groups = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*PLACE)).alias("first"))
+    ranks = ranked(groups.where("c > 1").select("a", "b", "first"), name)
+    return pairs.join(ranks, ["a", "b"]).withColumn("later", ~F.struct(*PLACE).eqNullSafe(F.col("first")))
 
 
 def doubled(level: DataFrame, size: int, name: str) -> DataFrame:
-    """d, x, j, r for runs of twice ``size`` lines, from the ranks of runs of ``size`` lines."""
+    """d, x, j, n, r, later for repeated runs of twice ``size`` lines, from the ranks of runs of ``size`` lines."""
     ahead = Window.partitionBy("d", "x").orderBy("j").rangeBetween(size, size)
-    pairs = level.select(*PLACE, F.col("r").alias("a"), F.first("r").over(ahead).alias("b")).where("b IS NOT NULL")
+    pairs = level.select(*PLACE, (F.col("n") + F.first("n").over(ahead)).alias("n"), F.col("r").alias("a"),
+                         F.first("r").over(ahead).alias("b")).where("b IS NOT NULL")
     pairs = stored(pairs, name)
-    ranks = ranked(pairs.select("a", "b").distinct(), name)
-    return stored(pairs.join(ranks, ["a", "b"]).select(*PLACE, "r"), name)
+    return stored(with_ranks(pairs, name).select(*PLACE, "n", "r", "later"), name)
+
+
+def doublings(repeated: DataFrame) -> list[DataFrame]:
+    """Repeated runs of 1, 2, 4, ... lines, up to the last length that has some."""
+    levels, level, size = [], repeated.select(*PLACE, F.col("n").cast("long").alias("n"), "r", "later"), 1
+    while not level.isEmpty():
+        levels.append(level)
+        level = doubled(level, size, f"level{len(levels)}")
+        size *= 2
+    return levels
 
 
 def shortest_windows(repeated: DataFrame, min_words: int) -> DataFrame:
@@ -108,21 +126,22 @@ def windows(lines: list[tuple[int, int]], min_words: int) -> set[tuple[int, int]
 
 
 def copies(repeated: DataFrame, min_words: int) -> DataFrame:
-    """d, x, j, len of the windows that begin earlier, too."""
-    found = stored(shortest_windows(repeated, min_words), "windows")
-    longest = found.agg(F.max("len")).first()[0] or 0
-    levels, size, k = [], 1, 0
-    level = repeated.select(*PLACE, "r")
-    while size <= longest:
-        levels.append(level.select(F.lit(k).alias("k"), *PLACE, "r"))
-        if 2 * size <= longest:
-            level = doubled(level, size, f"level{k + 1}")
-        size, k = 2 * size, k + 1
+    """d, x, j, len of runs with enough words that begin earlier, too; together they hold all lines of copies."""
+    levels = doublings(repeated)
     if not levels:
-        return found.where("false")
-    ranks = levels[0]
-    for more in levels[1:]:
-        ranks = ranks.unionByName(more)
+        return repeated.select(*PLACE, F.lit(0).cast("long").alias("len")).where("false")
+    found, ranks = None, None
+    for k, level in enumerate(levels):
+        later = level.where(F.col("later") & (F.col("n") >= min_words)).select(*PLACE, F.lit(2 ** k).cast("long").alias("len"))
+        named = level.select(F.lit(k).alias("k"), *PLACE, "r")
+        found, ranks = (later, named) if found is None else (found.unionByName(later), ranks.unionByName(named))
+    # with one word as the least, every run of 1, 2, 4, ... lines holds enough
+    return found if min_words <= 1 else found.unionByName(copied_windows(repeated, ranks, min_words))
+
+
+def copied_windows(repeated: DataFrame, ranks: DataFrame, min_words: int) -> DataFrame:
+    """d, x, j, len of the shortest windows that begin earlier, too."""
+    found = shortest_windows(repeated, min_words)
     # a window is named by the ranks of the two largest runs that it begins and ends with
     k = F.floor(F.log2("len") + F.lit(1e-9)).cast("int")
     named = found.withColumn("k", k).withColumn("j2", F.col("j") + F.col("len") - F.expr("shiftleft(1L, k)"))
@@ -139,15 +158,20 @@ def copies(repeated: DataFrame, min_words: int) -> DataFrame:
     return joined.where(~F.struct(*PLACE).eqNullSafe(F.col("first"))).select(*PLACE, "len")
 
 
+def covered(repeated: DataFrame, gone: DataFrame) -> DataFrame:
+    """d, x, i of the lines inside of runs; a line inside of a run is a repeated one."""
+    begun = Window.partitionBy("d", "x").orderBy("j").rangeBetween(Window.unboundedPreceding, 0)
+    rows = repeated.select(*PLACE, "i", F.lit(None).cast("long").alias("end")).unionByName(
+        gone.select(*PLACE, F.lit(None).cast("int").alias("i"), (F.col("j") + F.col("len")).alias("end")))
+    return rows.withColumn("end", F.max("end").over(begun)).where("i IS NOT NULL AND end > j").select("d", "x", "i")
+
+
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with kept_text, n_lines (lines with a word) and n_removed."""
     name = {c: free_name(docs, c) for c in ("kept_text", "n_lines", "n_removed")}
     repeated = repeated_lines(numbered_lines(docs, doc_id, text))
     gone = copies(repeated, min_words)
-    each = gone.select("d", "x", F.explode(F.sequence("j", F.col("j") + F.col("len") - 1)).alias("j")).distinct()
-    at = repeated.select(F.col("d").alias("_d"), F.col("x").alias("_x"), F.col("j").alias("_j"), "i")
-    hit = each.join(at, each.d.eqNullSafe(at["_d"]) & (each.x == at["_x"]) & (each.j == at["_j"]))
-    lost = stored(hit.groupBy("d", "x").agg(F.collect_list("i").alias("lost")), "lost")
+    lost = stored(covered(repeated, gone).groupBy("d", "x").agg(F.collect_list("i").alias("lost")), "lost")
 
     d, x, t = F.col(f"`{doc_id}`"), free_name(docs, "_x"), free_name(docs, "_t")
     read = docs.withColumn(t, F.coalesce(F.col(f"`{text}`"), F.lit("")))
