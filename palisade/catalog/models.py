@@ -220,10 +220,14 @@ def calibrated_cascade(spark, sf_dir):
 
 @query("X10_stored_vectors", f"WITH {DETAILED} SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) AS src_ip, {r('score', 'anomaly_score')}, predicted AS predicted_label FROM detailed")
 def stored_vectors(spark, sf_dir):
-    """Appended vectors as a stream, scored with the stored model into the keyed result table."""
+    """Appended vectors as a stream, scored with the stored model into the keyed result table.
+
+    Items may repeat; each has a time of its own, so that the table has a row for every one.
+    """
     root = scratch_path(spark, "vectors")
+    start = F.unix_micros(F.lit("2024-01-01").cast("timestamp")) + F.monotonically_increasing_id()
     named = raw_items(spark, sf_dir).select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("src_ip"), F.lit("2024-01-01").cast("timestamp").alias("window_start"), *ITEMS)
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("src_ip"), F.timestamp_micros(start).alias("window_start"), *ITEMS)
     named.write.parquet(f"{root}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{root}/in").schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
     model, scale = stored_model(spark, sf_dir)

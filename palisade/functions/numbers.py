@@ -27,4 +27,5 @@ def count_if(condition: Column) -> Column:
 
 def row_hash(*columns) -> Column:
     """Stable text id from key columns, so that a replay gives the same id."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]), 256)
+    values = [c if isinstance(c, Column) else F.col(c) for c in columns]
+    return F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("~")) for c in values]), 256)

@@ -29,8 +29,10 @@ class MergeTable:
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         self.keys, self.updated, self.order = list(keys), updated, list(order)
 
-    def bucket(self):
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+    def bucket(self, columns=None):
+        """Bucket by the keys; with ``columns`` (name -> expression) by the expressions of the keys."""
+        keys = self.keys if columns is None else [columns[k] for k in self.keys]
+        return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
 
     def _folder(self, kind: str, batch: int) -> str:
         return f"{self.path}/kind={kind}/batch={batch}"
@@ -59,15 +61,20 @@ class MergeTable:
                     deltas.setdefault(b, []).append(batch)
         return bases, deltas
 
-    def _write(self, rows: DataFrame, kind: str, batch: int) -> None:
+    def _write(self, rows: DataFrame, kind: str, batch: int, columns=None) -> None:
         # rebalanced: few files a bucket, and a large bucket is still written by several tasks
-        placed = rows.withColumn("bucket", self.bucket()).hint("rebalance", "bucket")
-        placed.write.mode("overwrite").partitionBy("bucket").parquet(self._folder(kind, batch))
-
-    def append(self, rows: DataFrame, batch: int) -> None:
-        """Store the rows of a batch, once."""
+        placed = rows.withColumn("bucket", self.bucket(columns)).hint("rebalance", "bucket")
+        if columns is not None:
+            placed = placed.select(*[c.alias(n) for n, c in columns.items()], "bucket")
+        # hexadecimal ids take half the room with an entropy coder
+        writer = placed.write.mode("overwrite").option("compression", "zstd")
+        writer.partitionBy("bucket").parquet(self._folder(kind, batch))
+
+    def append(self, rows: DataFrame, batch: int, columns=None) -> None:
+        """Store the rows of a batch, once. With ``columns`` (name -> expression) these are stored, and are made after the
+        rows have moved to their buckets, so that only what they are made from moves."""
         if not self._committed(DELTA, batch):
-            self._write(rows, DELTA, batch)
+            self._write(rows, DELTA, batch, columns)
 
     def stored(self, buckets=None) -> DataFrame | None:
         """All versions in some buckets (None: all), with their batch; None for a table without rows."""

@@ -28,37 +28,43 @@ def feature_snapshot(df: DataFrame, features=S.FEATURES, review: Column | None =
 
 def prediction_rows(df: DataFrame, features=S.FEATURES, default_time=None) -> tuple[DataFrame, DataFrame]:
     """Rows for ``anomaly_result`` and ``risk_score``; uncertain rows get no risk row."""
+    return tuple(rows.select(*[c.alias(n) for n, c in columns.items()])
+                 for rows, columns in prediction_columns(df, features, default_time))
+
+
+def prediction_columns(df: DataFrame, features=S.FEATURES, default_time=None) -> list[tuple[DataFrame, dict]]:
+    """The two kinds of rows as what they are made from, and name -> expression of each column; ids and JSON are long."""
     label = prediction_label(_column(df, "predicted_label"))
     review = (label == S.UNCERTAIN) | F.coalesce(_column(df, "review_required", kind="boolean"), F.lit(False))
     reason = F.coalesce(_column(df, "uncertainty_reason"), F.lit("Score in uncertainty band"))
     when = _column(df, "window_start", kind="timestamp")
     start = when if default_time is None else F.coalesce(when, F.lit(default_time).cast("timestamp"))
     base = df.withColumns({
-        "_label": label, "_snapshot": feature_snapshot(df, features, review, reason),
+        "_label": label,
         "_start": start, "_ip": F.coalesce(F.nullif(_column(df, "src_ip"), F.lit("")), F.lit("0.0.0.0")),
         "_score": F.coalesce(clip(_column(df, "anomaly_score", kind="double"), 0.0, 1.0), F.lit(0.0)),
         "_version": F.coalesce(_column(df, "model_version"), F.lit(S.DEFAULT_MODEL_VERSION)),
-    }).withColumn("_id", row_hash("_start", "_ip", "_version"))
-    results = base.select(
-        F.col("_id").alias("id"), F.col("_start").alias("window_start"), F.col("_ip").alias("src_ip"),
-        _column(df, "event_id").alias("event_id"), _column(df, "feature_vector_id", "fv_id", "id").alias("feature_vector_id"),
-        F.col("_snapshot").alias("feature_snapshot"), F.col("_score").alias("anomaly_score"),
-        F.col("_version").alias("model_version"), F.col("_label").alias("predicted_label"),
-        truth_label(_column(df, "ground_truth_label", "label")).alias("ground_truth_label"),
-        _column(df, "label_source").alias("label_source"),
-    )
+    })
+    made_id = row_hash("_start", "_ip", "_version")
+    results = {
+        "id": made_id, "window_start": F.col("_start"), "src_ip": F.col("_ip"), "event_id": _column(df, "event_id"),
+        "feature_vector_id": _column(df, "feature_vector_id", "fv_id", "id"),
+        "feature_snapshot": feature_snapshot(df, features, review, reason), "anomaly_score": F.col("_score"),
+        "model_version": F.col("_version"), "predicted_label": F.col("_label"),
+        "ground_truth_label": truth_label(_column(df, "ground_truth_label", "label")), "label_source": _column(df, "label_source"),
+    }
     risk = finite(_column(df, "risk_score", kind="double"))
     name = F.initcap(F.trim(F.coalesce(_column(df, "risk_class"), F.lit("Low"))))
     confident = base.where((F.col("_label") != S.UNCERTAIN) & risk.isNotNull())
     severity = F.coalesce(_column(df, "severity_weight", kind="double"), F.lit(0.0))
-    risks = confident.select(
-        row_hash("_id").alias("id"), F.col("_ip").alias("src_ip"), _column(df, "agent_id", "asset_id").alias("asset_id"),
-        F.col("_id").alias("anomaly_result_id"), ai_component(F.col("_score")).alias("ai_component"),
-        rule_component(severity).alias("rule_component"), clip(risk, 0.0, 100.0).alias("score"),
-        F.when(name.isin(S.RISK_CLASSES), name).otherwise("Low").alias("risk_class"),
-        F.coalesce(_column(df, "timestamp", kind="timestamp"), F.col("_start")).alias("timestamp"),
-    )
-    return results, risks
+    risks = {
+        "id": row_hash(made_id), "src_ip": F.col("_ip"), "asset_id": _column(df, "agent_id", "asset_id"),
+        "anomaly_result_id": made_id, "ai_component": ai_component(F.col("_score")),
+        "rule_component": rule_component(severity), "score": clip(risk, 0.0, 100.0),
+        "risk_class": F.when(name.isin(S.RISK_CLASSES), name).otherwise("Low"),
+        "timestamp": F.coalesce(_column(df, "timestamp", kind="timestamp"), F.col("_start")),
+    }
+    return [(base, results), (confident, risks)]
 
 
 def review_gated(df: DataFrame) -> DataFrame:

@@ -93,15 +93,15 @@ def score_and_upsert(root: str, model, scaler, window_seconds: float = 60.0, spa
 def score_vectors(root: str, model, scaler, compact_every: int = 50):
     """A foreachBatch writer over appended feature vectors: predictions and risk rows."""
     from palisade.plans.serve import infer_on_features
-    from palisade.sinks.results import prediction_rows
+    from palisade.sinks.results import prediction_columns
     from palisade.session import checkpointed
 
     def write(batch: DataFrame, batch_id: int) -> None:
         scored = infer_on_features(batch, model, scaler).withColumn("model_version", F.lit(model.model_version))
-        results, risks = prediction_rows(checkpointed(scored))  # scored once for both tables
+        made = prediction_columns(checkpointed(scored))  # scored once for both tables
         stored = result_tables(batch.sparkSession, root)
-        for name, rows in (("anomaly_result", results), ("risk_score", risks)):
-            stored[name].append(rows, batch_id)
+        for name, (rows, columns) in zip(("anomaly_result", "risk_score"), made):
+            stored[name].append(rows, batch_id, columns)
             if batch_id % compact_every == compact_every - 1:
                 stored[name].compact()
 

@@ -119,3 +119,41 @@ def test_stream_context_equals_the_join(spark, tmp_path):
     keyed = frame.withColumn("window_start", F.window("timestamp", "5 minutes")["start"])
     want = with_event_context(got.select("window_start", "src_ip"), keyed, ("window_start", "src_ip"))
     assert got.count() > 50 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_columns_made_after_the_move_are_the_rows(spark, tmp_path):
+    """Both ways store the same rows in the same buckets; ids and JSON are made behind the shuffle."""
+    from palisade.sinks.results import prediction_columns, prediction_rows
+    from palisade.streaming.features import result_tables
+
+    labels = ["Anomaly", "Normal", "Uncertain", None]
+    scored = spark.createDataFrame(
+        [(None if k % 9 == 0 else f"10.0.0.{k % 7}", k % 5, k / 40, labels[k % 4], None if k % 6 == 0 else 2.5 * k) for k in range(40)],
+        "src_ip string, minute int, anomaly_score double, predicted_label string, risk_score double").selectExpr(
+        "*", "timestamp_seconds(1700000000 + 60 * minute) AS window_start", "'v' AS model_version", "minute / 3 AS burst_rate")
+    plain, late = result_tables(spark, str(tmp_path / "plain")), result_tables(spark, str(tmp_path / "late"))
+    for name, rows, (base, columns) in zip(("anomaly_result", "risk_score"), prediction_rows(scored), prediction_columns(scored)):
+        plain[name].append(rows, 0)
+        late[name].append(base, 0, columns)
+        found = [sorted(map(repr, t[name].stored().collect())) for t in (plain, late)]
+        assert found[0] == found[1] and len(found[0]) > 10
+    moved = []
+    late["risk_score"]._folder = lambda kind, batch: str(tmp_path / "again")
+    hint = type(scored).hint
+    try:
+        type(scored).hint = lambda df, *a: moved.append(df) or hint(df, *a)
+        late["risk_score"].append(base, 1, columns)
+    finally:
+        type(scored).hint = hint
+    assert not {"id", "anomaly_result_id", "feature_snapshot"} & set(moved[0].columns)
+
+
+def test_every_appended_vector_has_a_row(spark, tmp_path):
+    from palisade.catalog import models
+    from tests.conftest import SMALL
+
+    path = str(tmp_path / "lineitem.parquet")
+    rows = spark.read.parquet(f"{SMALL}/lineitem.parquet").limit(50)
+    rows.unionByName(rows.limit(20).withColumn("l_quantity", F.lit(1).cast(rows.schema["l_quantity"].dataType))).unionByName(
+        rows.limit(5)).coalesce(1).write.parquet(path)
+    assert models.stored_vectors(spark, str(tmp_path)).count() == 75
