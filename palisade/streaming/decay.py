@@ -28,8 +28,8 @@ def idle_decay(idle_seconds: int = 600):
 
     Addresses of one network share a call and its state, as a call costs far more than its rows. Rows of a trigger are taken
     in order of time, and gaps between them fade as gaps between triggers do, so the result does not depend on how rows are
-    dealt to triggers; timers only serve the time after the last row. A row that is older than the newest one of its address
-    passes on and changes nothing.
+    dealt to triggers; timers only serve the time after the last row. A row without a time, or older than the newest one of its
+    address, passes on and changes nothing.
     """
     step = idle_seconds * 1000
 
@@ -54,8 +54,11 @@ def idle_decay(idle_seconds: int = 600):
         if not state.hasTimedOut:
             # an address and two numbers per row of the trigger
             given = pd.concat([batch[["src_ip", "timestamp", "score"]] for batch in batches]).sort_values(["timestamp", "score"])
-            times = given["timestamp"].to_numpy("datetime64[us]").astype("int64") // 1000
-            for address, at, value in zip(given["src_ip"].tolist(), times.tolist(), given["score"].tolist()):
+            times, timed = given["timestamp"].to_numpy("datetime64[us]").astype("int64") // 1000, given["timestamp"].notna()
+            for address, at, value, has_time in zip(given["src_ip"].tolist(), times.tolist(), given["score"].tolist(), timed.tolist()):
+                if not has_time:
+                    rows.append((address, value, None, False))
+                    continue
                 score, last = known.get(address, (None, -1))
                 if at >= last:
                     faded_rows, _, _ = idle(address, score, last, at)
