@@ -41,6 +41,7 @@ from palisade.llm.components import components
 WIDTH, PERCENT, LEAF, PART_ROWS = 4, 85, 32, 2_000
 MOST_TURNS = 2  # gathering rounds; what they leave is for the last round
 FEWEST, MOST, PER_GROUP = 64, 8192, 4  # groups of a point, and shingles per group between the two
+FINER = 32  # groups of the finer point of the last round, for each group of the point
 _CODES = WordCodes()
 
 
@@ -174,16 +175,18 @@ def keyed(docs: DataFrame, width: int, percent: int) -> DataFrame:
 def blocks(rows: DataFrame) -> DataFrame:
     """The document rows, and (key, doc) of blocks with two members or more, the key being a name of the member set.
 
-    ``rows`` are read twice. Names are aggregates of hashes of the members, added up before they are shuffled, and are
-    joined back to the rows: no task needs a whole block, and a join can split a key that many documents share.
+    ``rows`` are read twice. Most keys have one member only; they are told by the smallest and largest member and go first,
+    so that nothing else of them is shuffled. Names are aggregates of hashes of the members, added up before they are
+    shuffled, and are joined back: no task needs a whole block, and a join can split a key that many documents share.
     """
     keys = rows.where("rep IS NULL").select("key", "doc")
+    several = keys.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+    shared = stored(keys.join(several.select("key"), "key", "left_semi"), "shared")
     code = F.xxhash64("doc")
-    names = keys.groupBy("key").agg(
-        F.min("doc").alias("low"), F.max("doc").alias("high"), F.bit_xor(code).alias("x"),
-        F.sum(F.shiftright(code, 32)).alias("s")).where("low < high")
+    names = shared.groupBy("key").agg(
+        F.min("doc").alias("low"), F.max("doc").alias("high"), F.bit_xor(code).alias("x"), F.sum(F.shiftright(code, 32)).alias("s"))
     names = names.select(F.col("key").alias("_key"), F.xxhash64("low", "high", "x", "s").alias("name"))
-    named = keys.join(names, keys["key"] == names["_key"]).select(F.col("name").alias("key"), "doc").distinct()
+    named = shared.join(names, shared["key"] == names["_key"]).select(F.col("name").alias("key"), "doc").distinct()
     return rows.where("rep IS NOT NULL").unionByName(named, allowMissingColumns=True)
 
 
@@ -239,8 +242,10 @@ def candidate_pairs(members: DataFrame, points: DataFrame, percent: int, smalles
     """Distinct (a, b), a < b, of different classes that the trees of the blocks admit.
 
     ``members``: key, doc, class, c (members of the block) and asks. With ``smallest`` each asks in its own part for the
-    smallest member that it may link to; otherwise each that asks does so in all parts, for all members.
+    smallest member that it may link to; otherwise each that asks does so in all parts, for all members. What the trees
+    admit there must also fit by the finer points: the bound of the trees leaves a share of all pairs of a large group.
     """
+    columns = ["point"] if smallest else ["point", "fine"]
     dealt = members.withColumn("parts", F.ceil(F.col("c") / PART_ROWS).cast("int"))
     dealt = dealt.withColumn("home", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
     if smallest:
@@ -249,7 +254,7 @@ def candidate_pairs(members: DataFrame, points: DataFrame, percent: int, smalles
         at = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("home"))
         dealt = dealt.select("key", "doc", "class", "asks", "home", F.explode(at).alias("part"))
         dealt = dealt.withColumn("kept", F.col("home") == F.col("part")).drop("home")
-    rows = dealt.join(points, "doc").select("key", "part", "doc", "n", "class", "asks", "kept", "point")
+    rows = dealt.join(points, "doc").select("key", "part", "doc", "n", "class", "asks", "kept", *columns)
     spark = members.sparkSession
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "part").sortWithinPartitions("key", "part", "doc")
 
@@ -271,12 +276,15 @@ def candidate_pairs(members: DataFrame, points: DataFrame, percent: int, smalles
         if not kept.any() or not asks.any() or (cls == cls[0]).all():
             return
         points = folded(part["point"].to_pylist())
+        fine = None if smallest else Finer(part["fine"].to_pylist(), n, percent)
         home = np.nonzero(kept)[0]
         tree = RTree(points[home], n[home], doc[home], percent)
         a, b = [], []
         for k in np.nonzero(asks)[0]:
             hits = home[tree.search(points[k], int(n[k]), smallest)]
             hits = hits[cls[hits] != cls[k]]
+            if fine and len(hits):
+                hits = fine.fitting(k, hits)
             a += [int(doc[k])] * len(hits)
             b += doc[hits].tolist()
         if a:
@@ -286,6 +294,32 @@ def candidate_pairs(members: DataFrame, points: DataFrame, percent: int, smalles
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+class Finer:
+    """Finer points of a block, unpacked when they are first needed; those in use are kept up to a bound."""
+
+    def __init__(self, packed: list[bytes], sizes: np.ndarray, percent: int, most_bytes: int = 64 << 20):
+        self.packed, self.sizes, self.t, self.most = packed, sizes, percent, most_bytes
+        self.open, self.held = {}, 0
+
+    def point(self, k: int) -> np.ndarray:
+        if k not in self.open:
+            if self.held > self.most:
+                self.open, self.held = {}, 0
+            self.open[k] = np.frombuffer(zlib.decompress(self.packed[k]), "<u2")
+            self.held += self.open[k].nbytes
+        return self.open[k]
+
+    def fitting(self, k: int, hits: np.ndarray) -> np.ndarray:
+        """The ``hits`` whose finer points admit a link with ``k``."""
+        own, good = self.point(int(k)), np.zeros(len(hits), bool)
+        for i, h in enumerate(hits.tolist()):
+            other = self.point(h)
+            size = min(len(own), len(other))
+            x, y = (p if len(p) == size else p.reshape(-1, size).sum(axis=0) for p in (own, other))
+            good[i] = (100 + self.t) * int(np.minimum(x, y).sum()) >= self.t * int(self.sizes[k] + self.sizes[h])
+        return hits[good]
+
+
 def groups_for(n: np.ndarray) -> np.ndarray:
     """Groups of the point of a set of ``n``: a power of two, so that a finer point folds into a coarser one."""
     wanted = np.ceil(np.log2(np.maximum(n, 1) / PER_GROUP)).clip(np.log2(FEWEST), np.log2(MOST))
@@ -300,23 +334,27 @@ def folded(points: list[bytes]) -> np.ndarray:
 
 
 def count_points(texts: DataFrame, width: int) -> DataFrame:
-    """doc, n, point: counts of the shingles of each group, as packed 16-bit numbers; larger sets have more groups."""
+    """doc, n, point, fine: counts of the shingles of each group, as packed 16-bit numbers; larger sets have more groups."""
+
+    def packed(row, code, groups):
+        ends = np.concatenate([[0], np.cumsum(groups)])
+        slot = ends[row] + (mix(code ^ np.uint64(0x3C3C3C3C)) % groups[row].astype(np.uint64)).astype(np.int64)
+        counts = np.bincount(slot, minlength=int(ends[-1]))
+        if counts.max(initial=0) > 65535:
+            raise ValueError("a text has more shingles than a point can count")
+        counts = counts.astype("<u2")
+        return pa.array([zlib.compress(counts[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])], pa.binary())
 
     def run(batches):
         for batch in batches:
             row, code = shingle_sets(batch.column(1).to_pylist(), width)
             n = np.bincount(row, minlength=batch.num_rows)
             groups = groups_for(n)
-            ends = np.concatenate([[0], np.cumsum(groups)])
-            slot = ends[row] + (mix(code ^ np.uint64(0x3C3C3C3C)) % groups[row].astype(np.uint64)).astype(np.int64)
-            counts = np.bincount(slot, minlength=int(ends[-1]))
-            if counts.max(initial=0) > 65535:
-                raise ValueError("a text has more shingles than a point can count")
-            packed = counts.astype("<u2")
-            points = [zlib.compress(packed[ends[k]:ends[k + 1]].tobytes()) for k in range(batch.num_rows)]
-            yield pa.record_batch([batch.column(0), pa.array(n), pa.array(points, pa.binary())], names=["doc", "n", "point"])
-
-    return texts.mapInArrow(run, "doc long, n long, point binary")
+            yield pa.record_batch([
+                batch.column(0), pa.array(n), packed(row, code, groups), packed(row, code, np.minimum(FINER * groups, np.maximum(groups, MOST)))],
+                names=["doc", "n", "point", "fine"])
+
+    return texts.mapInArrow(run, "doc long, n long, point binary, fine binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:

@@ -51,6 +51,32 @@ def test_a_large_group_of_near_copies(llm, monkeypatch):
         assert sum(counts) <= 4 * len(rows), counts
 
 
+def test_the_last_round_of_near_copies_that_do_not_link(llm, monkeypatch):
+    """The last round lists few pairs that are no links, and each key with one member only is left out of the names."""
+    counts = candidates(monkeypatch)
+    draw = random.Random(2)
+    rows = list(enumerate(near_copies(draw, 400, 3)))
+    done = jaccard.classes(frame(llm, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in done} == brute_classes(rows, 4, 85)
+    assert len(counts) > 1 and counts[-1] <= 40, counts
+
+
+def test_finer_points_lose_no_link():
+    """Whatever two sets share, their finer points admit it; unlike sizes are folded."""
+    draw = random.Random(8)
+    for n in (30, 300, 3000):
+        base = [f"w{draw.randrange(10 ** 9)}" for _ in range(n)]
+        texts = [" ".join(base), " ".join(base[n // 50:]), " ".join(f"v{k}" for k in range(n))]
+        row, code = jaccard.shingle_sets(texts, 4)
+        sets = [set(code[row == k].tolist()) for k in range(3)]
+        groups = [512, 1024, 2048]
+        packed = [jaccard.zlib.compress(jaccard.np.bincount(
+            [int(c) % g for c in s], minlength=g).astype("<u2").tobytes()) for s, g in zip(sets, groups)]
+        sizes = jaccard.np.array([len(s) for s in sets])
+        hits = jaccard.Finer(packed, sizes, 85).fitting(0, jaccard.np.array([1, 2])).tolist()
+        assert 1 in hits and (n > 300 or 2 not in hits)
+
+
 def test_chains_of_classes(llm, monkeypatch):
     """Texts that drift word by word: neighbours link, the ends do not; gathering needs several rounds."""
     draw, rows, w = random.Random(5), [], [f"{WORDS[k % len(WORDS)]}{k}" for k in range(90)]
