@@ -262,8 +262,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+EVENT_TASK_BYTES = 4 << 20  # about 200,000 events; each gives up to six records with a sliding window
+
+
 def _events(spark, sf_dir):
-    base = spread(table(spark, sf_dir, "events")).selectExpr("*", _EVENT_K, _EVENT_IP)
+    base = spread(table(spark, sf_dir, "events"), EVENT_TASK_BYTES).selectExpr("*", _EVENT_K, _EVENT_IP)
     return base.selectExpr("*", _SPARK_TIME["events"])
 
 

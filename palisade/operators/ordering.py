@@ -10,8 +10,9 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import BooleanType, DataType, DatetimeType, NumericType, StringType, TimestampNTZType
 
-from palisade.session import checkpointed
+from palisade.session import checkpointed, packed, small_side
 
 
 def _as_column(key) -> Column:
@@ -26,7 +27,7 @@ class SortedSlices:
         keys = list(order) if unique else [*order, F.col("_tie")]
         frame = df if unique else df.withColumn("_tie", F.monotonically_increasing_id())
         ordered = frame.orderBy(*keys).withColumn("_place", F.monotonically_increasing_id())
-        self.frame = checkpointed(
+        self.frame = packed(
             ordered.withColumn("_slice", F.shiftrightunsigned("_place", 33).cast("int")).drop("_tie")
         )
         self._inside = Window.partitionBy("_slice").orderBy("_place")
@@ -59,7 +60,8 @@ class SortedSlices:
         counts = self.frame.groupBy(*place).agg(F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first"))
         earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
         offsets = counts.select(*place, "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
-        numbered = self.frame.join(offsets if by else F.broadcast(offsets), place)
+        # one row per slice and group; many groups are joined by a shuffle
+        numbered = self.frame.join(small_side(offsets) if by else F.broadcast(offsets), place)
         return numbered.withColumn(name, F.col("_place") - F.col("_first") + F.col("_offset")).drop("_first", "_offset")
 
     def previous(self, **columns) -> DataFrame:
@@ -93,9 +95,23 @@ def numbered_within(df: DataFrame, group: str, order, name: str = "row_number",
     return plain(SortedSlices(df, group, *order, unique=unique).numbered(name, [group]))
 
 
+def _sortable(kind: DataType) -> bool:
+    """Whether values are compared as they are: numbers, texts and times."""
+    return isinstance(kind, (NumericType, StringType, BooleanType, DatetimeType, TimestampNTZType))
+
+
 def first_per_key(df: DataFrame, keys, order, newest: bool = False) -> DataFrame:
-    """One whole row per key, the first (or last) in the order; combined before the shuffle."""
+    """One whole row per key, the first (or last) in the order; combined before the shuffle.
+
+    Where the order is given by names, its columns lead the row that is compared, so that they are moved once.
+    """
     rest = [c for c in df.columns if c not in keys]
+    plain_keys = all(isinstance(c, str) for c in [*keys, *order])
+    leading = list(dict.fromkeys(c for c in order if c not in keys)) if plain_keys else []
+    if leading and set(leading) <= set(rest) and all(_sortable(df.schema[c].dataType) for c in rest):
+        whole = F.struct(*leading, *[c for c in rest if c not in leading])
+        chosen = df.groupBy(*keys).agg((F.max if newest else F.min)(whole).alias("_row"))
+        return chosen.select(*keys, "_row.*").select(*df.columns)
     pick = F.max_by if newest else F.min_by
     chosen = df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*order)).alias("_row"))
     return chosen.select(*keys, "_row.*").select(*df.columns)
