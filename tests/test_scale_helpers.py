@@ -267,3 +267,39 @@ def test_the_caller_chooses_the_tail(spark):
     frame = spark.createDataFrame([(z,) for z in grid], "z double").select("z", G.normal_tail(F.col("z")).alias("p"))
     for z, p in frame.collect():
         assert p == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-9, abs=1e-300)
+
+
+def test_first_rows_move_the_order_once(spark):
+    """The order columns are in the compared row only; NULLs, ties and texts behave as before."""
+    rows = [(1, None, "b", 1.0), (1, 3, "a", 2.0), (2, 5, "z", None), (2, 5, "c", 4.0), (None, 7, "q", 1.5), (None, 7, "q", 1.5)]
+    df = spark.createDataFrame(rows, "k long, t long, name string, v double")
+    first = first_per_key(df, ["k"], ["t", "name"])
+    assert first._jdf.queryExecution().optimizedPlan().toString().count("min_by") == 0
+    assert {tuple(r) for r in first.collect()} == {(1, None, "b", 1.0), (2, 5, "c", 4.0), (None, 7, "q", 1.5)}
+    newest = first_per_key(df, ["k"], ["t", "name"], newest=True)
+    assert {tuple(r) for r in newest.collect()} == {(1, 3, "a", 2.0), (2, 5, "z", None), (None, 7, "q", 1.5)}
+    mapped = df.withColumn("m", F.create_map(F.lit("x"), F.col("v")))  # maps have no order
+    assert {r.m["x"] for r in first_per_key(mapped, ["k"], ["t", "name"]).collect()} == {1.0, 4.0, 1.5}
+    descending = first_per_key(df, ["k"], [-F.col("t"), F.col("name")])
+    assert {r.name for r in descending.collect()} == {"b", "c", "q"}
+
+
+def test_sorted_slices_are_packed(spark):
+    """Plain columns go into compressed files, others into a checkpoint; the rows stay."""
+    df = spark.range(500).selectExpr("id", "CAST(id % 3 AS STRING) AS g", "id / 7 AS v")
+    plain, dated = SortedSlices(df, "g", "id"), SortedSlices(df.selectExpr("*", "DATE '1500-01-01' AS d"), "g", "id")
+    assert plain.frame.inputFiles() and not dated.frame.inputFiles()
+    for slices in (plain, dated):
+        got = {r.id: r.n for r in slices.numbered("n", ["g"]).collect()}
+        assert got == {i: i // 3 for i in range(500)}
+
+
+def test_tasks_of_a_scan_are_bounded_by_bytes(spark, tmp_path):
+    from palisade.session import spread, stored_bytes
+
+    spark.range(200_000).selectExpr("id", "uuid() AS u").repartition(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    size = stored_bytes(df)
+    dealt = spread(df, size // 40)
+    assert dealt.rdd.getNumPartitions() >= 40 and dealt.exceptAll(df).isEmpty() and dealt.count() == 200_000
+    assert spread(df).rdd.getNumPartitions() >= 8
