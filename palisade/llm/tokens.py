@@ -32,6 +32,7 @@ from palisade.session import scratch_path
 LENGTH, ROWS_PER_BATCH, END_ID = 2048, 64, 1
 SPACE, SEPARATOR = re.compile(r"[^ \t\n\r]+"), re.compile("[\x1c-\x1f]")
 MARKS = ".,!?;:"
+JOINT, JOINED = " . ", 256  # between words of letters that are encoded in one text, and the most of them
 _LOADED: dict = {}
 
 
@@ -59,10 +60,32 @@ class Encoder:
             return [np.array(x.ids, self.kind).tobytes() for x in found]
         return [array("H", x.ids).tobytes() for x in found]
 
+    def apart(self, words: list[str]) -> list[bytes]:
+        """Token ids of each word; words of letters are encoded many to a text, with a mark between them.
+
+        A mark is a token of its own between letters, so the ids are cut where it stands. Should the number of cuts not be
+        that of the marks (a tokenizer whose words hold it), the words are encoded one by one.
+        """
+        texts = [JOINT.join(words[i:i + JOINED]) for i in range(0, len(words), JOINED)]
+        mark = self.plain([JOINT.strip()])[0]
+        if len(mark) != self.kind.itemsize:
+            return self.plain(words)
+        mark, size, out = np.frombuffer(mark, self.kind)[0], self.kind.itemsize, []
+        for found in self.plain(texts):
+            ends = (np.flatnonzero(np.frombuffer(found, self.kind) == mark) * size).tolist()
+            out += [found[a:b] for a, b in zip([0, *(e + size for e in ends)], [*ends, len(found)])]
+        return out if len(out) == len(words) and all(out) else self.plain(words)
+
     def learn(self, words: list[str]) -> None:
         """Encode words that are not known; letters in lower case and marks apart."""
-        known, old, new, made = self.known, self.old, set(), []
-        for word in words:
+        known, old, made = self.known, self.old, []
+        bare = [w for w in words if w.isalpha()]
+        keys = [w.lower() if w.isascii() else w for w in bare]
+        new = set(keys).difference(known)
+        again = new.intersection(old)
+        known.update((w, old[w]) for w in again)
+        new -= again
+        for word in set(words).difference(bare):
             core = word.rstrip(MARKS)
             if not core or not core[-1].isalpha() or core[-1] > "\xff":
                 core = word
@@ -74,8 +97,11 @@ class Encoder:
                     else:
                         new.add(part)
             made.append((word, key, tail))
-        listed = list(new)
-        known.update(zip(listed, self.plain(listed)))
+        letters = [x for x in new if x.isalpha()]
+        known.update(zip(letters, self.apart(letters)))
+        others = list(new.difference(letters))
+        known.update(zip(others, self.plain(others)))
+        known.update(zip(bare, map(known.__getitem__, keys)))
         for word, key, tail in made:
             known[word] = known[key] + known[tail] if tail else known[key]
 
