@@ -35,14 +35,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from palisade.llm.common import WORD, WordCodes, discard, free_name, mix, query, stored, table
+from palisade.llm.common import WORD, discard, free_name, mix, query, stored, table
 from palisade.llm.components import components
 
 WIDTH, PERCENT, LEAF, PART_ROWS = 4, 85, 32, 2_000
 MOST_TURNS = 2  # gathering rounds; what they leave is for the last round
 FEWEST, MOST, PER_GROUP = 64, 8192, 4  # groups of a point, and shingles per group between the two
 FINER = 32  # groups of the finer point of the last round, for each group of the point
-_CODES = WordCodes()
+LONG, BLOCK = 64, 1 << 15  # bytes of a word that is coded by itself, words coded at a time
+SPACES = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+POWERS = np.cumprod(np.full(LONG, 0x9E3779B97F4A7C15, np.uint64))
+LETTERS = np.where(SPACES, np.uint64(0), mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)))
 
 
 class Bands:
@@ -89,12 +92,38 @@ class Bands:
         return np.searchsorted(self.low, n, "right") - 1
 
 
+def word_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of all words, words of each text); equal words have equal 64-bit codes in every task.
+
+    The code of a word adds up a number for each byte times a power for its place; a word of more than ``LONG`` bytes has
+    a hash of its own.
+    """
+    import xxhash
+
+    parts = [(t or "").encode().lower() for t in texts]  # bytes: A-Z only
+    whole = np.frombuffer(b" ".join([*parts, b""]), np.uint8)
+    ends = np.cumsum(np.array([len(p) + 1 for p in parts], np.int64))
+    inside = np.concatenate([[False], ~SPACES[whole], [False]])  # ASCII white space only
+    turns = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, stops = turns[::2], turns[1::2]
+    size = stops - starts
+    codes = np.empty(len(starts), np.uint64)
+    short = np.flatnonzero(size <= LONG)
+    for at in range(0, len(short), BLOCK):
+        some = short[at:at + BLOCK]
+        first = np.cumsum(size[some]) - size[some]
+        place = np.arange(first[-1] + size[some[-1]]) - np.repeat(first, size[some])
+        letters = whole[np.repeat(starts[some], size[some]) + place]
+        codes[some] = mix(np.add.reduceat(LETTERS[letters] * POWERS[place], first))
+    for k in np.flatnonzero(size > LONG).tolist():
+        codes[k] = xxhash.xxh3_64_intdigest(whole[starts[k]:stops[k]].tobytes())
+    return codes, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
 def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, code) of the distinct shingles of each text, sorted by row and code."""
-    lists = [(t or "").encode().lower().split() for t in texts]  # bytes: A-Z only, ASCII white space only
-    n = np.array([len(w) for w in lists], np.int64)
-    codes = np.concatenate([np.zeros(0, np.uint64), *(_CODES.of(w) for w in lists)])
-    row = np.repeat(np.arange(len(lists)), n)
+    codes, n = word_codes(texts)
+    row = np.repeat(np.arange(len(n)), n)
     first = np.cumsum(n) - n
     place = np.arange(len(codes)) - first[row]
     size = np.minimum(width, n)[row]  # words of the shingle that begins here, if it fits
@@ -106,7 +135,7 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.nd
         made = np.where(k < size, mix(made * np.uint64(0x9E3779B97F4A7C15) ^ ahead), made)
     row, made = row[begins], made[begins]
     order = np.argsort(made)
-    kind = np.uint16 if len(lists) < 1 << 16 else np.int64  # short numbers are sorted by their digits
+    kind = np.uint16 if len(n) < 1 << 16 else np.int64  # short numbers are sorted by their digits
     order = order[np.argsort(row[order].astype(kind), kind="stable")]
     row, made = row[order], made[order]
     new = np.ones(len(row), bool)
