@@ -78,32 +78,32 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         """Encode words that are not known; letters in lower case and marks apart."""
-        known, old, made = self.known, self.old, []
+        known, old = self.known, self.old
         bare = [w for w in words if w.isalpha()]
         keys = [w.lower() if w.isascii() else w for w in bare]
-        new = set(keys).difference(known)
-        again = new.intersection(old)
-        known.update((w, old[w]) for w in again)
-        new -= again
+        marked, cores, tails = [], [], []
         for word in set(words).difference(bare):
             core = word.rstrip(MARKS)
             if not core or not core[-1].isalpha() or core[-1] > "\xff":
                 core = word
-            key, tail = core.lower() if core.isascii() else core, word[len(core):]
-            for part in (key, tail):
-                if part and part not in known:
-                    if part in old:
-                        known[part] = old[part]
-                    else:
-                        new.add(part)
-            made.append((word, key, tail))
+            key = core.lower() if core.isascii() else core
+            if len(core) == len(word):
+                bare.append(word)
+                keys.append(key)
+            else:
+                marked.append(word)
+                cores.append(key)
+                tails.append(word[len(core):])
+        new = set(keys).union(cores, tails).difference(known)
+        again = new.intersection(old) if old else set()
+        known.update((w, old[w]) for w in again)
+        new -= again
         letters = [x for x in new if x.isalpha()]
         known.update(zip(letters, self.apart(letters)))
         others = list(new.difference(letters))
         known.update(zip(others, self.plain(others)))
         known.update(zip(bare, map(known.__getitem__, keys)))
-        for word, key, tail in made:
-            known[word] = known[key] + known[tail] if tail else known[key]
+        known.update(zip(marked, map(bytes.__add__, map(known.__getitem__, cores), map(known.__getitem__, tails))))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
@@ -114,7 +114,7 @@ class Encoder:
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
         missing = set().union(*parts).difference(known)
-        again = missing.intersection(old)
+        again = missing.intersection(old) if old else set()
         known.update((w, old[w]) for w in again)
         self.learn(list(missing - again))
         return [b"".join(map(known.__getitem__, p)) for p in parts]
