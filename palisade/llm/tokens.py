@@ -63,18 +63,19 @@ class Encoder:
     def apart(self, words: list[str]) -> list[bytes]:
         """Token ids of each word; words of letters are encoded many to a text, with a mark between them.
 
-        A mark is a token of its own between letters, so the ids are cut where it stands. Should the number of cuts not be
-        that of the marks (a tokenizer whose words hold it), the words are encoded one by one.
+        A mark is a token of its own between letters, so the ids are cut where it stands. Should the number of cuts in a
+        text not be that of its marks (a tokenizer whose words hold it), its words are encoded one by one.
         """
-        texts = [JOINT.join(words[i:i + JOINED]) for i in range(0, len(words), JOINED)]
+        lists = [words[i:i + JOINED] for i in range(0, len(words), JOINED)]
         mark = self.plain([JOINT.strip()])[0]
         if len(mark) != self.kind.itemsize:
             return self.plain(words)
         mark, size, out = np.frombuffer(mark, self.kind)[0], self.kind.itemsize, []
-        for found in self.plain(texts):
+        for some, found in zip(lists, self.plain([JOINT.join(x) for x in lists])):
             ends = (np.flatnonzero(np.frombuffer(found, self.kind) == mark) * size).tolist()
-            out += [found[a:b] for a, b in zip([0, *(e + size for e in ends)], [*ends, len(found)])]
-        return out if len(out) == len(words) and all(out) else self.plain(words)
+            ids = [found[a:b] for a, b in zip([0, *(e + size for e in ends)], [*ends, len(found)])]
+            out += ids if len(ids) == len(some) and all(ids) else self.plain(some)
+        return out
 
     def learn(self, words: list[str]) -> None:
         """Encode words that are not known; letters in lower case and marks apart."""
