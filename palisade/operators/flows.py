@@ -6,6 +6,7 @@ from palisade import schema as S
 from palisade.functions.labels import flow_category, flow_label
 from palisade.functions.numbers import clip, count_if, finite
 from palisade.operators.ordering import first_per_key, numbered_within
+from palisade.session import packed_for
 
 # --- fixed values -----------------------------------------------------------------------
 # Header in the flow export -> name used here.
@@ -202,8 +203,9 @@ def distinct_measurements(df: DataFrame, order, file: str = "source_file") -> Da
 def clean_flows(df: DataFrame, order, file: str = "source_file") -> DataFrame:
     """Numbers, distinct measurements, row numbers within the file and the concurrency estimate."""
     numbers = coerced(df)
-    kept = distinct_measurements(numbers, order, file)
-    numbered = numbered_within(kept, file, order)
+    # stored between its two shuffles, so that the files of one are gone when the other writes
+    with packed_for(distinct_measurements(numbers, order, file)) as kept:
+        numbered = numbered_within(kept, file, order)
     return concurrency(numbered, file=file)
 
 

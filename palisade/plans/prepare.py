@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palisade import schema as S
 from palisade.operators.cleaning import distinct_vectors, duplicate_audit, sanitized
-from palisade.operators.flows import ORIGINAL_TIME, PROXY_TIME, checked_times, clean_flows, flow_features, repaired_time, \
-    row_order_time
+from palisade.operators.flows import ORIGINAL_TIME, PROXY_TIME, checked_times, clean_flows, flow_features, numeric_flow_columns, \
+    repaired_time, row_order_time
 from palisade.operators.splits import day_split, spaced_rows, temporal_split
 from palisade.operators.syslog import event_flags, infer_years, label_by_rules, parse_syslog, syslog_features
 from palisade.session import checkpointed
@@ -17,7 +17,8 @@ VECTOR_ORDER = ["source_file", "timestamp", "entity_id", "attack_category"]
 
 def flow_dataset(flows: DataFrame, order=("row_number",)) -> DataFrame:
     """Flow rows to labelled features. Without a time column the row order stands in for the time."""
-    cleaned = clean_flows(flows, list(order))
+    read = {"source_file", "entity_id", "flow_time", "flow_time_text", "flow_label", *numeric_flow_columns(flows), *order}
+    cleaned = clean_flows(flows.select(*[F.col(f"`{c}`") for c in flows.columns if c in read]), list(order))
     if "entity_id" not in cleaned.columns:
         stem = F.regexp_replace("source_file", r"\.[^.]*$", "")
         cleaned = cleaned.withColumn("entity_id", F.concat_ws("_", stem, F.col("row_number").cast("string")))

@@ -1,5 +1,6 @@
 """Session helpers: reliable checkpoints and scratch tables in the shared folder."""
 
+import contextlib
 import io
 import pathlib
 import tempfile
@@ -32,21 +33,48 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def packed(df: DataFrame) -> DataFrame:
+def packed(df: DataFrame, path: str | None = None) -> DataFrame:
     """Like ``checkpointed``, for wide rows: compressed columns, of which a reader takes only what it needs.
 
-    Types that Parquet does not hold, and times that it would move to another calendar, go into a checkpoint.
+    Times are stored as numbers, as Parquet may move them to another calendar. Types that it does not hold go into a
+    checkpoint. Shuffle files of the rows are gone when they are stored.
     """
     kinds = {f.dataType.typeName() for f in df.schema.fields}
     names = [c.lower() for c in df.columns]
     if kinds - PACKED_TYPES or len(set(names)) < len(names):
         return checkpointed(df)
+    spark, path = df.sparkSession, path or scratch_path(df.sparkSession, "packed")
+    times = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp"]
+    plain = df.withColumns({c: F.unix_micros(F.col(f"`{c}`")) for c in times}) if times else df
+    with shuffles_removed(spark):
+        plain.write.option("compression", "zstd").parquet(path)
+    stored = spark.read.schema(plain.schema).parquet(path)
+    return stored.withColumns({c: F.timestamp_micros(F.col(f"`{c}`")) for c in times}) if times else stored
+
+
+PACKED_TYPES = {"long", "integer", "short", "byte", "double", "float", "boolean", "string", "decimal", "timestamp_ntz", "timestamp"}
+
+
+@contextlib.contextmanager
+def packed_for(df: DataFrame):
+    """``packed`` rows inside the block; their folder goes when it ends."""
     path = scratch_path(df.sparkSession, "packed")
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    try:
+        yield packed(df, path)
+    finally:
+        remove_path(df.sparkSession, path)
 
 
-PACKED_TYPES = {"long", "integer", "short", "byte", "double", "float", "boolean", "string", "decimal", "timestamp_ntz"}
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Shuffle files of the jobs inside the block go when each job ends, not when the driver happens to collect garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def stored_bytes(df: DataFrame) -> int:
