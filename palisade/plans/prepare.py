@@ -8,7 +8,7 @@ from palisade.operators.flows import ORIGINAL_TIME, PROXY_TIME, checked_times, c
     repaired_time, row_order_time
 from palisade.operators.splits import day_split, spaced_rows, temporal_split
 from palisade.operators.syslog import event_flags, infer_years, label_by_rules, parse_syslog, syslog_features
-from palisade.session import checkpointed
+from palisade.session import checkpointed, packed
 from palisade.sinks.datasets import save_splits
 from palisade.sources.files import read_attackers, read_flows, read_log_lines
 
@@ -43,7 +43,8 @@ def unified_dataset(*datasets: DataFrame) -> DataFrame:
     aligned = None
     for dataset in datasets:
         ready = sanitized(dataset, fill_missing=False)
-        ready = ready.select(*[c for c in S.LABELLED_COLUMNS if c in ready.columns])
+        # stored, so that the shuffles of a source are gone when all of them are compared
+        ready = packed(ready.select(*[c for c in S.LABELLED_COLUMNS if c in ready.columns]))
         aligned = ready if aligned is None else aligned.unionByName(ready, allowMissingColumns=True)
     return distinct_vectors(aligned, VECTOR_ORDER, ("dataset_source", "source_file", "timestamp"))
 
