@@ -185,10 +185,10 @@ def gate_statistics(detailed: DataFrame) -> DataFrame:
 
 
 def raw_scores(df: DataFrame, forests, boundaries, features) -> DataFrame:
-    """Add f0, f1, ... and b0, b1, ...: higher is more anomalous, offsets not applied."""
+    """Add f0, f1, ... and b0, b1, ...: higher is more anomalous, offsets not applied. Either list may be empty."""
     spark = df.sparkSession
-    framed = df.withColumn("_f", forest_scores(spark, forests, features))
-    framed = framed.withColumn("_b", boundary_margins(spark, boundaries, features))
+    framed = df.withColumn("_f", forest_scores(spark, forests, features)) if forests else df
+    framed = framed.withColumn("_b", boundary_margins(spark, boundaries, features)) if boundaries else framed
     names = {f"f{i}": F.col(f"_f.f{i}") for i in range(len(forests))}
     names.update({f"b{i}": -F.col(f"_b.b{i}") for i in range(len(boundaries))})
     return framed.withColumns(names).drop("_f", "_b")

@@ -143,14 +143,18 @@ def offered_rows(rows: DataFrame, features, trees, chance: float, seed: int, key
     step = math.log1p(-chance) if chance < 1.0 else -math.inf
     code = F.xxhash64(F.lit(int(seed)), *[F.col(c) for c in (keys or features)])
     coded = rows.select(*features, code.alias("_code"))
+    copies = lambda df: df.withColumn("_copies", F.lit(1).cast("long")) if keys else df.groupBy("_code").agg(
+        F.count(F.lit(1)).alias("_copies"))
+    first = (F.shiftrightunsigned(F.xxhash64("_code", F.lit(1)), 11).cast("double") + 0.5) * F.lit(2.0 ** -53)
+    met = copies(coded).withColumn("_first", F.floor(F.least(F.log(first) / F.lit(step), F.lit(2.0 ** 60))).cast("long"))
+    met = met.where(F.col("_first") < F.col("_copies") * count)
     if keys:
-        coded = coded.withColumn("_copies", F.lit(1).cast("long"))
+        coded = met
     else:
-        coded = coded.groupBy("_code").agg(F.any_value(F.struct(*features)).alias("_row"), F.count(F.lit(1)).alias("_copies")).select(
-            "_row.*", "_code", "_copies")
-    first = (F.shiftrightunsigned(F.xxhash64("_code", F.lit(1)), 11).cast("double") + 0.5) * F.lit(2.0 ** -53)
-    coded = coded.withColumn("_first", F.floor(F.least(F.log(first) / F.lit(step), F.lit(2.0 ** 60))).cast("long"))
-    coded = coded.where(F.col("_first") < F.col("_copies") * count)
+        # only codes move to be counted; those that meet a tree, a bounded number as each tree keeps few rows, fetch their rows
+        coded = coded.join(F.broadcast(met), "_code").groupBy("_code").agg(
+            F.any_value(F.struct(*features)).alias("_row"), F.first("_copies").alias("_copies"), F.first("_first").alias("_first")).select(
+            "_row.*", "_code", "_copies", "_first")
 
     def offer(batches):
         for pdf in batches:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from palisade.detectors.iforest import merged
 from palisade.operators.ordering import quantile_table
-from palisade.session import checkpointed
+from palisade.session import checkpointed, tasks_for
 
 DEFAULTS = {"kernel": "rbf", "nu": 0.02, "gamma": "scale"}
 MAX_TRAIN_ROWS = None  # a number fits on about so many rows, chosen by a hash; None takes all of them
@@ -98,10 +98,7 @@ class Boundary:
 
     def margin(self, rows: np.ndarray) -> np.ndarray:
         """Projection on the normal; lower is more anomalous."""
-        basis, narrow, out = self.basis(), rows[:, self.columns], np.empty(len(rows))
-        for start in range(0, len(rows), MAPPED):
-            out[start:start + MAPPED] = mapped_by(narrow[start:start + MAPPED], *basis) @ self.normal
-        return out
+        return margins([self], rows)[0]
 
     def info(self) -> dict:
         return {"features": self.features, "params": self.params, "columns": self.columns, "gamma": self.gamma,
@@ -347,24 +344,44 @@ def scanned(rows: DataFrame, features, bounds, searches, live, whole: bool = Fal
             used = np.flatnonzero(counts[at])
             yield pa.record_batch([
                 pa.array([at] * (len(used) + 1), pa.int32()), pa.array([-1, *used], pa.int32()), pa.array([0, *counts[at][used]], pa.int64()),
-                pa.array([fine[at].tolist() if whole else [], *sums[at][used].tolist()], pa.list_(pa.int64()))], names=["probe", "bin", "n", "sums"])
-
-    parts = rows.select(*features).mapInArrow(scan, "probe int, bin int, n long, sums array<long>")
-    added = parts.select("probe", "bin", "n", F.posexplode("sums").alias("i", "v")).groupBy("probe", "bin", "i").agg(
-        F.sum("n").alias("n"), F.sum("v").alias("v")).toArrow().to_pandas()  # probes x (bins x components + fine bins) numbers
+                pa.array([fine[at].tobytes() if whole else b"", *(row.tobytes() for row in sums[at][used])], pa.binary())], names=SUMMED)
+
+    parts = rows.select(*features).mapInArrow(scan, SUMS)
+    tasks = tasks_for(rows.sparkSession, len(probes) * (BINS + 1))
+    added = parts.repartition(tasks, "probe", "bin").mapInArrow(added_up, SUMS).toArrow()  # probes x (bins x components + fine bins) numbers
+    places = [(np.zeros(BINS), np.zeros((BINS, components)), np.zeros(FINE)) for _ in probes]
+    for at, spot, n, sums in zip(*(c.to_pylist() for c in added.columns)):
+        values, (counts, binned, fine) = np.frombuffer(sums, np.int64), places[at]
+        if spot >= 0:
+            counts[spot], binned[spot] = n, values / FIXED
+        elif len(values):
+            fine[:] = values
     found = {}
-    for at, (i, _, _) in enumerate(probes):
-        mine = added[added["probe"] == at]
-        fine, sums, counts = np.zeros(FINE), np.zeros((BINS, components)), np.zeros(BINS)
-        part = mine[mine["bin"] < 0]
-        fine[part["i"]] = part["v"]
-        part = mine[mine["bin"] >= 0]
-        sums[part["bin"], part["i"]] = part["v"] / FIXED
-        counts[part["bin"]] = part["n"]
-        found.setdefault(i, []).append((counts, sums, fine))
+    for (i, _, _), place in zip(probes, places):
+        found.setdefault(i, []).append(place)
     return found
 
 
+SUMMED, SUMS = ["probe", "bin", "n", "sums"], "probe int, bin int, n long, sums binary"  # sums: 64-bit numbers, one after the other
+
+
+def added_up(batches):
+    """One row per probe and bin: counts and sums of all tasks."""
+    totals = {}
+    for batch in batches:
+        for probe, spot, n, sums in zip(*(c.to_pylist() for c in batch.columns)):
+            values = np.frombuffer(sums, np.int64)
+            if (probe, spot) in totals:
+                totals[probe, spot][0] += n
+                totals[probe, spot][1] += values
+            else:
+                totals[probe, spot] = [n, values.copy()]
+    if totals:
+        yield pa.record_batch([
+            pa.array([k[0] for k in totals], pa.int32()), pa.array([k[1] for k in totals], pa.int32()),
+            pa.array([n for n, _ in totals.values()], pa.int64()), pa.array([v.tobytes() for _, v in totals.values()], pa.binary())], names=SUMMED)
+
+
 def fit_boundaries(df: DataFrame, features, grid, max_rows: int | None = MAX_TRAIN_ROWS, seed: int = 42,
                    components: int = COMPONENTS) -> list:
     """One boundary per entry of ``grid`` (parameters, optionally a ``features`` subset); offsets stay 0.
@@ -425,11 +442,26 @@ def boundary_margins(spark: SparkSession, bounds, features) -> Column:
     @F.pandas_udf(", ".join(f"b{i} double" for i in range(len(bounds))))
     def margin(*columns: pd.Series) -> pd.DataFrame:
         rows = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-        return pd.DataFrame({f"b{i}": bound.margin(rows) for i, bound in enumerate(shared.value)})
+        return pd.DataFrame({f"b{i}": values for i, values in enumerate(margins(shared.value, rows))})
 
     return margin(*[F.col(f).cast("double") for f in features])
 
 
+def margins(bounds, rows: np.ndarray) -> list:
+    """Margins of the rows under each boundary; boundaries with the same map share it."""
+    out, alike = [np.empty(len(rows)) for _ in bounds], {}
+    for i, b in enumerate(bounds):
+        alike.setdefault((tuple(b.columns), b.gamma, b.seed, len(b.normal)), []).append(i)
+    for members in alike.values():
+        first = bounds[members[0]]
+        basis, narrow = first.basis(), rows[:, first.columns]
+        for start in range(0, len(rows), MAPPED):
+            mapped = mapped_by(narrow[start:start + MAPPED], *basis)
+            for i in members:
+                out[i][start:start + MAPPED] = mapped @ bounds[i].normal
+    return out
+
+
 def fit_ocsvm(df: DataFrame, features, params: dict | None = None, max_rows: int | None = MAX_TRAIN_ROWS) -> Boundary:
     """Fit one boundary and place its offset so that a share of nu of the training rows lies outside."""
     bound = fit_boundaries(df, features, [params or {}], max_rows)[0]

@@ -33,6 +33,7 @@ NU_SWEEP = (0.01, 0.02, 0.05, 0.10, 0.20)
 GAMMA_SWEEP = ("scale", "auto", 0.01, 0.1, 1.0)
 # ----------------------------------------------------------------------------------------
 
+STAGES = ("forest", "boundary")
 METRICS = ["tp", "fp", "fn", "tn", "precision", "recall", "f1", "f2", "fpr", "tnr", "pr_auc", "gate_rate_actual",
            "threshold"]
 
@@ -61,7 +62,8 @@ class Sweep:
     """Fitted stages of a list of cascade settings: name, iforest, ocsvm, gate_rate, w_stage1, features."""
 
     def __init__(self, train: DataFrame, configs: list, features=None, label: str | None = None,
-                 max_rows: int | None = None):
+                 max_rows: int | None = None, stages=STAGES, fitted=()):
+        """A search of one stage fits and scores only that one. ``fitted`` boundaries of the same rows are not solved again."""
         self.features = list(features or S.FEATURES)
         self.configs = configs
         subset = lambda c: {"features": list(c["features"])} if c.get("features") else {}
@@ -70,10 +72,18 @@ class Sweep:
                         for c in configs]
         forests, self.forest_of = _distinct(forest_items, FOREST_DEFAULTS)
         bounds, self.bound_of = _distinct([{**(c.get("ocsvm") or {}), **subset(c)} for c in configs], BOUNDARY_DEFAULTS)
+        # settings that share stages, gate and weight have the same scores, which are made once: the first one's place
+        alike = [(f, b, c.get("gate_rate", GATE_RATE), c.get("w_stage1", W_STAGE1))
+                 for f, b, c in zip(self.forest_of, self.bound_of, configs)]
+        self.same_as = [alike.index(key) for key in alike]
         rows = benign_rows(train, label) if label else train
         rows = checkpointed(rows.select(*[F.col(f).cast("double").alias(f) for f in self.features]))
-        self.forests = grow_forests(rows, self.features, forests)
-        self.bounds = fit_boundaries(rows, self.features, bounds, max_rows)
+        self.forests = grow_forests(rows, self.features, forests) if "forest" in stages else []
+        known = {json.dumps(b.params, sort_keys=True): b for b in fitted if b.features == self.features}
+        keys = [json.dumps(b, sort_keys=True) for b in bounds]
+        missing = [b for b, key in zip(bounds, keys) if key not in known] if "boundary" in stages else []
+        solved = iter(fit_boundaries(rows, self.features, missing, max_rows) if missing else [])
+        self.bounds = [known[key] if key in known else next(solved) for key in keys] if "boundary" in stages else []
         self.names_f = [f"f{i}" for i in range(len(self.forests))]
         self.names_b = [f"b{i}" for i in range(len(self.bounds))]
         self.train = checkpointed(raw_scores(rows, self.forests, self.bounds, self.features).select(
@@ -102,7 +112,8 @@ class Sweep:
 
     def _with_fused(self, ranked: DataFrame) -> DataFrame:
         columns = {}
-        for i, c in enumerate(self.configs):
+        for i in sorted(set(self.same_as)):
+            c = self.configs[i]
             f, b = self.names_f[self.forest_of[i]], self.names_b[self.bound_of[i]]
             gated = F.col(f) >= F.lit(self.at[f][gate_level(c.get("gate_rate", GATE_RATE))])
             columns[f"gated{i}"] = gated
@@ -110,45 +121,47 @@ class Sweep:
         return ranked.withColumns(columns)
 
     def scores(self, df: DataFrame, keep=()) -> DataFrame:
-        """Raw scores, ranks, gates and fused scores of all settings; computed once."""
+        """Raw scores of all stages and, where both are fitted, ranks, gates and fused scores of the distinct settings; computed once."""
         raw = raw_scores(df, self.forests, self.bounds, self.features).select(*keep, *self.names_f, *self.names_b)
-        return checkpointed(self._with_fused(self._ranked(raw)))
+        return checkpointed(self._with_fused(self._ranked(raw)) if self.forests and self.bounds else raw)
 
     def thresholds(self, validation: DataFrame | None = None, label: str | None = None, criterion: str = "fpr_budget",
                    max_fpr: float = 0.02) -> list:
         """Per setting: from the validation labels, else a quantile of the training scores."""
-        names = [f"fused{i}" for i in range(len(self.configs))]
+        names = [f"fused{i}" for i in self.same_as]
+        once = list(dict.fromkeys(names))
         judged = None
         if validation is not None and label:
             judged = self.scores(validation, [label])
             classes = {r[0] for r in judged.select(binary_label(F.col(label))).distinct().collect()}  # at most three
             if {0, 1} <= classes:
-                found = pick_thresholds(judged, label, names, criterion, max_fpr)
+                found = pick_thresholds(judged, label, once, criterion, max_fpr)
                 return [found[n] for n in names]
-        base = checkpointed(self._with_fused(self._ranked(self.train)).select(*names)) if judged is None else judged
+        base = checkpointed(self._with_fused(self._ranked(self.train)).select(*once)) if judged is None else judged
         spare = [max(0.5, 1.0 - c.get("gate_rate", GATE_RATE)) for c in self.configs]
         levels = sorted(set(spare))
-        table = quantile_table(base, names, levels)
+        table = quantile_table(base, once, levels)
         return [table[n][levels.index(p)] for n, p in zip(names, spare)]
 
     def evaluate(self, test: DataFrame, label: str, thresholds: list) -> DataFrame:
         """One row per setting: confusion counts, rates, average precision, gate share, threshold."""
         scored = self.scores(test, [label])
+        cases = list(zip(self.same_as, map(float, thresholds)))
         entries = F.array(*[
             F.struct(
-                F.lit(c["name"]).alias("config"), F.col(f"fused{i}").alias("score"), F.col(f"gated{i}").alias("gated"),
-                F.when(F.col(f"fused{i}") >= thresholds[i], S.ANOMALY).otherwise(S.NORMAL).alias("prediction"),
-            ) for i, c in enumerate(self.configs)
+                F.lit(k).alias("case"), F.col(f"fused{i}").alias("score"), F.col(f"gated{i}").alias("gated"),
+                F.when(F.col(f"fused{i}") >= cut, S.ANOMALY).otherwise(S.NORMAL).alias("prediction"),
+            ) for k, (i, cut) in enumerate(cases) if cases.index((i, cut)) == k
         ])
         long = scored.select(label, F.inline(entries))
-        rates = basic_metrics(long, label, "prediction", ["config"])
-        ranked = ranking_metrics(long, label, "score", by=["config"]).select("config", "roc_auc", "pr_auc")
-        gates = long.groupBy("config").agg(F.avg(F.col("gated").cast("double")).alias("gate_rate_actual"))
+        rates = basic_metrics(long, label, "prediction", ["case"])
+        ranked = ranking_metrics(long, label, "score", by=["case"]).select("case", "roc_auc", "pr_auc")
+        gates = long.groupBy("case").agg(F.avg(F.col("gated").cast("double")).alias("gate_rate_actual"))
         chosen = test.sparkSession.createDataFrame(
-            [(c["name"], float(t), i) for i, (c, t) in enumerate(zip(self.configs, thresholds))],
-            "config string, threshold double, position int",
+            [(c["name"], t, k, cases.index((i, t))) for k, (c, (i, t)) in enumerate(zip(self.configs, cases))],
+            "config string, threshold double, position int, case int",
         )
-        return chosen.join(rates, "config").join(ranked, "config").join(gates, "config").orderBy("position")
+        return chosen.join(rates, "case").join(ranked, "case").join(gates, "case").drop("case").orderBy("position")
 
 
 def _value_of(scoring: str) -> str:
@@ -186,7 +199,7 @@ def _best(points, values, names):
 def grid_search_iforest(train, evaluation, features=None, grid=None, label=None, scoring="pr_auc", sweep=None) -> dict:
     """All forests of the grid in one job; a contamination in the grid moves only the cut."""
     points = expand_grid(grid or IFOREST_GRID)
-    sweep = sweep or Sweep(train, [{"name": str(i), "iforest": p} for i, p in enumerate(points)], features, label)
+    sweep = sweep or Sweep(train, [{"name": str(i), "iforest": p} for i, p in enumerate(points)], features, label, stages=STAGES[:1])
     scored = sweep.scores(evaluation, [label] if label else [])
     names, cuts, columns = [], {}, {}
     for i, p in enumerate(points):
@@ -200,9 +213,13 @@ def grid_search_iforest(train, evaluation, features=None, grid=None, label=None,
     return _best(points, _grid_values(scored.withColumns(columns), label, cuts, scoring), names)
 
 
+def _boundary_sweep(train, points, features, label) -> Sweep:
+    return Sweep(train, [{"name": str(i), "ocsvm": p} for i, p in enumerate(points)], features, label, stages=STAGES[1:])
+
+
 def grid_search_ocsvm(train, evaluation, features=None, grid=None, label=None, scoring="pr_auc", sweep=None) -> dict:
     points = expand_grid(grid or OCSVM_GRID)
-    sweep = sweep or Sweep(train, [{"name": str(i), "ocsvm": p} for i, p in enumerate(points)], features, label)
+    sweep = sweep or _boundary_sweep(train, points, features, label)
     scored = sweep.scores(evaluation, [label] if label else [])
     names = [sweep.names_b[sweep.bound_of[i]] for i in range(len(points))]
     cuts = {n: sweep.at[n][1.0 - sweep.bounds[int(n[1:])].params["nu"]] for n in names}
@@ -217,15 +234,16 @@ def _best_config(table: DataFrame, scoring: str) -> dict:
 
 def hyperparameter_search(train, evaluation, features=None, label="label", scoring="f1_score", iforest_grid=None,
                           ocsvm_grid=None, gate_rates=SEARCH_GATE_RATES, weights=SEARCH_WEIGHTS) -> dict:
-    """Best forest, best boundary, then gate and weight on their stored scores (no refit)."""
+    """Best forest, best boundary, then gate and weight on their stored scores; the boundary is not solved again."""
     forest = grid_search_iforest(train, evaluation, features, iforest_grid, label, scoring)
-    boundary = grid_search_ocsvm(train, evaluation, features, ocsvm_grid, label, scoring)
+    solved = _boundary_sweep(train, expand_grid(ocsvm_grid or OCSVM_GRID), features, label)
+    boundary = grid_search_ocsvm(train, evaluation, features, ocsvm_grid, label, scoring, solved)
     configs = [
         {"name": f"gate={g:g} w={w:g}", "iforest": forest["best_params"], "ocsvm": boundary["best_params"],
          "gate_rate": g, "w_stage1": w}
         for g, w in itertools.product(gate_rates, weights)
     ]
-    sweep = Sweep(train, configs, features, label)
+    sweep = Sweep(train, configs, features, label, fitted=solved.bounds)
     table = checkpointed(sweep.evaluate(evaluation, label, sweep.thresholds()))
     best = _best_config(table, scoring)
     chosen = configs[best["position"]]
