@@ -228,7 +228,7 @@ def stored_vectors(spark, sf_dir):
     start = F.unix_micros(F.lit("2024-01-01").cast("timestamp")) + F.monotonically_increasing_id()
     named = raw_items(spark, sf_dir).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("src_ip"), F.timestamp_micros(start).alias("window_start"), *ITEMS)
-    named.write.parquet(f"{root}/in")
+    named.write.option("compression", "zstd").parquet(f"{root}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{root}/in").schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
     model, scale = stored_model(spark, sf_dir)
     W.start(stream, W.score_vectors(root, model, scale), f"{root}/state").awaitTermination()

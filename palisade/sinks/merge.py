@@ -13,7 +13,7 @@ batch and bucket are taken.
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palisade.session import child_names, path_exists, remove_path
+from palisade.session import child_names, path_exists, remove_path, shuffles_removed
 from palisade.sinks.upsert import one_row_per_key
 
 BUCKETS = 64
@@ -68,7 +68,8 @@ class MergeTable:
             placed = placed.select(*[c.alias(n) for n, c in columns.items()], "bucket")
         # hexadecimal ids take half the room with an entropy coder
         writer = placed.write.mode("overwrite").option("compression", "zstd")
-        writer.partitionBy("bucket").parquet(self._folder(kind, batch))
+        with shuffles_removed(rows.sparkSession):
+            writer.partitionBy("bucket").parquet(self._folder(kind, batch))
 
     def append(self, rows: DataFrame, batch: int, columns=None) -> None:
         """Store the rows of a batch, once. With ``columns`` (name -> expression) these are stored, and are made after the

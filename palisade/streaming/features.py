@@ -94,16 +94,16 @@ def score_vectors(root: str, model, scaler, compact_every: int = 50):
     """A foreachBatch writer over appended feature vectors: predictions and risk rows."""
     from palisade.plans.serve import infer_on_features
     from palisade.sinks.results import prediction_columns
-    from palisade.session import checkpointed
+    from palisade.session import packed_for
 
     def write(batch: DataFrame, batch_id: int) -> None:
         scored = infer_on_features(batch, model, scaler).withColumn("model_version", F.lit(model.model_version))
-        made = prediction_columns(checkpointed(scored))  # scored once for both tables
-        stored = result_tables(batch.sparkSession, root)
-        for name, (rows, columns) in zip(("anomaly_result", "risk_score"), made):
-            stored[name].append(rows, batch_id, columns)
-            if batch_id % compact_every == compact_every - 1:
-                stored[name].compact()
+        with packed_for(scored) as kept:  # scored once for both tables, and gone when they are written
+            stored = result_tables(batch.sparkSession, root)
+            for name, (rows, columns) in zip(("anomaly_result", "risk_score"), prediction_columns(kept)):
+                stored[name].append(rows, batch_id, columns)
+                if batch_id % compact_every == compact_every - 1:
+                    stored[name].compact()
 
     return write
 
