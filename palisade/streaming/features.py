@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from palisade import schema as S
 from palisade.functions.text import parsed_lines
 from palisade.operators.features import CONTEXT, address_counters, event_records, finished_features, record_counters, time_window
+from palisade.session import remove_path, scratch_path, shuffles_removed
 from palisade.sinks.merge import MergeTable
 from palisade.sinks.upsert import RESULT_KEYS, RESULT_UPDATED, RISK_KEYS, RISK_UPDATED, VECTOR_KEYS
 
@@ -44,16 +45,23 @@ def write_features(folder: str, window_seconds: float = 60.0, computed_at=None):
     """A foreachBatch writer; the folder of a batch is overwritten when the batch runs again."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.persist()
+        path = scratch_path(batch.sparkSession, "closed")
         try:
-            batch_features(kept, window_seconds, computed_at=computed_at).write.mode("overwrite").parquet(
-                f"{folder}/batch={batch_id}")
+            closed = _stored(batch, path)  # read twice
+            batch_features(closed, window_seconds, computed_at=computed_at).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
         finally:
-            kept.unpersist()
+            remove_path(batch.sparkSession, path)
 
     return write
 
 
+def _stored(batch: DataFrame, path: str, session=None) -> DataFrame:
+    """Rows of a micro-batch as files, whose shuffles are gone when they are written."""
+    with shuffles_removed(batch.sparkSession):
+        batch.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return (session or batch.sparkSession).read.schema(batch.schema).parquet(path)
+
+
 def result_tables(spark, root: str) -> dict:
     """The keyed result tables below a folder."""
     return {
@@ -77,8 +85,7 @@ def score_and_upsert(root: str, model, scaler, window_seconds: float = 60.0, spa
         # stored and scored in the caller's session
         session = spark or batch.sparkSession
         path = f"{root}/closed_windows/batch={batch_id}"
-        batch.write.mode("overwrite").parquet(path)
-        closed = session.read.schema(batch.schema).parquet(path)
+        closed = _stored(batch, path, session)
         if closed.isEmpty():  # the watermark moved, but no window was closed
             return
         made = score_ready(batch_features(closed, window_seconds), model, scaler)
