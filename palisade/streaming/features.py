@@ -8,6 +8,7 @@ from palisade.operators.features import CONTEXT, address_counters, event_records
 from palisade.session import remove_path, scratch_path, shuffles_removed
 from palisade.sinks.merge import MergeTable
 from palisade.sinks.upsert import RESULT_KEYS, RESULT_UPDATED, RISK_KEYS, RISK_UPDATED, VECTOR_KEYS
+from palisade.streaming.drain import state_on_disk
 
 STREAM_KEYS = ("window", "src_ip")
 
@@ -118,4 +119,5 @@ def score_vectors(root: str, model, scaler, compact_every: int = 50):
 def start(stream: DataFrame, writer, checkpoint: str, every: str | None = None):
     """Start a foreachBatch query; without an interval it drains what is there and stops."""
     query = stream.writeStream.outputMode("append").foreachBatch(writer).option("checkpointLocation", checkpoint)
-    return (query.trigger(availableNow=True) if every is None else query.trigger(processingTime=every)).start()
+    with state_on_disk(stream.sparkSession):
+        return (query.trigger(availableNow=True) if every is None else query.trigger(processingTime=every)).start()
